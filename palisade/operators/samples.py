@@ -35,16 +35,22 @@ def total(events: DataFrame, **filters) -> DataFrame:
     return selection(events, **filters).agg(F.count(F.lit(1)).alias("total"))
 
 
-def page(events: DataFrame, limit: int | None = None, offset: int | None = None, **filters) -> DataFrame:
+def page(
+    events: DataFrame,
+    limit: int | None = None,
+    offset: int | None = None,
+    deep_offset: int = DEEP_OFFSET,
+    **filters,
+) -> DataFrame:
     """One page of stored rows; events of the same instant in order of id."""
     limit, offset = page_bounds(limit, offset)
     chosen = selection(events, **filters)
-    if offset > DEEP_OFFSET:
-        chosen, offset = _around_page(chosen, limit, offset)
+    if offset > deep_offset:
+        chosen, offset = _around_page(chosen, limit, offset, deep_offset)
     return chosen.orderBy(F.desc("timestamp"), "event_id").offset(offset).limit(limit)
 
 
-def _around_page(chosen: DataFrame, limit: int, offset: int) -> tuple[DataFrame, int]:
+def _around_page(chosen: DataFrame, limit: int, offset: int, deep_offset: int) -> tuple[DataFrame, int]:
     """Narrow the events to the time slices the page lies in, and lower the offset to match.
 
     A deep page would otherwise sort all rows before it. Counts per slice tell
@@ -68,7 +74,7 @@ def _around_page(chosen: DataFrame, limit: int, offset: int) -> tuple[DataFrame,
             EPOCH + timedelta(milliseconds=placed["high"] + step),
         )
         offset -= placed["before"]
-        if offset <= DEEP_OFFSET:
+        if offset <= deep_offset:
             break
     return chosen, offset
 
