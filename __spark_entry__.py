@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
 
@@ -42,15 +43,16 @@ def stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     It is written to the folder the session names for checkpoints. Where the
     session names none, the enriched rows are computed anew in each query.
     """
-    flat = driver_events.flat_events(spark, sf_dir)
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _tables:
+        flat = driver_events.flat_events(spark, sf_dir)
         folder = shared_folder(spark)
         if folder is None:
             return ingest.enrich_backfill(flat, in_order=True)
-        name = f"{folder}/palisade-{key[0]}/events-{len(_tables)}"
-        event_table.append(ingest.enrich_backfill(flat, in_order=True), name, rebalance=True)
-        _tables[key] = name
+        name = f"{folder}/palisade-{uuid.uuid4().hex}"
+        rows = ingest.enrich_backfill(flat, in_order=True, scratch=f"{name}/points")
+        event_table.append(rows, f"{name}/events", rebalance=True)
+        _tables[key] = f"{name}/events"
     return event_table.read(spark, _tables[key])
 
 
@@ -326,18 +328,35 @@ def _rules(spark):
 
 def _defined_rules(spark, sf_dir):
     """Every event as a rule definition; some of them do not hold up."""
-    raw = _raw(spark, sf_dir)
-    n, k = F.col("source_id"), F.col("event.rule.id").cast("bigint") - 950_000
-    definitions = raw.select(
-        n.alias("seq"),
-        F.when(k % 4 != 0, F.col("event.configId")).alias("config_id"),
-        F.when(k % 10 == 9, "UNKNOWN").otherwise(F.col("event.rule.category")).alias("category"),
-        (k % 7).cast("int").alias("threshold"),
-        (n % 61).cast("int").alias("window_minutes"),
+    definitions = _flat(spark, sf_dir).select(
+        F.substring("event_id", 5, 20).cast("bigint").alias("seq"),
+        (F.col("rule_id").cast("bigint") - 950_000).alias("k"),
+        "config_id",
+        "rule_category",
+    ).select(
+        "seq",
+        F.when(F.col("k") % 4 != 0, F.col("config_id")).alias("config_id"),
+        F.when(F.col("k") % 10 == 9, "UNKNOWN").otherwise(F.col("rule_category")).alias("category"),
+        (F.col("k") % 7).cast("int").alias("threshold"),
+        (F.col("seq") % 61).cast("int").alias("window_minutes"),
     )
     return rules_table.define(definitions)
 
 
+def stored_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The defined rules, kept in a table beside the event table."""
+    key = (spark.sparkContext.applicationId, f"rules {sf_dir}")
+    if key not in _tables:
+        rules = _defined_rules(spark, sf_dir)
+        folder = shared_folder(spark)
+        if folder is None:
+            return rules
+        name = f"{folder}/palisade-{uuid.uuid4().hex}/rules"
+        rules_table.append(rules, name)
+        _tables[key] = name
+    return rules_table.read(spark, _tables[key])
+
+
 def rules_define(spark, sf_dir):
     return _defined_rules(spark, sf_dir)
 
@@ -347,7 +366,7 @@ def alerts_firing(spark, sf_dir):
 
 
 def alerts_evaluated(spark, sf_dir):
-    return _in_millis(alerts.evaluate(stored_events(spark, sf_dir), _defined_rules(spark, sf_dir), NOW))
+    return _in_millis(alerts.evaluate(stored_events(spark, sf_dir), stored_rules(spark, sf_dir), NOW))
 
 
 # --- quality ---------------------------------------------------------------

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
-# A date, a time with seconds and an offset; anything less is not an instant.
-ISO_INSTANT = r"^\d{4}-\d{2}-\d{2}[Tt]\d{2}:\d{2}:\d{2}(\.\d{1,9})?([Zz]|[+-]\d{2}(:?\d{2})?)$"
-
 
 def millis(instant: Column) -> Column:
     return F.unix_millis(instant)
@@ -21,11 +18,6 @@ def to_millis_precision(instant: Column) -> Column:
     return F.timestamp_millis(F.unix_millis(instant))
 
 
-def parse_iso_instant(text: Column) -> Column:
-    """An ISO-8601 instant to a timestamp, null when the text is anything else."""
-    return F.when(text.rlike(ISO_INSTANT), text.try_cast("timestamp"))
-
-
 def floor_to(value_ms: Column, step_ms: int) -> Column:
     """Start of the epoch-aligned step that holds ``value_ms``, also before 1970."""
     return value_ms - F.pmod(value_ms, F.lit(step_ms).cast("bigint"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade import schema
@@ -77,35 +77,46 @@ def prior_counts_replayed(
     those of the same batch. The other points, which exist only when batches
     arrive out of event-time order, are counted again exactly. ``in_order``
     says that there are none.
+
+    Both counts come from one pass: each event counts once for its batch and
+    once under a null ``scope`` for its address as a whole.
     """
-    cells = (
+    counted = (
         keyed(events, F.col(batch_id).cast("bigint").alias("batch_id"))
-        .groupBy("client_ip", "ts_ms", "batch_id")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .select("*", F.explode(F.array("batch_id", F.lit(None).cast("bigint"))).alias("scope"))
+        .groupBy("client_ip", "ts_ms", "scope")
+        .agg(F.count(F.lit(1)).alias("n"), F.max("batch_id").alias("batch_id"))
     )
-    merged = cells.groupBy("client_ip", "ts_ms").agg(
-        F.sum("n").alias("n"), F.max("batch_id").alias("batch_id")
-    )
-    of_address = trailing(
-        merged,
-        ["client_ip"],
+    found = trailing(
+        counted,
+        ["client_ip", "scope"],
         -WINDOW_MS,
         -1,
         {"in_frame": lambda: F.sum("n"), "newest": lambda: F.max("batch_id")},
-    ).select("client_ip", "ts_ms", "in_frame", "newest")
-    of_batch = trailing(
-        cells, ["client_ip", "batch_id"], -WINDOW_MS, -1, {"same_batch": lambda: F.sum("n")}
-    ).select("client_ip", "ts_ms", "batch_id", "same_batch")
-    points = of_batch.join(of_address.where("in_frame > 0"), ["client_ip", "ts_ms"])
-    simple = points.select(
-        "client_ip",
-        "ts_ms",
-        "batch_id",
-        (F.col("in_frame") - F.coalesce("same_batch", F.lit(0))).alias("prior_count"),
-        (F.col("newest") > F.col("batch_id")).alias("overtaken"),
+    )
+    point = Window.partitionBy("client_ip", "ts_ms")
+    of_address = lambda column: F.max(F.when(F.col("scope").isNull(), F.col(column))).over(point)
+    simple = (
+        found.select(
+            "client_ip",
+            "ts_ms",
+            "scope",
+            F.col("in_frame").alias("same_batch"),
+            of_address("in_frame").alias("in_frame"),
+            of_address("newest").alias("newest"),
+        )
+        .where(F.col("scope").isNotNull() & (F.col("in_frame") > 0))
+        .select(
+            "client_ip",
+            "ts_ms",
+            F.col("scope").alias("batch_id"),
+            (F.col("in_frame") - F.coalesce("same_batch", F.lit(0))).alias("prior_count"),
+            (F.col("newest") > F.col("scope")).alias("overtaken"),
+        )
     )
     if in_order:
         return simple.where("prior_count > 0").drop("overtaken")
+    cells = counted.where(F.col("scope").isNotNull()).select("client_ip", "ts_ms", "batch_id", "n")
     exact = _lower_batches_in_frame(cells, simple.where("overtaken"))
     return (
         simple.where("not overtaken")
@@ -180,17 +191,22 @@ def with_prior_count(events: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
-def with_repeat_offender(events: DataFrame, counts: DataFrame) -> DataFrame:
-    """Add the ``repeat_offender`` flag; only the few flagged points take part in the join."""
-    flagged = (
-        counts.where(is_repeat_offender(F.col("prior_count")))
-        .drop("prior_count")
-        .withColumn("repeat_offender", F.lit(True))
-    )
-    on = [c for c in flagged.columns if c != "repeat_offender"]
+def repeat_points(counts: DataFrame) -> DataFrame:
+    """The points whose events are from repeat offenders."""
+    return counts.where(is_repeat_offender(F.col("prior_count"))).drop("prior_count")
+
+
+def with_points(events: DataFrame, points: DataFrame) -> DataFrame:
+    """Add the ``repeat_offender`` flag: true for events at one of the points."""
+    flagged = points.withColumn("repeat_offender", F.lit(True))
     return (
         events.withColumn("ts_ms", millis(F.col("timestamp")))
-        .join(flagged, on, "left")
+        .join(flagged, points.columns, "left")
         .withColumn("repeat_offender", F.coalesce("repeat_offender", F.lit(False)))
         .drop("ts_ms")
     )
+
+
+def with_repeat_offender(events: DataFrame, counts: DataFrame) -> DataFrame:
+    """Add the ``repeat_offender`` flag; only the few flagged points take part in the join."""
+    return with_points(events, repeat_points(counts))

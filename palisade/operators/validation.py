@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,59 +20,63 @@ AT_MOST = "must be less than or equal to {}"
 ERROR = "array<struct<field:string,message:string>>"
 
 
-def _problem(condition: Column, field: str, message: str) -> Column:
-    return F.when(
-        F.coalesce(condition, F.lit(False)),
-        F.struct(F.lit(field).alias("field"), F.lit(message).alias("message")),
-    )
+def _constraints(event: Column) -> list[tuple[str, str, Column]]:
+    """``(field, message, broken)`` for every constraint; ``broken`` may be null, meaning no."""
+    rule = event["rule"]
+    found: list[tuple[str, str, Column]] = []
 
+    def not_blank(*fields: str) -> None:
+        found.extend((field, NOT_BLANK, blank(event[field])) for field in fields)
 
-def violations(event: Column, malformed: Column | None = None) -> Column:
-    """All broken constraints of one event, as an array of ``(field, message)``.
+    def not_null(*fields: str) -> None:
+        found.extend((field, NOT_NULL, event[field].isNull()) for field in fields)
 
-    ``malformed`` lists the fields whose JSON value had the wrong type.
-    """
-    rule = event["rule"]
-    found = []
-
-    def add(condition: Column, field: str, message: str) -> None:
-        found.append(_problem(condition, field, message))
-
-    def wrong_type(field: str) -> Column:
-        return F.lit(False) if malformed is None else F.array_contains(malformed, field)
-
-    def typed(field: str, kind: str, required: bool) -> None:
-        wrong = wrong_type(field)
-        if malformed is not None:
-            add(wrong, field, f"must be {kind}")
-        if required:
-            add(event[field].isNull() & ~wrong, field, NOT_NULL)
-
-    def member(value: Column, field: str, allowed: list[str]) -> None:
-        add(value.isNull(), field, NOT_NULL)
-        add(~value.isin(allowed), field, f"must be one of {', '.join(allowed)}")
-
-    for field in ("eventId", "clientIp", "path", "method"):
-        add(blank(event[field]), field, NOT_BLANK)
-    typed("timestamp", "an ISO-8601 instant", required=True)
-    typed("configId", "a whole number", required=True)
-    add(event["configId"] < 0, "configId", AT_LEAST.format(0))
-    typed("statusCode", "a whole number", required=True)
-    add(event["statusCode"] < 100, "statusCode", AT_LEAST.format(100))
-    add(event["statusCode"] > 599, "statusCode", AT_MOST.format(599))
+    def member(field: str, value: Column, allowed: list[str]) -> None:
+        found.append((field, NOT_NULL, value.isNull()))
+        found.append((field, f"must be one of {', '.join(allowed)}", ~value.isin(allowed)))
+
+    not_blank("eventId", "clientIp", "path", "method")
+    not_null("timestamp", "configId", "statusCode", "rule")
+    found.append(("configId", AT_LEAST.format(0), event["configId"] < 0))
+    found.append(("statusCode", AT_LEAST.format(100), event["statusCode"] < 100))
+    found.append(("statusCode", AT_MOST.format(599), event["statusCode"] > 599))
     for field in ("requestSize", "responseSize"):
-        typed(field, "a whole number", required=False)
-        add(event[field] < 0, field, AT_LEAST.format(0))
-    member(event["action"], "action", schema.ACTIONS)
+        size = event[field].try_cast("bigint")
+        found.append((field, "must be a whole number", event[field].isNotNull() & size.isNull()))
+        found.append((field, AT_LEAST.format(0), size < 0))
+    member("action", event["action"], schema.ACTIONS)
 
-    add(rule.isNull(), "rule", NOT_NULL)
     inside = len(found)
-    add(blank(rule["id"]), "rule.id", NOT_BLANK)
-    member(rule["severity"], "rule.severity", schema.SEVERITIES)
-    member(rule["category"], "rule.category", schema.CATEGORIES)
-    found[inside:] = [F.when(rule.isNotNull(), problem) for problem in found[inside:]]
+    found.append(("rule.id", NOT_BLANK, blank(rule["id"])))
+    member("rule.severity", rule["severity"], schema.SEVERITIES)
+    member("rule.category", rule["category"], schema.CATEGORIES)
+    found[inside:] = [(f, m, rule.isNotNull() & broken) for f, m, broken in found[inside:]]
+    return found
+
+
+def _no(broken: Column) -> Column:
+    return ~F.coalesce(broken, F.lit(False))
 
-    return F.array_compact(F.array(*found))
+
+def valid(event: Column) -> Column:
+    """True when the event breaks no constraint."""
+    return reduce(lambda a, b: a & b, [_no(broken) for _, _, broken in _constraints(event)])
+
+
+def _report(problems: list[tuple[str, str, Column]]) -> Column:
+    entries = [
+        F.when(broken, F.struct(F.lit(field).alias("field"), F.lit(message).alias("message")))
+        for field, message, broken in problems
+    ]
+    return F.array_compact(F.array(*entries)).cast(ERROR)
+
+
+def violations(event: Column) -> Column:
+    """All broken constraints of one event, as an array of ``(field, message)``.
+
+    The list is put together for bad events only.
+    """
+    return F.when(valid(event), F.array().cast(ERROR)).otherwise(_report(_constraints(event)))
 
 
 def judge_requests(
@@ -82,25 +88,28 @@ def judge_requests(
     in its own row, so whole-request rejection needs no shuffle.
     """
     items = F.col(events)
-    indexed = F.transform(
+    of_request = [
+        ("body", "must be an event or an array of events", items.isNull()),
+        ("events", NOT_EMPTY, F.size(items) == 0),
+        ("events", f"batch must not exceed {max_batch_size} events", F.size(items) > max_batch_size),
+    ]
+    of_events = F.flatten(F.transform(
         items,
         lambda item, i: F.transform(
-            violations(item, item["malformed"]),
+            violations(item),
             lambda v: F.struct(
                 F.concat(F.lit("["), i.cast("string"), F.lit("]."), v["field"]).alias("field"),
                 v["message"].alias("message"),
             ),
         ),
+    )).cast(ERROR)
+    none = F.array().cast(ERROR)
+    sound = F.coalesce(F.forall(items, valid), F.lit(False))
+    return requests.withColumn(
+        "errors",
+        F.when(sound & F.size(items).between(1, max_batch_size), none)
+        .otherwise(F.concat(_report(of_request), F.coalesce(of_events, none))),
     )
-    of_request = F.array_compact(F.array(
-        _problem(items.isNull(), "body", "must be an event or an array of events"),
-        _problem(F.size(items) == 0, "events", NOT_EMPTY),
-        _problem(
-            F.size(items) > max_batch_size, "events", f"batch must not exceed {max_batch_size} events"
-        ),
-    ))
-    of_events = F.coalesce(F.flatten(indexed), F.array().cast(ERROR))
-    return requests.withColumn("errors", F.concat(of_request.cast(ERROR), of_events.cast(ERROR)))
 
 
 def accepted_events(judged: DataFrame, events: str = "events", mode: str = "reject_batch") -> DataFrame:
@@ -117,7 +126,7 @@ def accepted_events(judged: DataFrame, events: str = "events", mode: str = "reje
         raise ValueError("mode must be reject_batch or quarantine")
     of_request = F.exists("errors", lambda e: e["field"].isin("body", "events"))
     kept = judged.where(~of_request).select(*others, F.posexplode(events).alias("idx", "event"))
-    return kept.where(F.size(violations(F.col("event"), F.col("event.malformed"))) == 0)
+    return kept.where(valid(F.col("event")))
 
 
 def request_errors(judged: DataFrame, events: str = "events") -> DataFrame:
@@ -147,15 +156,15 @@ def accept_rows(
     large. Batches are summed up before the shuffle, and the rows themselves
     move only when the list of refused batches is too large to broadcast.
     """
-    bad = F.size(violations(F.col("event"))) > 0
+    sound = valid(F.col("event"))
     if mode == "quarantine":
-        return rows.where(~bad)
+        return rows.where(sound)
     if mode != "reject_batch":
         raise ValueError("mode must be reject_batch or quarantine")
     refused = (
         rows.groupBy(batch_id)
-        .agg(F.max(bad).alias("bad"), F.count(F.lit(1)).alias("events"))
-        .where(F.col("bad") | (F.col("events") > max_batch_size))
+        .agg(F.min(sound).alias("sound"), F.count(F.lit(1)).alias("events"))
+        .where(~F.col("sound") | (F.col("events") > max_batch_size))
         .select(batch_id)
     )
     return rows.join(broadcast_if_small(refused), batch_id, "left_anti")

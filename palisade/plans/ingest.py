@@ -19,20 +19,29 @@ def enrich_batch(batch: DataFrame, history: DataFrame, received_at: Column, keep
     return enrich(flag_batch(batch, history), received_at, keep)
 
 
-def flag_backfill(events: DataFrame, in_order: bool = False) -> DataFrame:
+def flag_backfill(events: DataFrame, in_order: bool = False, scratch: str | None = None) -> DataFrame:
     """Add ``repeat_offender`` to many batches, as if ingested one by one in order of ``batch_id``.
 
     ``in_order`` promises that no batch holds events older than an earlier
-    batch's, which saves the second count of overtaken events.
+    batch's, which saves the second count of overtaken events. ``scratch``, a
+    folder that all executors share, takes the narrow list of flagged points
+    first; its size is then known when the wide events are joined to it, and a
+    short list spares them a shuffle.
     """
-    return offenders.with_repeat_offender(
-        events, offenders.prior_counts_replayed(events, in_order=in_order)
-    )
+    counts = offenders.prior_counts_replayed(events, in_order=in_order)
+    if scratch is not None:
+        offenders.repeat_points(counts).write.mode("overwrite").parquet(scratch)
+        return offenders.with_points(events, events.sparkSession.read.parquet(scratch))
+    return offenders.with_repeat_offender(events, counts)
 
 
 def enrich_backfill(
-    events: DataFrame, in_order: bool = False, received_at: Column | None = None, keep: list[str] = ()
+    events: DataFrame,
+    in_order: bool = False,
+    received_at: Column | None = None,
+    keep: list[str] = (),
+    scratch: str | None = None,
 ) -> DataFrame:
     """Many flat batches to rows of the event table."""
     received_at = F.col("received_at") if received_at is None else received_at
-    return enrich(flag_backfill(events, in_order), received_at, keep)
+    return enrich(flag_backfill(events, in_order, scratch), received_at, keep)

@@ -48,32 +48,32 @@ RULE = T.StructType([
 ])
 
 
-def _event(instant: T.DataType, integer: T.DataType, long: T.DataType) -> T.StructType:
+def _event(size: T.DataType) -> T.StructType:
     return T.StructType([
         T.StructField("eventId", T.StringType()),
-        T.StructField("timestamp", instant),
-        T.StructField("configId", long),
+        T.StructField("timestamp", T.TimestampType()),
+        T.StructField("configId", T.LongType()),
         T.StructField("policyId", T.StringType()),
         T.StructField("clientIp", T.StringType()),
         T.StructField("hostname", T.StringType()),
         T.StructField("path", T.StringType()),
         T.StructField("method", T.StringType()),
-        T.StructField("statusCode", integer),
+        T.StructField("statusCode", T.IntegerType()),
         T.StructField("userAgent", T.StringType()),
         T.StructField("rule", RULE),
         T.StructField("action", T.StringType()),
         T.StructField("geoLocation", GEO),
-        T.StructField("requestSize", long),
-        T.StructField("responseSize", long),
+        T.StructField("requestSize", size),
+        T.StructField("responseSize", size),
     ])
 
 
-# A raw event after parsing.
-EVENT = _event(T.TimestampType(), T.IntegerType(), T.LongType())
+# A raw event.
+EVENT = _event(T.LongType())
 
-# The same event as it is read from JSON: scalars stay text, so that a value
-# of the wrong type can be told apart from an absent one.
-EVENT_TEXT = _event(T.StringType(), T.StringType(), T.StringType())
+# The same as read from JSON: the optional sizes stay text, so that a value of
+# the wrong type can be told apart from an absent one.
+EVENT_JSON = _event(T.StringType())
 
 # The stored fact table.
 EVENT_TABLE = T.StructType([

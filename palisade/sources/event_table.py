@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,6 +10,12 @@ from palisade import schema
 from palisade.functions.instants import to_millis_precision
 from palisade.functions.text import or_empty
 
+# The stored columns that are known before enrichment.
+FLAT_COLUMNS = [
+    name for name in schema.EVENT_TABLE.fieldNames()
+    if name not in ("received_at", "attack_type", "threat_score")
+]
+
 SORT_COLUMNS = ["config_id", "timestamp", "client_ip", "event_id"]
 
 
@@ -39,45 +45,47 @@ def flatten(rows: DataFrame, keep: list[str] = (), event: str = "event") -> Data
         e["action"].alias("action"),
         or_empty(geo["country"]).alias("geo_country"),
         or_empty(geo["city"]).alias("geo_city"),
-        F.coalesce(e["requestSize"], F.lit(0)).cast("bigint").alias("request_size"),
-        F.coalesce(e["responseSize"], F.lit(0)).cast("bigint").alias("response_size"),
+        F.coalesce(e["requestSize"].try_cast("bigint"), F.lit(0)).alias("request_size"),
+        F.coalesce(e["responseSize"].try_cast("bigint"), F.lit(0)).alias("response_size"),
         *keep,
     )
 
 
-def nest(rows: DataFrame) -> DataFrame:
-    """Stored rows back to ``event``, ``attack_type``, ``threat_score``, ``received_at``."""
+def nested_event(geo: Column) -> Column:
+    """The nested event made of the flat columns."""
     c = F.col
-    return rows.select(
-        F.struct(
-            c("event_id").alias("eventId"),
-            c("timestamp"),
-            c("config_id").alias("configId"),
-            c("policy_id").alias("policyId"),
-            c("client_ip").alias("clientIp"),
-            c("hostname"),
-            c("path"),
-            c("method"),
-            c("status_code").alias("statusCode"),
-            c("user_agent").alias("userAgent"),
-            F.struct(
-                c("rule_id").alias("id"),
-                c("rule_name").alias("name"),
-                c("rule_message").alias("message"),
-                c("rule_severity").alias("severity"),
-                c("rule_category").alias("category"),
-            ).alias("rule"),
-            c("action"),
-            F.struct(c("geo_country").alias("country"), c("geo_city").alias("city")).alias("geoLocation"),
-            c("request_size").alias("requestSize"),
-            c("response_size").alias("responseSize"),
-        ).alias("event"),
-        "attack_type",
-        "threat_score",
-        "received_at",
+    rule = F.struct(
+        c("rule_id").alias("id"),
+        c("rule_name").alias("name"),
+        c("rule_message").alias("message"),
+        c("rule_severity").alias("severity"),
+        c("rule_category").alias("category"),
+    )
+    return F.struct(
+        c("event_id").alias("eventId"),
+        c("timestamp"),
+        c("config_id").alias("configId"),
+        c("policy_id").alias("policyId"),
+        c("client_ip").alias("clientIp"),
+        c("hostname"),
+        c("path"),
+        c("method"),
+        c("status_code").alias("statusCode"),
+        c("user_agent").alias("userAgent"),
+        rule.alias("rule"),
+        c("action"),
+        geo.alias("geoLocation"),
+        c("request_size").alias("requestSize"),
+        c("response_size").alias("responseSize"),
     )
 
 
+def nest(rows: DataFrame) -> DataFrame:
+    """Stored rows back to ``event``, ``attack_type``, ``threat_score``, ``received_at``."""
+    geo = F.struct(F.col("geo_country").alias("country"), F.col("geo_city").alias("city"))
+    return rows.select(nested_event(geo).alias("event"), "attack_type", "threat_score", "received_at")
+
+
 def append(rows: DataFrame, path: str, rebalance: bool = False) -> None:
     """Append enriched rows; the same event sent twice is stored twice.
 

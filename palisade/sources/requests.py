@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palisade import schema
-from palisade.functions.instants import parse_iso_instant, to_millis_precision
 
-_TYPED = {"timestamp": None, "configId": "bigint", "statusCode": "int",
-          "requestSize": "bigint", "responseSize": "bigint"}
+# Fixed value: an ISO-8601 instant, with up to nine digits of a second and an offset.
+INSTANT_FORMAT = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS]XXX"
 
 
 def read_requests(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
@@ -18,28 +17,12 @@ def read_requests(spark: SparkSession, path: str, whole_files: bool = False) ->
     return spark.read.text(path, wholetext=whole_files).withColumnRenamed("value", "body")
 
 
-def _typed(text: Column) -> Column:
-    """One event of text scalars to typed scalars, with the list of those that do not fit."""
-    fields, malformed = [], []
-    for name in schema.EVENT.fieldNames():
-        value = text[name]
-        if name in _TYPED:
-            kind = _TYPED[name]
-            value = parse_iso_instant(value) if kind is None else value.try_cast(kind)
-            malformed.append(F.when(text[name].isNotNull() & value.isNull(), F.lit(name)))
-            if kind is None:
-                value = to_millis_precision(value)
-        fields.append(value.alias(name))
-    return F.struct(*fields, F.array_compact(F.array(*malformed)).alias("malformed"))
-
-
 def parse_requests(requests: DataFrame, body: str = "body") -> DataFrame:
     """Replace ``body`` by ``events``, an array that is null when the body cannot be read.
 
-    A lone object becomes an array of one. Unknown fields are ignored.
+    A lone object becomes an array of one. Unknown fields are ignored, and a
+    value of the wrong type is null.
     """
     others = [c for c in requests.columns if c != body]
-    text = requests.select(
-        *others, F.from_json(body, T.ArrayType(schema.EVENT_TEXT)).alias("events")
-    )
-    return text.select(*others, F.transform("events", _typed).alias("events"))
+    events = F.from_json(body, T.ArrayType(schema.EVENT_JSON), {"timestampFormat": INSTANT_FORMAT})
+    return requests.select(*others, events.alias("events"))
