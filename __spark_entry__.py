@@ -34,26 +34,60 @@ START = datetime.fromtimestamp(driver_events.BASE_MS / 1000, timezone.utc)
 END = START + timedelta(hours=24)
 NOW = START + timedelta(hours=12)
 
-_tables: dict[tuple[str, str], str] = {}
+_tables: dict[tuple[str, str, str], str] = {}
 
 
-def stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event table of the mapped events, ingested once per application.
+def _kept(spark: SparkSession, sf_dir: str, table: str, write: Callable[[str], None]) -> str | None:
+    """Path of a table derived from the given ones, written once per application.
 
-    It is written to the folder the session names for checkpoints. Where the
-    session names none, the enriched rows are computed anew in each query.
+    It lies in the folder the session names for checkpoints; None where the
+    session names none, and the caller then computes the rows in each query.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, table)
     if key not in _tables:
-        flat = driver_events.flat_events(spark, sf_dir)
         folder = shared_folder(spark)
         if folder is None:
-            return ingest.enrich_backfill(flat, in_order=True)
-        name = f"{folder}/palisade-{uuid.uuid4().hex}"
-        rows = ingest.enrich_backfill(flat, in_order=True, scratch=f"{name}/points")
-        event_table.append(rows, f"{name}/events", rebalance=True)
-        _tables[key] = f"{name}/events"
-    return event_table.read(spark, _tables[key])
+            return None
+        path = f"{folder}/palisade-{uuid.uuid4().hex}/{table}"
+        write(path)
+        _tables[key] = path
+    return _tables[key]
+
+
+def stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table, as a backfill of the mapped events leaves it."""
+
+    def write(path: str) -> None:
+        rows = ingest.enrich_backfill(_flat(spark, sf_dir), in_order=True, scratch=f"{path}-points")
+        event_table.append(rows, path, rebalance=True)
+
+    path = _kept(spark, sf_dir, "events", write)
+    if path is None:
+        return ingest.enrich_backfill(_flat(spark, sf_dir), in_order=True)
+    return event_table.read(spark, path)
+
+
+def _landed(spark: SparkSession, sf_dir: str, table: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """Raw input as it would lie in a landing folder."""
+    path = _kept(spark, sf_dir, table, lambda path: make().write.parquet(path))
+    return make() if path is None else spark.read.parquet(path)
+
+
+def landed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _landed(spark, sf_dir, "requests", lambda: driver_events.requests(_raw(spark, sf_dir)))
+
+
+def landed_faulty_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _landed(
+        spark, sf_dir, "faulty_events", lambda: driver_events.with_faults(_raw(spark, sf_dir))
+    )
+
+
+def landed_faulty_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _landed(
+        spark, sf_dir, "faulty_requests",
+        lambda: driver_events.requests(landed_faulty_events(spark, sf_dir)),
+    )
 
 
 def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,14 +114,13 @@ def _last_tenant(flat: DataFrame) -> tuple[DataFrame, DataFrame]:
 # --- ingest ----------------------------------------------------------------
 
 def ingest_parse(spark, sf_dir):
-    parsed = requests.parse_requests(driver_events.requests(_raw(spark, sf_dir)))
+    parsed = requests.parse_requests(landed_requests(spark, sf_dir))
     events = parsed.select("request_id", F.posexplode("events").alias("idx", "event"))
     return _in_millis(event_table.flatten(events, keep=["request_id", "idx"]))
 
 
 def _judged(spark, sf_dir):
-    faulty = driver_events.with_faults(_raw(spark, sf_dir))
-    return validation.judge_requests(requests.parse_requests(driver_events.requests(faulty)))
+    return validation.judge_requests(requests.parse_requests(landed_faulty_requests(spark, sf_dir)))
 
 
 def request_verdicts(spark, sf_dir):
@@ -114,19 +147,18 @@ def quarantine_requests(spark, sf_dir):
 
 
 def validate_events(spark, sf_dir):
-    faulty = driver_events.with_faults(_raw(spark, sf_dir))
-    return faulty.select(
+    return landed_faulty_events(spark, sf_dir).select(
         "batch_id", "source_id", F.explode(validation.violations(F.col("event"))).alias("error")
     ).select("batch_id", "source_id", "error.field", "error.message")
 
 
 def accept_batches(spark, sf_dir):
-    kept = validation.accept_rows(driver_events.with_faults(_raw(spark, sf_dir)))
+    kept = validation.accept_rows(landed_faulty_events(spark, sf_dir))
     return kept.select("batch_id", "source_id")
 
 
 def accept_quarantine(spark, sf_dir):
-    kept = validation.accept_rows(driver_events.with_faults(_raw(spark, sf_dir)), "quarantine")
+    kept = validation.accept_rows(landed_faulty_events(spark, sf_dir), "quarantine")
     return kept.select("batch_id", "source_id")
 
 
@@ -345,16 +377,9 @@ def _defined_rules(spark, sf_dir):
 
 def stored_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The defined rules, kept in a table beside the event table."""
-    key = (spark.sparkContext.applicationId, f"rules {sf_dir}")
-    if key not in _tables:
-        rules = _defined_rules(spark, sf_dir)
-        folder = shared_folder(spark)
-        if folder is None:
-            return rules
-        name = f"{folder}/palisade-{uuid.uuid4().hex}/rules"
-        rules_table.append(rules, name)
-        _tables[key] = name
-    return rules_table.read(spark, _tables[key])
+    rules = _defined_rules(spark, sf_dir)
+    path = _kept(spark, sf_dir, "rules", lambda path: rules_table.append(rules, path))
+    return rules if path is None else rules_table.read(spark, path)
 
 
 def rules_define(spark, sf_dir):

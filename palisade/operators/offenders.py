@@ -59,11 +59,11 @@ def prior_counts(batch: DataFrame, history: DataFrame) -> DataFrame:
     stored = history_for_batch(history, batch).withColumn("n", F.lit(1))
     points = keyed(batch).withColumn("n", F.lit(0))
     counted = stored.unionByName(points).groupBy("client_ip", "ts_ms").agg(
-        F.sum("n").alias("n"), F.min("n").alias("lightest")
+        F.sum("n").alias("n"), (F.min("n") == 0).alias("asked")
     )
-    found = trailing(counted, ["client_ip"], -WINDOW_MS, -1, {"prior_count": lambda: F.sum("n")})
-    return found.where((F.col("lightest") == 0) & (F.col("prior_count") > 0)).select(
-        "client_ip", "ts_ms", "prior_count"
+    found = trailing(counted, ["client_ip"], -WINDOW_MS, -1, point=F.col("asked"))
+    return found.where("in_frame > 0").select(
+        "client_ip", "ts_ms", F.col("in_frame").alias("prior_count")
     )
 
 
@@ -73,7 +73,7 @@ def prior_counts_replayed(
     """``(client_ip, ts_ms, batch_id, prior_count)`` as if the batches had come one by one.
 
     Counts the address's events in the frame with a lower batch id. Where no
-    later batch reaches into the frame that is all events of the frame less
+    later batch reaches near the frame that is all events of the frame less
     those of the same batch. The other points, which exist only when batches
     arrive out of event-time order, are counted again exactly. ``in_order``
     says that there are none.
@@ -85,15 +85,9 @@ def prior_counts_replayed(
         keyed(events, F.col(batch_id).cast("bigint").alias("batch_id"))
         .select("*", F.explode(F.array("batch_id", F.lit(None).cast("bigint"))).alias("scope"))
         .groupBy("client_ip", "ts_ms", "scope")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("batch_id").alias("batch_id"))
-    )
-    found = trailing(
-        counted,
-        ["client_ip", "scope"],
-        -WINDOW_MS,
-        -1,
-        {"in_frame": lambda: F.sum("n"), "newest": lambda: F.max("batch_id")},
+        .agg(F.count(F.lit(1)).alias("n"), F.max("batch_id").alias("newest"))
     )
+    found = trailing(counted, ["client_ip", "scope"], -WINDOW_MS, -1, newest="newest")
     point = Window.partitionBy("client_ip", "ts_ms")
     of_address = lambda column: F.max(F.when(F.col("scope").isNull(), F.col(column))).over(point)
     simple = (
@@ -110,13 +104,15 @@ def prior_counts_replayed(
             "client_ip",
             "ts_ms",
             F.col("scope").alias("batch_id"),
-            (F.col("in_frame") - F.coalesce("same_batch", F.lit(0))).alias("prior_count"),
+            (F.col("in_frame") - F.col("same_batch")).alias("prior_count"),
             (F.col("newest") > F.col("scope")).alias("overtaken"),
         )
     )
     if in_order:
         return simple.where("prior_count > 0").drop("overtaken")
-    cells = counted.where(F.col("scope").isNotNull()).select("client_ip", "ts_ms", "batch_id", "n")
+    cells = counted.where(F.col("scope").isNotNull()).select(
+        "client_ip", "ts_ms", F.col("scope").alias("batch_id"), "n"
+    )
     exact = _lower_batches_in_frame(cells, simple.where("overtaken"))
     return (
         simple.where("not overtaken")
@@ -142,37 +138,32 @@ def _lower_batches_in_frame(cells: DataFrame, overtaken: DataFrame) -> DataFrame
         WINDOW_MS,
     )
     touched = points.groupBy("client_ip", "slice").agg(F.max("batch_id").alias("top"))
-    asked = points.select(
-        "*",
-        F.explode(
-            F.expr(f"filter({bits.format('batch_id')}, b -> getbit(batch_id, b) = 1)")
-        ).alias("bit"),
-    )
+    ones = F.expr(f"filter({bits.format('batch_id')}, b -> getbit(batch_id, b) = 1)")
+    zeros = F.expr(f"filter({bits.format('top')}, b -> getbit(batch_id, b) = 0)")
+    prefix = F.expr("shiftright(batch_id, bit + 1)").alias("prefix")
+    asked = points.select("*", F.explode(ones).alias("bit")).select("*", prefix)
     stored = (
         sliced(cells, WINDOW_MS)
         .join(touched, ["client_ip", "slice"])
-        .select(
-            "*",
-            F.explode(
-                F.expr(f"filter({bits.format('top')}, b -> getbit(batch_id, b) = 0)")
-            ).alias("bit"),
-        )
+        .select("*", F.explode(zeros).alias("bit"))
         .drop("top")
+        .select("*", prefix)
     )
-    prefix = F.expr("shiftright(batch_id, bit + 1)").alias("prefix")
     counted = (
-        asked.select("*", prefix)
-        .unionByName(stored.select("*", prefix))
+        asked.unionByName(stored)
         .groupBy(*keys, "ts_ms", "own_slice", "slice")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.sum("n").alias("n"), (F.min("n") == 0).alias("asked"))
+    )
+    answers = (
+        over_frame(counted, keys, -WINDOW_MS, -1, point=F.col("asked"))
+        .where("in_frame > 0")
+        .select(*keys, "ts_ms", "in_frame")
     )
-    found = over_frame(counted, keys, -WINDOW_MS, -1, {"lower": lambda: F.sum("n")})
-    answers = found.where("lower > 0").select(*keys, "ts_ms", "lower")
     return (
-        asked.select("client_ip", "ts_ms", "batch_id", "bit", prefix)
+        asked.select("client_ip", "ts_ms", "batch_id", "bit", "prefix")
         .join(answers, [*keys, "ts_ms"])
         .groupBy("client_ip", "ts_ms", "batch_id")
-        .agg(F.sum("lower").alias("prior_count"))
+        .agg(F.sum("in_frame").alias("prior_count"))
     )
 
 

@@ -52,7 +52,7 @@ def attack_waves(
         .agg(F.count(F.lit(1)).alias("n"))
     )
     return (
-        trailing(counted, keys, -within_ms, 0, {"in_frame": lambda: F.sum("n")})
+        trailing(counted, keys, -within_ms, 0)
         .groupBy(*keys)
         .agg(
             F.sum("n").alias("events"),
