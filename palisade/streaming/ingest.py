@@ -56,10 +56,11 @@ def ingest_batch(
     rows = enrich(flagged, instant_lit(now), keep=["request_id", "repeat_offender"])
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        event_table.replace_batch(rows.drop("request_id", "repeat_offender"), sinks.events, batch_id)
+        # The event table comes last: writing to it drops kept frames that read from it.
         _replace(quality.ingest_metrics(rows, "request_id"), sinks.metrics, batch_id)
         refused = judged.where(F.size("errors") > 0).select("request_id", F.col("text").alias("body"), "errors")
         _replace(refused, sinks.refused, batch_id)
+        event_table.replace_batch(rows.drop("request_id", "repeat_offender"), sinks.events, batch_id)
     finally:
         rows.unpersist()
         judged.unpersist()
