@@ -6,9 +6,9 @@ before the event's own, so each counted row is put into its own slice and the
 next one, and all further work is per (keys, slice): at most a few rows per
 millisecond of two slices, however many events one key has.
 
-Within a slice a count enters the frame at one time and leaves it at another.
-Both are written as changes, and the count in the frame is their running sum,
-which costs the same for a frame of ten rows and of a million.
+Within a slice, the slice's own counts enter the frame one after the other and
+those of the slice before leave it. The count in the frame is a running sum of
+both, which costs the same for a frame of ten rows and of a million.
 """
 
 from __future__ import annotations
@@ -41,32 +41,32 @@ def over_frame(
     both slices is added under the same name. That is at least its highest
     value in the frame.
     """
-    point = F.lit(True) if point is None else point
     at_home = F.col("slice") == F.col("own_slice")
+    changed = slices.withColumns({
+        "at": F.when(at_home, F.col("ts_ms")).otherwise(F.col("ts_ms") - lower_ms + upper_ms + 1),
+        "delta": F.when(at_home, F.col("n")).otherwise(-F.col("n")),
+    })
+    in_slice = Window.partitionBy(*keys, "slice").orderBy("at")
+    so_far = in_slice.rangeBetween(Window.unboundedPreceding, upper_ms)
+    whole = in_slice.rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
-    def change(at: Column, delta: Column, is_point: bool) -> Column:
-        return F.struct(
-            at.alias("at"), delta.cast("bigint").alias("delta"), F.lit(is_point).alias("point")
-        )
+    def before(column: str) -> Column:
+        return F.when(~at_home, F.col(column))
 
-    changes = F.array_compact(F.array(
-        F.when(at_home & point, change(F.col("ts_ms"), F.lit(0), True)),
-        F.when(F.col("n") > 0, change(F.col("ts_ms") - upper_ms, F.col("n"), False)),
-        F.when((F.col("n") > 0) & ~at_home, change(F.col("ts_ms") - lower_ms + 1, -F.col("n"), False)),
-    ))
-    running = (
-        Window.partitionBy(*keys, "slice")
-        .orderBy("at")
-        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    measures = {"in_frame": F.sum("delta").over(running)}
+    nothing = F.lit(0).cast("bigint")
+    measures = {
+        "in_frame": F.coalesce(F.sum("delta").over(so_far), nothing)
+        + F.coalesce(F.sum(before("n")).over(whole), nothing)
+    }
     if newest is not None:
-        measures[newest] = F.max(F.when(F.col("delta") > 0, F.col(newest))).over(running)
+        measures[newest] = F.greatest(
+            F.max(F.when(at_home, F.col(newest))).over(so_far), F.max(before(newest)).over(whole)
+        )
+    wanted = at_home if point is None else at_home & point
     return (
-        slices.select("*", F.inline(changes))
-        .withColumns(measures)
-        .where("point")
-        .drop("own_slice", "slice", "at", "delta", "point")
+        changed.withColumns(measures)
+        .where(wanted)
+        .drop("own_slice", "slice", "at", "delta")
     )
 
 
