@@ -148,7 +148,7 @@ def quarantine_requests(spark, sf_dir):
 
 def validate_events(spark, sf_dir):
     return landed_faulty_events(spark, sf_dir).select(
-        "batch_id", "source_id", F.explode(validation.violations(F.col("event"))).alias("error")
+        "batch_id", "source_id", F.explode(validation.violations()).alias("error")
     ).select("batch_id", "source_id", "error.field", "error.message")
 
 

@@ -9,10 +9,5 @@ from pyspark.sql import functions as F
 HAS_INK = r"[^\x00-\x20]"
 
 
-def blank(text: Column) -> Column:
-    """True for null, empty and white-space-only text."""
-    return F.coalesce(~text.rlike(HAS_INK), F.lit(True))
-
-
 def or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))

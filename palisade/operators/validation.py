@@ -1,14 +1,16 @@
-"""Validation of raw events, of requests that hold many, and of batches of rows."""
+"""Validation of raw events, of requests that hold many, and of batches of rows.
 
-from __future__ import annotations
+The constraints are SQL text over an event called ``{e}``, so that the same
+ones serve rows with one event each and arrays inside a request.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade import schema
-from palisade.functions.text import blank
+from palisade.functions.text import HAS_INK
 from palisade.operators.sizes import broadcast_if_small
 
 NOT_NULL = "must not be null"
@@ -17,66 +19,85 @@ NOT_EMPTY = "must not be empty"
 AT_LEAST = "must be greater than or equal to {}"
 AT_MOST = "must be less than or equal to {}"
 
-ERROR = "array<struct<field:string,message:string>>"
+_ERRORS = "array<struct<field:string,message:string>>"
+_NONE = f"cast(array() as {_ERRORS})"
+
 
+def _blank(field: str) -> tuple[str, str, str]:
+    pattern = HAS_INK.replace("\\", "\\\\")
+    return field, NOT_BLANK, f"not coalesce({{e}}.{field} rlike '{pattern}', false)"
 
-def _constraints(event: Column) -> list[tuple[str, str, Column]]:
-    """``(field, message, broken)`` for every constraint; ``broken`` may be null, meaning no."""
-    rule = event["rule"]
-    found: list[tuple[str, str, Column]] = []
 
-    def not_blank(*fields: str) -> None:
-        found.extend((field, NOT_BLANK, blank(event[field])) for field in fields)
+def _null(field: str) -> tuple[str, str, str]:
+    return field, NOT_NULL, f"{{e}}.{field} is null"
+
+
+def _member(field: str, allowed: list[str]) -> list[tuple[str, str, str]]:
+    names = ", ".join(f"'{name}'" for name in allowed)
+    return [
+        _null(field),
+        (field, f"must be one of {', '.join(allowed)}", f"{{e}}.{field} not in ({names})"),
+    ]
 
-    def not_null(*fields: str) -> None:
-        found.extend((field, NOT_NULL, event[field].isNull()) for field in fields)
 
-    def member(field: str, value: Column, allowed: list[str]) -> None:
-        found.append((field, NOT_NULL, value.isNull()))
-        found.append((field, f"must be one of {', '.join(allowed)}", ~value.isin(allowed)))
+def _size(field: str) -> list[tuple[str, str, str]]:
+    number = f"try_cast({{e}}.{field} as bigint)"
+    return [
+        (field, "must be a whole number", f"{{e}}.{field} is not null and {number} is null"),
+        (field, AT_LEAST.format(0), f"{number} < 0"),
+    ]
 
-    not_blank("eventId", "clientIp", "path", "method")
-    not_null("timestamp", "configId", "statusCode", "rule")
-    found.append(("configId", AT_LEAST.format(0), event["configId"] < 0))
-    found.append(("statusCode", AT_LEAST.format(100), event["statusCode"] < 100))
-    found.append(("statusCode", AT_MOST.format(599), event["statusCode"] > 599))
-    for field in ("requestSize", "responseSize"):
-        size = event[field].try_cast("bigint")
-        found.append((field, "must be a whole number", event[field].isNotNull() & size.isNull()))
-        found.append((field, AT_LEAST.format(0), size < 0))
-    member("action", event["action"], schema.ACTIONS)
 
-    inside = len(found)
-    found.append(("rule.id", NOT_BLANK, blank(rule["id"])))
-    member("rule.severity", rule["severity"], schema.SEVERITIES)
-    member("rule.category", rule["category"], schema.CATEGORIES)
-    found[inside:] = [(f, m, rule.isNotNull() & broken) for f, m, broken in found[inside:]]
-    return found
+_OF_RULE = [
+    _blank("rule.id"),
+    *_member("rule.severity", schema.SEVERITIES),
+    *_member("rule.category", schema.CATEGORIES),
+]
+
+# Field, message, and the SQL condition under which it is reported.
+CONSTRAINTS = [
+    *[_blank(field) for field in ("eventId", "clientIp", "path", "method")],
+    *[_null(field) for field in ("timestamp", "configId", "statusCode", "rule")],
+    ("configId", AT_LEAST.format(0), "{e}.configId < 0"),
+    ("statusCode", AT_LEAST.format(100), "{e}.statusCode < 100"),
+    ("statusCode", AT_MOST.format(599), "{e}.statusCode > 599"),
+    *_size("requestSize"),
+    *_size("responseSize"),
+    *_member("action", schema.ACTIONS),
+    *[(field, text, f"{{e}}.rule is not null and {broken}") for field, text, broken in _OF_RULE],
+]
+
+
+def _report(problems: list[tuple[str, str, str]]) -> str:
+    entries = ", ".join(
+        f"case when {broken} then named_struct('field', '{field}', 'message', '{text}') end"
+        for field, text, broken in problems
+    )
+    return f"cast(array_compact(array({entries})) as {_ERRORS})"
 
 
-def _no(broken: Column) -> Column:
-    return ~F.coalesce(broken, F.lit(False))
+def _valid(event: str) -> str:
+    return " and ".join(
+        f"not coalesce({broken.format(e=event)}, false)" for _, _, broken in CONSTRAINTS
+    )
 
 
-def valid(event: Column) -> Column:
-    """True when the event breaks no constraint."""
-    return reduce(lambda a, b: a & b, [_no(broken) for _, _, broken in _constraints(event)])
+def _violations(event: str) -> str:
+    named = [(field, text, broken.format(e=event)) for field, text, broken in CONSTRAINTS]
+    return f"case when {_valid(event)} then {_NONE} else {_report(named)} end"
 
 
-def _report(problems: list[tuple[str, str, Column]]) -> Column:
-    entries = [
-        F.when(broken, F.struct(F.lit(field).alias("field"), F.lit(message).alias("message")))
-        for field, message, broken in problems
-    ]
-    return F.array_compact(F.array(*entries)).cast(ERROR)
+def valid(event: str = "event") -> Column:
+    """True when the event in the named column breaks no constraint."""
+    return F.expr(_valid(event))
 
 
-def violations(event: Column) -> Column:
+def violations(event: str = "event") -> Column:
     """All broken constraints of one event, as an array of ``(field, message)``.
 
     The list is put together for bad events only.
     """
-    return F.when(valid(event), F.array().cast(ERROR)).otherwise(_report(_constraints(event)))
+    return F.expr(_violations(event))
 
 
 def judge_requests(
@@ -87,29 +108,20 @@ def judge_requests(
     An empty array means the request is accepted. All events of a request sit
     in its own row, so whole-request rejection needs no shuffle.
     """
-    items = F.col(events)
-    of_request = [
-        ("body", "must be an event or an array of events", items.isNull()),
-        ("events", NOT_EMPTY, F.size(items) == 0),
-        ("events", f"batch must not exceed {max_batch_size} events", F.size(items) > max_batch_size),
-    ]
-    of_events = F.flatten(F.transform(
-        items,
-        lambda item, i: F.transform(
-            violations(item),
-            lambda v: F.struct(
-                F.concat(F.lit("["), i.cast("string"), F.lit("]."), v["field"]).alias("field"),
-                v["message"].alias("message"),
-            ),
-        ),
-    )).cast(ERROR)
-    none = F.array().cast(ERROR)
-    sound = F.coalesce(F.forall(items, valid), F.lit(False))
-    return requests.withColumn(
-        "errors",
-        F.when(sound & F.size(items).between(1, max_batch_size), none)
-        .otherwise(F.concat(_report(of_request), F.coalesce(of_events, none))),
-    )
+    of_request = _report([
+        ("body", "must be an event or an array of events", f"{events} is null"),
+        ("events", NOT_EMPTY, f"size({events}) = 0"),
+        ("events", f"batch must not exceed {max_batch_size} events", f"size({events}) > {max_batch_size}"),
+    ])
+    of_events = f"""flatten(transform({events}, (e, i) -> transform(
+        {_violations('e')},
+        v -> named_struct('field', concat('[', i, '].', v.field), 'message', v.message)
+    )))"""
+    sound = f"size({events}) between 1 and {max_batch_size} and forall({events}, e -> {_valid('e')})"
+    return requests.withColumn("errors", F.expr(
+        f"case when {sound} then {_NONE} "
+        f"else concat({of_request}, coalesce(cast({of_events} as {_ERRORS}), {_NONE})) end"
+    ))
 
 
 def accepted_events(judged: DataFrame, events: str = "events", mode: str = "reject_batch") -> DataFrame:
@@ -126,7 +138,7 @@ def accepted_events(judged: DataFrame, events: str = "events", mode: str = "reje
         raise ValueError("mode must be reject_batch or quarantine")
     of_request = F.exists("errors", lambda e: e["field"].isin("body", "events"))
     kept = judged.where(~of_request).select(*others, F.posexplode(events).alias("idx", "event"))
-    return kept.where(valid(F.col("event")))
+    return kept.where(valid())
 
 
 def request_errors(judged: DataFrame, events: str = "events") -> DataFrame:
@@ -156,7 +168,7 @@ def accept_rows(
     large. Batches are summed up before the shuffle, and the rows themselves
     move only when the list of refused batches is too large to broadcast.
     """
-    sound = valid(F.col("event"))
+    sound = valid()
     if mode == "quarantine":
         return rows.where(sound)
     if mode != "reject_batch":

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -33,7 +34,10 @@ def shared_folder(spark: SparkSession) -> str | None:
     if folder:
         return folder.rstrip("/")
     if spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="palisade-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        return folder
+        return _local_folder()
     return None
+
+
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="palisade-")

@@ -16,11 +16,12 @@ from palisade.session import configure  # noqa: E402
 def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master("local[8]")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "4g")
         .config("spark.sql.maxMetadataStringLength", "4000")
+        .config("spark.default.parallelism", "2")
         .config("spark.sql.debug.maxToStringFields", "200")
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
         .getOrCreate()
