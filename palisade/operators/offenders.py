@@ -45,18 +45,23 @@ def history_of_addresses(history: DataFrame, addresses: DataFrame, from_, to) ->
     return keyed(matching(history, from_, to)).join(wanted, "client_ip", "left_semi")
 
 
-def history_for_batch(history: DataFrame, batch: DataFrame) -> DataFrame:
-    """The stored events that can matter to a batch."""
-    bounds = batch_bounds(batch)
+def reach(bounds):
+    """The range of stored events that can matter to a batch with these bounds."""
+    low, high = bounds
+    return low - timedelta(milliseconds=WINDOW_MS), high
+
+
+def history_for_batch(history: DataFrame, batch: DataFrame, bounds=None) -> DataFrame:
+    """The stored events that can matter to a batch; ``bounds`` if they are known already."""
+    bounds = batch_bounds(batch) if bounds is None else bounds
     if bounds is None:
         return keyed(history).limit(0)
-    low, high = bounds
-    return history_of_addresses(history, batch, low - timedelta(milliseconds=WINDOW_MS), high)
+    return history_of_addresses(history, batch, *reach(bounds))
 
 
-def prior_counts(batch: DataFrame, history: DataFrame) -> DataFrame:
+def prior_counts(batch: DataFrame, history: DataFrame, bounds=None) -> DataFrame:
     """``(client_ip, ts_ms, prior_count)`` for the points of a batch with any history."""
-    stored = history_for_batch(history, batch).withColumn("n", F.lit(1))
+    stored = history_for_batch(history, batch, bounds).withColumn("n", F.lit(1))
     points = keyed(batch).withColumn("n", F.lit(0))
     counted = stored.unionByName(points).groupBy("client_ip", "ts_ms").agg(
         F.sum("n").alias("n"), (F.min("n") == 0).alias("asked")

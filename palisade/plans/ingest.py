@@ -9,9 +9,9 @@ from palisade.operators import offenders
 from palisade.operators.enrichment import enrich
 
 
-def flag_batch(batch: DataFrame, history: DataFrame) -> DataFrame:
+def flag_batch(batch: DataFrame, history: DataFrame, bounds=None) -> DataFrame:
     """Add ``repeat_offender`` to one flat batch, seen against the events stored before it."""
-    return offenders.with_repeat_offender(batch, offenders.prior_counts(batch, history))
+    return offenders.with_repeat_offender(batch, offenders.prior_counts(batch, history, bounds))
 
 
 def enrich_batch(batch: DataFrame, history: DataFrame, received_at: Column, keep: list[str] = ()) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +19,9 @@ FLAT_COLUMNS = [
     if name not in ("received_at", "attack_type", "threat_score")
 ]
 
+# Beyond this many days a read lists the whole table.
+_MOST_DAYS = 1000
+
 SORT_COLUMNS = ["config_id", "timestamp", "client_ip", "event_id"]
 
 
@@ -121,6 +127,31 @@ def table_schema(with_batches: bool = False) -> T.StructType:
     return T.StructType(fields)
 
 
-def read(spark: SparkSession, path: str, with_batches: bool = False) -> DataFrame:
-    """The event table with its day column; ``with_batches`` for tables written by a stream."""
-    return spark.read.schema(table_schema(with_batches)).parquet(path)
+def read(
+    spark: SparkSession,
+    path: str,
+    with_batches: bool = False,
+    between: tuple[date, date] | None = None,
+) -> DataFrame:
+    """The event table with its day column; ``with_batches`` for tables written by a stream.
+
+    Reading lists all folders of the table. Given the first and last day of
+    interest in ``between``, only those days are listed, and a table that is
+    not there yet reads as empty.
+    """
+    reader = spark.read.schema(table_schema(with_batches)).option("basePath", path)
+    if between is None:
+        return reader.parquet(path)
+    first, last = between
+    span = (last - first).days + 1
+    names = ",".join((first + timedelta(days=n)).isoformat() for n in range(min(span, _MOST_DAYS)))
+    try:
+        return reader.parquet(f"{path}/event_date={{{names}}}" if span <= _MOST_DAYS else f"{path}/event_date=*")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+    return empty(spark, with_batches)
+
+
+def empty(spark: SparkSession, with_batches: bool = False) -> DataFrame:
+    return spark.createDataFrame([], table_schema(with_batches))

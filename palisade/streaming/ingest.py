@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark import StorageLevel
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,6 +15,7 @@ from palisade import schema
 from palisade.functions.instants import instant_lit
 from palisade.operators import quality, validation
 from palisade.operators.enrichment import enrich
+from palisade.operators.offenders import batch_bounds, reach
 from palisade.plans.ingest import flag_batch
 from palisade.sources import event_table
 from palisade.sources.requests import parse_requests
@@ -51,8 +51,10 @@ def ingest_batch(
     judged = validation.judge_requests(parse_requests(numbered), max_batch_size=max_batch_size)
     judged = judged.persist(StorageLevel.MEMORY_AND_DISK)
     accepted = validation.accepted_events(judged.drop("text"), mode=mode)
-    history = _stored(spark, sinks.events).where(F.col("ingest_batch") < batch_id)
-    flagged = flag_batch(event_table.flatten(accepted, keep=["request_id"]), history)
+    batch = event_table.flatten(accepted, keep=["request_id"])
+    bounds = batch_bounds(batch)
+    history = _stored(spark, sinks.events, bounds)
+    flagged = flag_batch(batch, history.where(F.col("ingest_batch") < batch_id), bounds)
     rows = enrich(flagged, instant_lit(now), keep=["request_id", "repeat_offender"])
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -66,14 +68,12 @@ def ingest_batch(
         judged.unpersist()
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame:
-    """The event table so far, empty before the first batch."""
-    try:
-        return event_table.read(spark, path, with_batches=True)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-    return spark.createDataFrame([], event_table.table_schema(with_batches=True))
+def _stored(spark: SparkSession, path: str, bounds) -> DataFrame:
+    """The stored events of the days that can matter to a batch with these bounds."""
+    if bounds is None:
+        return event_table.empty(spark, with_batches=True)
+    first, last = reach(bounds)
+    return event_table.read(spark, path, with_batches=True, between=(first.date(), last.date()))
 
 
 def _replace(rows: DataFrame, path: str, batch_id: int) -> None:

@@ -61,6 +61,23 @@ def test_a_range_that_ends_at_midnight_leaves_the_next_day_out(spark, tmp_path):
     assert "2026-05-20" in plan_of(found).split("PartitionFilters: [")[1].split("]")[0]
 
 
+def test_reading_some_days(spark, tmp_path):
+    path = str(tmp_path / "t")
+    day = lambda text: at(f"{text}T00:00:00Z").date()
+    ids = lambda df: sorted(r["event_id"] for r in df.collect())
+    some, later, all_time = [
+        (day(a), day(b)) for a, b in
+        [("2026-05-20", "2026-05-25"), ("2026-06-01", "2026-06-02"), ("1970-01-01", "2200-01-01")]
+    ]
+    assert event_table.read(spark, path, between=some).count() == 0
+    event_table.append(sample(spark), path)
+    found = event_table.read(spark, path, between=some)
+    assert ids(found) == ["e1", "e2", "e3"]
+    assert len(found.inputFiles()) < len(event_table.read(spark, path).inputFiles())
+    assert event_table.read(spark, path, between=later).count() == 0
+    assert ids(event_table.read(spark, path, between=all_time)) == ["e0", "e1", "e2", "e3"]
+
+
 def test_nested_and_flat_forms(spark):
     body = json.dumps(event(policyId="p", geoLocation={"country": "US"}, requestSize=7, rule_name="n"))
     parsed = parse_requests(spark.createDataFrame([(0, body)], "request_id int, body string"))
