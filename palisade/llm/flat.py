@@ -36,7 +36,7 @@ LOWER_VALUES = BYTE_VALUES[LOWER]
 
 
 @cache
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     n = 1 << bits
     up, down = np.full(n, _MULTIPLIER), np.full(n, _INVERSE)
     up[0] = down[0] = 1
@@ -71,7 +71,7 @@ class Flat:
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
         """64-bit hashes of the byte spans; with ``lower``, A-Z count as a-z."""
-        up, down = _powers(max(16, int(len(self.bytes)).bit_length()))
+        up, down = powers(max(16, int(len(self.bytes)).bit_length()))
         if self._sums is None or self._sums[0] != lower:
             sums = np.empty(len(self.bytes) + 1, np.uint64)
             sums[0] = 0
