@@ -461,9 +461,19 @@ def entry(spark: SparkSession) -> DataFrame:
     return summary_by_category(configure(spark), "/root/testdata/sf0.001")
 
 
+def _corpus() -> tuple[dict[str, Callable], dict[str, str]]:
+    """Queries and SQL of the corpus operators, where that subpackage is installed."""
+    try:
+        import corpus_pipeline  # noqa: F401
+        from palisade.llm import queries as corpus
+    except ImportError:
+        return {}, {}
+    return corpus.QUERIES, corpus.ORACLE
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _configured(query) for name, query in _QUERIES.items()}
+    return {name: _configured(query) for name, query in (_QUERIES | _corpus()[0]).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return ORACLE | _corpus()[1]
