@@ -16,6 +16,8 @@ ARROW_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
     "spark.sql.session.timeZone": "UTC",
+    # What a finished step shuffled is not read again: its result is in the shared folder.
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
 }
 
 
