@@ -143,13 +143,15 @@ def cut_windows(flat: Flat) -> tuple[np.ndarray, np.ndarray]:
 def training_rows(labelled: DataFrame, sample: int = SAMPLE, pieces: int = PIECES) -> DataFrame:
     """At most about ``sample`` rows per language, by smallest hash, as hashed pieces of their texts."""
     turn = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = labelled.where("lang is not null and length(text) >= 4").select("lang", "text", "doc_id", turn.alias("turn"))
-    share = rows.groupBy("lang").agg((F.lit(float(sample)) / F.count("*")).alias("share"))
-    chosen = rows.join(share, "lang").where("turn < share")
     place = lambda k: (
         F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(F.lit(1), F.length("text") - WINDOW // 2)) + 1
     ).cast("int")
-    return chosen.select("lang", "doc_id", F.explode(F.array(*[F.substr("text", place(k), F.lit(WINDOW)) for k in range(pieces)])).alias("piece"))
+    # Pieces are cut before the join, so that no whole text moves.
+    rows = labelled.where("lang is not null and length(text) >= 4").select(
+        "lang", "doc_id", turn.alias("turn"), F.array(*[F.substr("text", place(k), F.lit(WINDOW)) for k in range(pieces)]).alias("pieces")
+    )
+    share = rows.groupBy("lang").agg((F.lit(float(sample)) / F.count("*")).alias("share"))
+    return rows.join(share, "lang").where("turn < share").select("lang", "doc_id", F.explode("pieces").alias("piece"))
 
 
 def learn(labelled: DataFrame, **options) -> Network | None:
