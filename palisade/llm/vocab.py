@@ -14,7 +14,7 @@ import numpy as np
 
 from palisade.llm.flat import Flat, within
 
-CACHE = 1_000_000
+CACHE = 400_000
 _JOIN = 400
 
 # Byte classes: 0 white space, 1 letter, 2 digit, 3 other ASCII, 4 to be left whole.
