@@ -32,6 +32,14 @@ def as_datetime(value) -> datetime:
     return value.astimezone(timezone.utc)
 
 
+def earlier(value: datetime, span: timedelta | float) -> datetime | None:
+    """``value - span`` (minutes, if a number); None where that lies before the first representable instant."""
+    try:
+        return value - (span if isinstance(span, timedelta) else timedelta(minutes=span))
+    except OverflowError:
+        return None
+
+
 def epoch_micros(value) -> int:
     return (as_datetime(value) - EPOCH) // timedelta(microseconds=1)
 

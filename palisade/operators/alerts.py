@@ -7,12 +7,10 @@ the rules are looked up among those few cells instead of the events.
 
 from __future__ import annotations
 
-from datetime import timedelta
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palisade.functions.instants import as_datetime, epoch_micros, instant_lit
+from palisade.functions.instants import as_datetime, earlier, epoch_micros, instant_lit
 from palisade.operators.filters import matching
 
 _MINUTE_US = 60_000_000
@@ -25,7 +23,8 @@ def age_cells(events: DataFrame, now, minutes: int) -> DataFrame:
     An event at age a is inside exactly the windows of a minutes or more. A
     null ``config_id`` stands for all configurations together.
     """
-    recent = matching(events, as_datetime(now) - timedelta(minutes=minutes), now)
+    # A window that reaches before the first representable instant has no lower bound.
+    recent = matching(events, earlier(as_datetime(now), minutes), now)
     age = F.ceil((F.lit(epoch_micros(now)) - F.unix_micros("timestamp")) / F.lit(_MINUTE_US))
     by_config = (
         recent.groupBy(F.col("rule_category").alias("category"), "config_id", age.alias("age"))

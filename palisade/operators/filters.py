@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade import schema
-from palisade.functions.instants import as_datetime, instant_lit
+from palisade.functions.instants import as_datetime, earlier, instant_lit
 
 
 def check_range(from_, to, required: bool = True) -> None:
@@ -45,12 +45,12 @@ def matching(
     if from_ is not None:
         conditions.append(F.col("timestamp") >= instant_lit(from_))
         if by_day:
-            conditions.append(F.col("event_date") >= F.lit(as_datetime(from_).date()))
+            conditions.append(F.col("event_date") >= F.lit(as_datetime(from_).date().isoformat()).cast("date"))
     if to is not None:
         conditions.append(F.col("timestamp") < instant_lit(to))
         if by_day:
-            last = as_datetime(to) - timedelta(microseconds=1)
-            conditions.append(F.col("event_date") <= F.lit(last.date()))
+            last = earlier(as_datetime(to), timedelta(microseconds=1)) or as_datetime(to)
+            conditions.append(F.col("event_date") <= F.lit(last.date().isoformat()).cast("date"))
     if config_id is not None:
         conditions.append(F.col("config_id") == F.lit(config_id).cast("bigint"))
     if category is not None:

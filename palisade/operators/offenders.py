@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade import schema
-from palisade.functions.instants import EPOCH, millis
+from palisade.functions.instants import EPOCH, earlier, millis
 from palisade.operators.filters import matching
 from palisade.operators.sizes import broadcast_if_small
 from palisade.operators.trailing import over_frame, sliced, trailing
@@ -46,9 +46,12 @@ def history_of_addresses(history: DataFrame, addresses: DataFrame, from_, to) ->
 
 
 def reach(bounds):
-    """The range of stored events that can matter to a batch with these bounds."""
+    """The range of stored events that can matter to a batch with these bounds.
+
+    None for a lower bound that would lie before the first representable instant.
+    """
     low, high = bounds
-    return low - timedelta(milliseconds=WINDOW_MS), high
+    return earlier(low, timedelta(milliseconds=WINDOW_MS)), high
 
 
 def history_for_batch(history: DataFrame, batch: DataFrame, bounds=None) -> DataFrame:
@@ -59,6 +62,22 @@ def history_for_batch(history: DataFrame, batch: DataFrame, bounds=None) -> Data
     return history_of_addresses(history, batch, *reach(bounds))
 
 
+def prior_counts_in_requests(batch: DataFrame, history: DataFrame, bounds=None) -> DataFrame:
+    """``(client_ip, ts_ms, batch_id, prior_count)`` for several requests that come one after the other.
+
+    ``batch_id`` (1 and up) is their order; each sees the history and the
+    requests before it.
+    """
+    bounds = batch_bounds(batch) if bounds is None else bounds
+    narrow = batch.select("client_ip", "timestamp", "batch_id")
+    if bounds is None:
+        return prior_counts_replayed(narrow)
+    wanted = broadcast_if_small(batch.select("client_ip").distinct())
+    stored = matching(history, *reach(bounds)).join(wanted, "client_ip", "left_semi")
+    before = stored.select("client_ip", "timestamp", F.lit(0).cast("bigint").alias("batch_id"))
+    return prior_counts_replayed(narrow.unionByName(before)).where("batch_id > 0")
+
+
 def prior_counts(batch: DataFrame, history: DataFrame, bounds=None) -> DataFrame:
     """``(client_ip, ts_ms, prior_count)`` for the points of a batch with any history."""
     stored = history_for_batch(history, batch, bounds).withColumn("n", F.lit(1))

@@ -22,6 +22,7 @@ FLAT_COLUMNS = [
 # Beyond this many days a read lists the whole table.
 _MOST_DAYS = 1000
 
+PARTITIONS = ["event_date", "ingest_run", "ingest_batch"]
 SORT_COLUMNS = ["config_id", "timestamp", "client_ip", "event_id"]
 
 
@@ -92,23 +93,31 @@ def nest(rows: DataFrame) -> DataFrame:
     return rows.select(nested_event(geo).alias("event"), "attack_type", "threat_score", "received_at")
 
 
-def append(rows: DataFrame, path: str, rebalance: bool = False) -> None:
+def append(rows: DataFrame, path: str, rebalance: bool = False, run: str = "backfill") -> None:
     """Append enriched rows; the same event sent twice is stored twice.
 
-    The table is partitioned by day, and files are sorted so that row groups
-    can be skipped by configuration and time. ``rebalance`` is for backfills:
-    it gathers each day into files of even size, splitting large days.
+    The table is partitioned by day, run and batch, and files are sorted so
+    that row groups can be skipped by configuration and time. Appended rows are
+    batch 0 of ``run``. ``rebalance`` is for backfills: it gathers each day into
+    files of even size, splitting large days.
     """
-    _layout(rows, rebalance).write.mode("append").partitionBy("event_date").parquet(path)
+    _layout(stamped(rows, run, 0), rebalance).write.mode("append").partitionBy(*PARTITIONS).parquet(path)
 
 
-def replace_batch(rows: DataFrame, path: str, ingest_batch: int) -> None:
-    """Write the rows of one micro-batch, replacing what an earlier try left behind."""
+def stamped(rows: DataFrame, run: str, ingest_batch: int) -> DataFrame:
+    """Rows with the run and the batch that stored them."""
+    return rows.withColumns({
+        "ingest_run": F.lit(run), "ingest_batch": F.lit(ingest_batch).cast("bigint"),
+    })
+
+
+def replace_batch(rows: DataFrame, path: str, run: str, ingest_batch: int) -> None:
+    """Write the rows of one micro-batch, replacing what an earlier try of the same run left behind."""
     (
-        _layout(rows.withColumn("ingest_batch", F.lit(ingest_batch).cast("bigint")), False)
+        _layout(stamped(rows, run, ingest_batch), False)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("event_date", "ingest_batch")
+        .partitionBy(*PARTITIONS)
         .parquet(path)
     )
 
@@ -123,7 +132,7 @@ def _layout(rows: DataFrame, rebalance: bool) -> DataFrame:
 def table_schema(with_batches: bool = False) -> T.StructType:
     fields = schema.EVENT_TABLE.fields + [T.StructField("event_date", T.DateType())]
     if with_batches:
-        fields = fields + [T.StructField("ingest_batch", T.LongType())]
+        fields = fields + [T.StructField("ingest_run", T.StringType()), T.StructField("ingest_batch", T.LongType())]
     return T.StructType(fields)
 
 
@@ -131,22 +140,24 @@ def read(
     spark: SparkSession,
     path: str,
     with_batches: bool = False,
-    between: tuple[date, date] | None = None,
+    between: tuple[date | None, date] | None = None,
 ) -> DataFrame:
-    """The event table with its day column; ``with_batches`` for tables written by a stream.
+    """The event table with its day column; ``with_batches`` also gives the run and batch that stored a row.
 
     Reading lists all folders of the table. Given the first and last day of
     interest in ``between``, only those days are listed, and a table that is
     not there yet reads as empty.
     """
-    reader = spark.read.schema(table_schema(with_batches)).option("basePath", path)
+    reader = spark.read.schema(table_schema(with_batches=True)).option("basePath", path)
+    unwanted = [] if with_batches else PARTITIONS[1:]
     if between is None:
-        return reader.parquet(path)
-    first, last = between
+        return reader.parquet(path).drop(*unwanted)
+    first, last = between[0] or date.min, between[1]
     span = (last - first).days + 1
     names = ",".join((first + timedelta(days=n)).isoformat() for n in range(min(span, _MOST_DAYS)))
     try:
-        return reader.parquet(f"{path}/event_date={{{names}}}" if span <= _MOST_DAYS else f"{path}/event_date=*")
+        folders = f"{path}/event_date={{{names}}}" if span <= _MOST_DAYS else f"{path}/event_date=*"
+        return reader.parquet(folders).drop(*unwanted)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise

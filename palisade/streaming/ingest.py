@@ -7,16 +7,15 @@ from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from palisade import schema
 from palisade.functions.instants import instant_lit
-from palisade.operators import quality, validation
+from palisade.operators import offenders, quality, validation
 from palisade.operators.enrichment import enrich
 from palisade.operators.offenders import batch_bounds, reach
-from palisade.plans.ingest import flag_batch
 from palisade.sources import event_table
 from palisade.sources.requests import parse_requests
 
@@ -37,51 +36,76 @@ def ingest_batch(
     now: datetime,
     mode: str = "reject_batch",
     max_batch_size: int = schema.MAX_BATCH_SIZE,
+    run: str = "manual",
 ) -> None:
-    """Validate, enrich and store the requests of one micro-batch.
+    """Validate, enrich and store the requests of one micro-batch of a run.
 
-    History is what earlier micro-batches stored; the requests of one
-    micro-batch do not see each other. A repeated batch replaces its own rows
-    in every sink, so nothing is stored twice.
+    A request sees what other runs and earlier micro-batches stored, and the
+    requests before it in its own micro-batch, so that scores do not depend on
+    how requests are cut into micro-batches. A repeated batch replaces its own
+    rows in every sink, and no other run's, so nothing is stored twice or lost.
     """
     spark = requests.sparkSession
-    numbered = requests.select(
-        F.monotonically_increasing_id().alias("request_id"), F.col("body").alias("text"), "body"
-    )
+    numbered = in_order(requests)
     judged = validation.judge_requests(parse_requests(numbered), max_batch_size=max_batch_size)
+    # Only of refused requests is the text needed again.
+    judged = judged.withColumn("text", F.when(F.size("errors") > 0, F.col("text")))
     judged = judged.persist(StorageLevel.MEMORY_AND_DISK)
-    accepted = validation.accepted_events(judged.drop("text"), mode=mode)
-    batch = event_table.flatten(accepted, keep=["request_id"])
-    bounds = batch_bounds(batch)
-    history = _stored(spark, sinks.events, bounds)
-    flagged = flag_batch(batch, history.where(F.col("ingest_batch") < batch_id), bounds)
-    rows = enrich(flagged, instant_lit(now), keep=["request_id", "repeat_offender"])
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = None
     try:
+        accepted = validation.accepted_events(judged.drop("text"), mode=mode)
+        batch = event_table.flatten(accepted, keep=["request_id", F.col("request_id").alias("batch_id")])
+        bounds = batch_bounds(batch)
+        history = _stored(spark, sinks.events, bounds).where(
+            (F.col("ingest_run") != run) | (F.col("ingest_batch") < batch_id)
+        )
+        counts = offenders.prior_counts_in_requests(batch, history, bounds)
+        flagged = offenders.with_repeat_offender(batch, counts)
+        rows = enrich(flagged, instant_lit(now), keep=["request_id", "repeat_offender"])
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
         # The event table comes last: writing to it drops kept frames that read from it.
-        _replace(quality.ingest_metrics(rows, "request_id"), sinks.metrics, batch_id)
+        _replace(quality.ingest_metrics(rows, "request_id"), sinks.metrics, run, batch_id)
         refused = judged.where(F.size("errors") > 0).select("request_id", F.col("text").alias("body"), "errors")
-        _replace(refused, sinks.refused, batch_id)
-        event_table.replace_batch(rows.drop("request_id", "repeat_offender"), sinks.events, batch_id)
+        _replace(refused, sinks.refused, run, batch_id)
+        event_table.replace_batch(rows.drop("request_id", "repeat_offender"), sinks.events, run, batch_id)
     finally:
-        rows.unpersist()
+        if rows is not None:
+            rows.unpersist()
         judged.unpersist()
 
 
+def in_order(requests: DataFrame) -> DataFrame:
+    """``request_id, text, body`` with ids from 1 in order of arrival.
+
+    Requests that name their file (``arrived``, ``file``, ``block``, as
+    ``stream_requests`` gives them) are ordered by it, and in a file by position.
+    The files of a micro-batch are few; only they are ranked.
+    """
+    position = F.monotonically_increasing_id()
+    origin = [c for c in ("arrived", "file", "block") if c in requests.columns]
+    if not origin:
+        return requests.select((position + 1).alias("request_id"), F.col("body").alias("text"), "body")
+    placed = requests.select("*", position.bitwiseAND((1 << 33) - 1).alias("place"))
+    files = requests.select(*origin).distinct().withColumn("rank", F.row_number().over(Window.orderBy(*origin)))
+    return placed.join(files, origin).select(
+        (F.col("rank") * F.lit(1 << 33) + F.col("place")).alias("request_id"), F.col("body").alias("text"), "body"
+    )
+
+
 def _stored(spark: SparkSession, path: str, bounds) -> DataFrame:
     """The stored events of the days that can matter to a batch with these bounds."""
     if bounds is None:
         return event_table.empty(spark, with_batches=True)
     first, last = reach(bounds)
-    return event_table.read(spark, path, with_batches=True, between=(first.date(), last.date()))
+    return event_table.read(spark, path, with_batches=True, between=(first and first.date(), last.date()))
 
 
-def _replace(rows: DataFrame, path: str, batch_id: int) -> None:
+def _replace(rows: DataFrame, path: str, run: str, batch_id: int) -> None:
     (
-        rows.withColumn("ingest_batch", F.lit(batch_id).cast("bigint"))
+        event_table.stamped(rows, run, batch_id)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("ingest_batch")
+        .partitionBy("ingest_run", "ingest_batch")
         .parquet(path)
     )
 
@@ -98,7 +122,9 @@ def start_ingest(
     """Start ingesting a stream of request bodies (column ``body``)."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        ingest_batch(batch, batch_id, sinks, clock(), mode, max_batch_size)
+        # The id kept in the checkpoint: the same after a restart, another for a new checkpoint.
+        run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        ingest_batch(batch, batch_id, sinks, clock(), mode, max_batch_size, run)
 
     return (
         requests.writeStream.foreachBatch(handle)
@@ -113,4 +139,7 @@ def stream_requests(spark: SparkSession, path: str, whole_files: bool = False, m
     reader = spark.readStream.option("wholetext", whole_files)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.text(path).select(F.col("value").alias("body"))
+    return reader.text(path).select(
+        F.col("value").alias("body"), F.col("_metadata.file_modification_time").alias("arrived"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+    )

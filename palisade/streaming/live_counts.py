@@ -1,26 +1,50 @@
-"""Event counts per time bucket over a stream."""
+"""Event counts per time bucket, kept current by a stream."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from palisade import schema
+from palisade.functions.instants import floor_to, millis
 
-_SPARK_INTERVAL = {code: f"{seconds} seconds" for code, seconds in schema.INTERVAL_SECONDS.items()}
 
+def bucket_counts(events: DataFrame, interval: str = "5m") -> DataFrame:
+    """``bucket_from, count`` of the non-empty buckets of a batch of events."""
+    if interval not in schema.INTERVAL_SECONDS:
+        raise ValueError(f"interval must be one of {', '.join(schema.INTERVAL_SECONDS)}")
+    start = floor_to(millis(F.col("timestamp")), schema.INTERVAL_SECONDS[interval] * 1000)
+    return events.groupBy(F.timestamp_millis(start).alias("bucket_from")).agg(F.count(F.lit(1)).alias("count"))
 
-def live_counts(events: DataFrame, interval: str = "5m", lateness: str = "10 minutes") -> DataFrame:
-    """``bucket_from, bucket_to, count`` of a streaming event frame.
 
-    Events later than ``lateness`` behind the newest are not counted here; the
-    batch query over the table counts all. Empty buckets are filled there too.
+def start_live_counts(events: DataFrame, path: str, checkpoint: str, interval: str = "5m", **trigger) -> StreamingQuery:
+    """Count a stream of events per bucket, however late they are.
+
+    Each micro-batch stores its own counts under its run and number, and a
+    repeated one replaces them. Nothing is held in state, so nothing expires.
     """
-    if interval not in _SPARK_INTERVAL:
-        raise ValueError(f"interval must be one of {', '.join(_SPARK_INTERVAL)}")
+    bucket_counts(events, interval)  # a wrong interval fails here
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        (
+            bucket_counts(batch, interval)
+            .withColumns({"ingest_run": F.lit(run), "ingest_batch": F.lit(batch_id).cast("bigint")})
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("ingest_run", "ingest_batch").parquet(path)
+        )
+
     return (
-        events.withWatermark("timestamp", lateness)
-        .groupBy(F.window("timestamp", _SPARK_INTERVAL[interval]).alias("bucket"))
-        .agg(F.count(F.lit(1)).alias("count"))
-        .select(F.col("bucket.start").alias("bucket_from"), F.col("bucket.end").alias("bucket_to"), "count")
+        events.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True})).start()
+    )
+
+
+def live_counts(spark: SparkSession, path: str, interval: str = "5m") -> DataFrame:
+    """``bucket_from, bucket_to, count`` summed over what a stream has stored so far."""
+    parts = spark.read.schema("bucket_from timestamp, count bigint, ingest_run string, ingest_batch bigint").parquet(path)
+    length = F.make_dt_interval(secs=F.lit(schema.INTERVAL_SECONDS[interval]))
+    return parts.groupBy("bucket_from").agg(F.sum("count").alias("count")).select(
+        "bucket_from", (F.col("bucket_from") + length).alias("bucket_to"), "count"
     )

@@ -87,3 +87,9 @@ def test_round_trip(spark, tmp_path):
     rules_table.append(second, path)
     found = sorted(map(tuple, rules_table.read(spark, path).collect()))
     assert found == [("rule-1", 14227, "INJECTION", 100, 5), ("rule-2", None, "BOT", 50, 10)]
+
+
+def test_one_long_window_does_not_stop_the_others(spark):
+    asked = rules(spark, (1, "INJECTION", 5, 1), (1, "INJECTION", 5, 2_000_000_000))
+    found = alerts.firing(injections(spark, 6, 10 * MINUTE), asked, NOW)
+    assert [r.rule_id for r in found.select("rule_id").collect()] == ["rule-2"]

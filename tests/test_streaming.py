@@ -1,4 +1,5 @@
 import json
+import os
 import random
 from datetime import timedelta
 
@@ -10,7 +11,7 @@ from palisade.operators import offenders, timeseries, validation
 from palisade.sources import event_table
 from palisade.sources.requests import parse_requests
 from palisade.streaming.ingest import Sinks, ingest_batch, start_ingest, stream_requests
-from palisade.streaming.live_counts import live_counts
+from palisade.streaming.live_counts import live_counts, start_live_counts
 
 NOW = at("15:00:00")
 
@@ -110,14 +111,62 @@ def test_live_counts_equal_the_batch_query(spark, tmp_path):
     for batch_id in range(2):
         ingest_batch(bodies(spark, wave(400 * batch_id, 300)), batch_id, sinks, NOW)
     stream = spark.readStream.schema(event_table.table_schema(with_batches=True)).parquet(sinks.events)
-    query = (
-        live_counts(stream).writeStream.format("memory").queryName("live").outputMode("complete")
-        .trigger(availableNow=True).start()
-    )
-    assert query.awaitTermination(120)
-    live = sorted((r["bucket_from"], r["bucket_to"], r["count"]) for r in spark.table("live").collect())
-    batch = timeseries.counts(event_table.read(spark, sinks.events), at("14:00:00"), at("14:15:00"), "5m")
+    path, checkpoint = str(tmp_path / "live"), str(tmp_path / "live-checkpoint")
+    assert start_live_counts(stream, path, checkpoint).awaitTermination(120)
+    # Hours late, and still counted.
+    late = event(eventId="late", timestamp="2026-05-20T14:00:30Z"), event(eventId="later", timestamp="2026-05-20T03:00:00Z")
+    ingest_batch(bodies(spark, *late), 2, sinks, NOW)
+    assert start_live_counts(stream, path, checkpoint).awaitTermination(120)
+    live = sorted((r["bucket_from"], r["bucket_to"], r["count"]) for r in live_counts(spark, path).collect())
+    batch = timeseries.counts(event_table.read(spark, sinks.events), at("03:00:00"), at("14:15:00"), "5m")
     assert live == sorted(tuple(r) for r in batch.where("count > 0").collect())
-    assert sum(n for *_, n in live) == 600
+    assert sum(n for *_, n in live) == 602
     with pytest.raises(ValueError):
-        live_counts(stream, "7m")
+        start_live_counts(stream, path, checkpoint, "7m")
+
+
+def test_a_new_checkpoint_keeps_what_is_stored_and_sees_it(spark, tmp_path):
+    sinks = sinks_in(tmp_path / "out")
+    for run, (first, size) in enumerate([(0, 6), (6, 3)]):
+        source = tmp_path / f"in{run}"
+        source.mkdir()
+        (source / "r.json").write_text(json.dumps(wave(first, size)))
+        query = start_ingest(stream_requests(spark, str(source)), sinks, str(tmp_path / f"checkpoint{run}"), clock=lambda: NOW)
+        assert query.awaitTermination(120)
+    rows = event_table.read(spark, sinks.events, with_batches=True)
+    assert rows.count() == 9 and rows.select("ingest_run").distinct().count() == 2
+    assert rows.where("threat_score = 90").count() == 3
+    assert spark.read.parquet(sinks.metrics).count() == 2
+
+
+@pytest.mark.parametrize("files", [1, 5, None])
+def test_scores_do_not_depend_on_the_trigger(spark, tmp_path, files):
+    source = tmp_path / "in"
+    source.mkdir()
+    for i, e in enumerate(wave(0, 12)):
+        (source / f"{i:02}.json").write_text(json.dumps(e))
+        os.utime(source / f"{i:02}.json", (1_700_000_000 + i, 1_700_000_000 + i))
+    sinks = sinks_in(tmp_path / "out")
+    query = start_ingest(stream_requests(spark, str(source), max_files=files), sinks, str(tmp_path / "c"), clock=lambda: NOW)
+    assert query.awaitTermination(240)
+    scores = [r.threat_score for r in event_table.read(spark, sinks.events).orderBy("timestamp").collect()]
+    assert scores == [75] * 6 + [90] * 6
+
+
+def test_backfilled_events_are_history(spark, tmp_path):
+    sinks = sinks_in(tmp_path)
+    ingest_batch(bodies(spark, wave(0, 6)), 0, sinks_in(tmp_path / "other"), NOW)
+    event_table.append(event_table.read(spark, str(tmp_path / "other" / "events")).drop("event_date"), sinks.events, rebalance=True)
+    ingest_batch(bodies(spark, wave(6, 2)), 0, sinks, NOW)
+    rows = event_table.read(spark, sinks.events, with_batches=True)
+    assert rows.count() == 8
+    assert [r.threat_score for r in rows.where("ingest_run = 'manual'").collect()] == [90, 90]
+
+
+def test_events_of_the_first_and_last_year(spark, tmp_path):
+    sinks = sinks_in(tmp_path)
+    times = ["0001-01-01T00:00:00Z", "0001-01-01T00:00:01Z", "9999-12-31T23:59:59Z"]
+    for batch_id, time in enumerate(times):
+        ingest_batch(bodies(spark, event(eventId=time, timestamp=time)), batch_id, sinks, NOW)
+    ingest_batch(bodies(spark, *[event(eventId=f"again {t}", timestamp=t) for t in times]), 3, sinks, NOW)
+    assert event_table.read(spark, sinks.events).count() == 6
