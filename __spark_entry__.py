@@ -108,7 +108,7 @@ def _in_millis(df: DataFrame) -> DataFrame:
 
 def _last_tenant(flat: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One configuration's events as a late batch, all others as what is stored."""
-    return flat.where("config_id = 14229"), flat.where("config_id <> 14229")
+    return flat.where("config_id = 5203"), flat.where("config_id <> 5203")
 
 
 # --- ingest ----------------------------------------------------------------
@@ -202,7 +202,7 @@ def repeat_offender_history(spark, sf_dir):
 def repeat_offender_disordered(spark, sf_dir):
     """Each configuration sends its day in hourly batches, one configuration after the other."""
     hour = F.floor((millis(F.col("timestamp")) - driver_events.BASE_MS) / 3_600_000)
-    flat = _flat(spark, sf_dir).withColumn("batch_id", (F.col("config_id") - 14227) * 24 + hour)
+    flat = _flat(spark, sf_dir).withColumn("batch_id", (F.col("config_id") - 5201) * 24 + hour)
     counted = offenders.with_prior_count(flat, offenders.prior_counts_replayed(flat))
     return counted.select("event_id", "batch_id", "prior_count")
 
@@ -254,7 +254,7 @@ def summary_total(spark, sf_dir):
 
 
 def summary_total_config(spark, sf_dir):
-    return aggregates.total(stored_events(spark, sf_dir), START, END, config_id=14227)
+    return aggregates.total(stored_events(spark, sf_dir), START, END, config_id=5201)
 
 
 def summary_by_category(spark, sf_dir):
@@ -263,7 +263,7 @@ def summary_by_category(spark, sf_dir):
 
 def summary_by_category_config(spark, sf_dir):
     return aggregates.by_category(
-        stored_events(spark, sf_dir), START + timedelta(hours=6), START + timedelta(hours=18), 14228
+        stored_events(spark, sf_dir), START + timedelta(hours=6), START + timedelta(hours=18), 5202
     )
 
 
@@ -280,12 +280,12 @@ def top_paths(spark, sf_dir):
 
 
 def summary_document(spark, sf_dir):
-    return aggregates.sections(stored_events(spark, sf_dir), START, END, config_id=14227, top=5)
+    return aggregates.sections(stored_events(spark, sf_dir), START, END, config_id=5201, top=5)
 
 
 def count_by_category(spark, sf_dir):
     return aggregates.count_by_category(
-        stored_events(spark, sf_dir), "INJECTION", NOW - timedelta(hours=1), NOW, 14227
+        stored_events(spark, sf_dir), "INJECTION", NOW - timedelta(hours=1), NOW, 5201
     )
 
 
@@ -306,7 +306,7 @@ def timeseries_1h(spark, sf_dir):
 
 def timeseries_1m_config(spark, sf_dir):
     return _in_millis(timeseries.counts(
-        stored_events(spark, sf_dir), START - timedelta(minutes=30), END + timedelta(minutes=30), "1m", 14229
+        stored_events(spark, sf_dir), START - timedelta(minutes=30), END + timedelta(minutes=30), "1m", 5203
     ))
 
 
@@ -322,7 +322,7 @@ def samples_page(spark, sf_dir):
 
 def samples_filtered(spark, sf_dir):
     return _sample(samples.page(
-        stored_events(spark, sf_dir), limit=500, offset=7, config_id=14228, from_=START + timedelta(hours=3),
+        stored_events(spark, sf_dir), limit=500, offset=7, config_id=5202, from_=START + timedelta(hours=3),
         to=START + timedelta(hours=21), category="XSS", action="ALERT",
     ))
 
@@ -350,7 +350,7 @@ def samples_nested(spark, sf_dir):
 def _rules(spark):
     return spark.createDataFrame(
         [
-            ("rule-1", 14227, "INJECTION", 5, 60),
+            ("rule-1", 5201, "INJECTION", 5, 60),
             ("rule-2", None, "BOT", 100_000, 60),
             ("rule-3", None, "DOS", 3, 30),
         ],
@@ -362,7 +362,7 @@ def _defined_rules(spark, sf_dir):
     """Every event as a rule definition; some of them do not hold up."""
     definitions = _flat(spark, sf_dir).select(
         F.substring("event_id", 5, 20).cast("bigint").alias("seq"),
-        (F.col("rule_id").cast("bigint") - 950_000).alias("k"),
+        (F.col("rule_id").cast("bigint") - 700).alias("k"),
         "config_id",
         "rule_category",
     ).select(
@@ -401,7 +401,7 @@ def attack_waves(spark, sf_dir):
 
 
 def reconcile(spark, sf_dir):
-    return quality.reconcile(stored_events(spark, sf_dir), START, END, "1h", config_id=14227)
+    return quality.reconcile(stored_events(spark, sf_dir), START, END, "1h", config_id=5201)
 
 
 _QUERIES = {

@@ -14,27 +14,27 @@ flat AS (
     'evt-' || n AS event_id,
     ts_ms,
     {BASE} + ((ts_ms - {BASE})//300000 + 1)*300000 AS received_ms,
-    CAST(14227 + k % 3 AS BIGINT) AS config_id,
-    'pol_web' || (1 + u % 3) AS policy_id,
-    '203.0.113.' || (u % 16) AS client_ip,
-    CASE n % 3 WHEN 0 THEN 'www' WHEN 1 THEN 'api' ELSE 'shop' END || '.example.com' AS hostname,
-    CASE n % 9 WHEN 0 THEN '/api/v1/login' WHEN 1 THEN '/admin' WHEN 2 THEN '/wp-login.php'
-      WHEN 3 THEN '/api/v1/search' WHEN 4 THEN '/api/v1/users' WHEN 5 THEN '/api/v1/orders'
-      WHEN 6 THEN '/checkout' WHEN 7 THEN '/static/app.js' ELSE '/health' END AS path,
-    CASE n % 4 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' WHEN 2 THEN 'PUT' ELSE 'DELETE' END AS method,
-    CAST(CASE WHEN (n + u) % 3 = 0 THEN 403 WHEN n % 2 = 0 THEN 200 ELSE 401 END AS INT) AS status_code,
-    CASE WHEN n % 13 = 0 THEN '' ELSE 'curl/8.1.2' END AS user_agent,
-    CAST(950000 + k AS VARCHAR) AS rule_id,
+    CAST(5201 + k % 3 AS BIGINT) AS config_id,
+    'hedge-' || (1 + u % 3) AS policy_id,
+    '198.51.100.' || (u % 16) AS client_ip,
+    CASE n % 3 WHEN 0 THEN '' WHEN 1 THEN 'depot.' ELSE 'till.' END || 'garden.test' AS hostname,
+    CASE n % 9 WHEN 0 THEN '/members/login' WHEN 1 THEN '/greenhouse/admin/keys' WHEN 2 THEN '/old-login.html'
+      WHEN 3 THEN '/seeds' WHEN 4 THEN '/seeds/tomato' WHEN 5 THEN '/tools/rake'
+      WHEN 6 THEN '/basket' WHEN 7 THEN '/pictures/rose.webp' ELSE '/opening-hours' END AS path,
+    CASE n % 4 WHEN 0 THEN 'HEAD' WHEN 1 THEN 'GET' WHEN 2 THEN 'PATCH' ELSE 'POST' END AS method,
+    CAST(CASE WHEN (n + u) % 5 = 0 THEN 429 WHEN n % 4 = 0 THEN 204 ELSE 302 END AS INT) AS status_code,
+    CASE WHEN n % 13 = 0 THEN '' ELSE 'trowel/2.4' END AS user_agent,
+    CAST(700 + k AS VARCHAR) AS rule_id,
     CASE k % 4 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS rule_severity,
     CASE (n + k) % 7 WHEN 0 THEN 'INJECTION' WHEN 1 THEN 'XSS' WHEN 2 THEN 'PROTOCOL_VIOLATION'
       WHEN 3 THEN 'DATA_LEAKAGE' WHEN 4 THEN 'BOT' WHEN 5 THEN 'DOS' ELSE 'RATE_LIMIT' END AS rule_category,
     CASE (n + u) % 3 WHEN 0 THEN 'DENY' WHEN 1 THEN 'ALERT' ELSE 'MONITOR' END AS action,
     CASE WHEN n % 11 = 0 THEN '' ELSE
-      CASE u % 7 WHEN 0 THEN 'US' WHEN 1 THEN 'CN' WHEN 2 THEN 'RU' WHEN 3 THEN 'DE'
-        WHEN 4 THEN 'BR' WHEN 5 THEN 'IN' ELSE 'NL' END END AS geo_country,
-    CASE WHEN n % 11 = 0 THEN '' ELSE 'city-' || (u % 50) END AS geo_city,
-    CAST(256 + n % 8192 AS BIGINT) AS request_size,
-    CAST(128 + n % 4096 AS BIGINT) AS response_size,
+      CASE u % 7 WHEN 0 THEN 'NO' WHEN 1 THEN 'PT' WHEN 2 THEN 'KE' WHEN 3 THEN 'PE'
+        WHEN 4 THEN 'JP' WHEN 5 THEN 'FI' ELSE 'NZ' END END AS geo_country,
+    CASE WHEN n % 11 = 0 THEN '' ELSE 'town-' || (u % 37) END AS geo_city,
+    CAST(40 + (n * 7) % 3001 AS BIGINT) AS request_size,
+    CAST(900 + (n * 11) % 20011 AS BIGINT) AS response_size,
     k
   FROM mapped
 )"""
@@ -74,7 +74,7 @@ STORED = f"WITH {MAPPED}, {PRIOR}, {ENRICHED}"
 
 FLAT_COLUMNS = """event_id, ts_ms AS "timestamp", config_id, policy_id, client_ip, hostname, path, method,
     status_code, user_agent, rule_id, rule_category AS rule_name,
-    rule_category || ' activity detected' AS rule_message, rule_severity, rule_category, action,
+    'matched a pattern of ' || rule_category AS rule_message, rule_severity, rule_category, action,
     geo_country, geo_city, request_size, response_size"""
 
 AVG = "floor(avg(threat_score)*10 + 0.5)/10.0 AS avg_threat_score"
@@ -105,9 +105,9 @@ LAST_TENANT = f"""WITH {MAPPED},
 late AS (
   SELECT e.n, count(h.n) AS prior_count
   FROM flat e LEFT JOIN flat h
-    ON h.client_ip = e.client_ip AND h.config_id <> 14229
+    ON h.client_ip = e.client_ip AND h.config_id <> 5203
    AND h.ts_ms >= e.ts_ms - 600000 AND h.ts_ms < e.ts_ms
-  WHERE e.config_id = 14229
+  WHERE e.config_id = 5203
   GROUP BY e.n
 )"""
 
@@ -192,7 +192,7 @@ ORACLE = {
         SELECT event_id, client_ip, batch_id, prior_count, repeat_offender FROM enriched""",
     "repeat_offender_disordered": f"""{FLAT},
         sent AS (SELECT n, event_id, client_ip, ts_ms,
-          (config_id - 14227)*24 + (ts_ms - {BASE})//3600000 AS batch_id FROM flat)
+          (config_id - 5201)*24 + (ts_ms - {BASE})//3600000 AS batch_id FROM flat)
         SELECT e.event_id, e.batch_id, count(h.n) AS prior_count
         FROM sent e LEFT JOIN sent h ON h.client_ip = e.client_ip AND h.batch_id < e.batch_id
           AND h.ts_ms >= e.ts_ms - 600000 AND h.ts_ms < e.ts_ms
@@ -216,12 +216,12 @@ ORACLE = {
           CAST(sum(events) AS BIGINT) AS score_count, CAST(sum(score_sum) AS BIGINT) AS score_sum,
           max(score_max) AS score_max FROM metrics""",
     "summary_total": f"{FLAT} SELECT count(*) AS total_events FROM flat WHERE {DAY}",
-    "summary_total_config": f"{FLAT} SELECT count(*) AS total_events FROM flat WHERE {DAY} AND config_id = 14227",
+    "summary_total_config": f"{FLAT} SELECT count(*) AS total_events FROM flat WHERE {DAY} AND config_id = 5201",
     "summary_by_category": f"""{STORED}
         SELECT rule_category, count(*) AS count, {AVG} FROM enriched WHERE {DAY} GROUP BY rule_category""",
     "summary_by_category_config": f"""{STORED}
         SELECT rule_category, count(*) AS count, {AVG} FROM enriched
-        WHERE ts_ms >= {BASE + 21_600_000} AND ts_ms < {BASE + 64_800_000} AND config_id = 14228
+        WHERE ts_ms >= {BASE + 21_600_000} AND ts_ms < {BASE + 64_800_000} AND config_id = 5202
         GROUP BY rule_category""",
     "summary_by_action": f"{FLAT} SELECT action, count(*) AS count FROM flat WHERE {DAY} GROUP BY action",
     "top_attackers": f"""{STORED}
@@ -229,7 +229,7 @@ ORACLE = {
         GROUP BY client_ip ORDER BY count DESC, client_ip LIMIT 10""",
     "top_paths": f"""{FLAT}
         SELECT path, count(*) AS count FROM flat WHERE {DAY} GROUP BY path ORDER BY count DESC, path LIMIT 5""",
-    "summary_document": f"""{STORED}, chosen AS (SELECT * FROM enriched WHERE {DAY} AND config_id = 14227)
+    "summary_document": f"""{STORED}, chosen AS (SELECT * FROM enriched WHERE {DAY} AND config_id = 5201)
         SELECT 'total' AS section, 'all' AS "key", count(*) AS count, CAST(NULL AS DOUBLE) AS avg_threat_score FROM chosen
         UNION ALL SELECT 'category', rule_category, count(*), {AVG} FROM chosen GROUP BY rule_category
         UNION ALL SELECT 'action', action, count(*), NULL FROM chosen GROUP BY action
@@ -238,16 +238,16 @@ ORACLE = {
         UNION ALL SELECT * FROM (SELECT 'path', path, count(*) AS c, NULL FROM chosen
           GROUP BY path ORDER BY c DESC, path LIMIT 5)""",
     "count_by_category": f"""{FLAT}
-        SELECT count(*) AS count FROM flat WHERE rule_category = 'INJECTION' AND config_id = 14227
+        SELECT count(*) AS count FROM flat WHERE rule_category = 'INJECTION' AND config_id = 5201
           AND ts_ms >= {NOON - 3_600_000} AND ts_ms < {NOON}""",
     "timeseries_1m": _series(BASE, BASE + 86_400_000, 60_000),
     "timeseries_5m": _series(BASE + 36_090_000, BASE + 37_020_000, 300_000),
     "timeseries_1h": _series(BASE, BASE + 86_400_000, 3_600_000),
-    "timeseries_1m_config": _series(BASE - 1_800_000, BASE + 88_200_000, 60_000, "config_id = 14229"),
+    "timeseries_1m_config": _series(BASE - 1_800_000, BASE + 88_200_000, 60_000, "config_id = 5203"),
     "samples_page": f"{STORED} SELECT {SAMPLE_COLUMNS} FROM enriched {NEWEST} LIMIT 20",
     "samples_filtered": f"""{STORED}
         SELECT {SAMPLE_COLUMNS} FROM enriched
-        WHERE config_id = 14228 AND rule_category = 'XSS' AND action = 'ALERT'
+        WHERE config_id = 5202 AND rule_category = 'XSS' AND action = 'ALERT'
           AND ts_ms >= {BASE + 10_800_000} AND ts_ms < {BASE + 75_600_000} {NEWEST} LIMIT 100 OFFSET 7""",
     "samples_page_past_end": f"""{STORED}
         SELECT {SAMPLE_COLUMNS} FROM enriched WHERE rule_category = 'BOT' {NEWEST} LIMIT 20 OFFSET 10000000""",
@@ -258,7 +258,7 @@ ORACLE = {
         FROM enriched WHERE action = 'DENY' {NEWEST} LIMIT 100""",
     "rules_define": f"{FLAT}, {DEFINED} SELECT * FROM rules",
     "alerts_firing": f"""{FLAT}, rules AS (
-          SELECT 'rule-1' AS id, CAST(14227 AS BIGINT) AS config_id, 'INJECTION' AS category,
+          SELECT 'rule-1' AS id, CAST(5201 AS BIGINT) AS config_id, 'INJECTION' AS category,
             CAST(5 AS INT) AS threshold, CAST(60 AS INT) AS window_minutes
           UNION ALL SELECT 'rule-2', NULL, 'BOT', 100000, 60
           UNION ALL SELECT 'rule-3', NULL, 'DOS', 3, 30)
@@ -270,7 +270,7 @@ ORACLE = {
         SELECT client_ip, path, count(*) AS events, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms,
           max(c) AS peak, max(ts_ms) - min(ts_ms) AS span_ms
         FROM framed GROUP BY client_ip, path HAVING max(c) >= 3""",
-    "reconcile": f"""{FLAT}, chosen AS (SELECT * FROM flat WHERE {DAY} AND config_id = 14227),
+    "reconcile": f"""{FLAT}, chosen AS (SELECT * FROM flat WHERE {DAY} AND config_id = 5201),
         checks AS (
           SELECT 'by_category' AS "check", count(rule_category) AS lhs, count(*) AS rhs FROM chosen
           UNION ALL SELECT 'by_action', count(action), count(*) FROM chosen

@@ -82,11 +82,11 @@ def test_ids_go_on_in_order_across_runs(spark):
 
 def test_round_trip(spark, tmp_path):
     path = str(tmp_path / "rules")
-    rules_table.append(rules_table.define(definitions(spark, (0, 14227, "INJECTION", 100, 5))), path)
+    rules_table.append(rules_table.define(definitions(spark, (0, 5201, "INJECTION", 100, 5))), path)
     second = rules_table.define(definitions(spark, (0, None, "BOT", 50, 10)), rules_table.read(spark, path))
     rules_table.append(second, path)
     found = sorted(map(tuple, rules_table.read(spark, path).collect()))
-    assert found == [("rule-1", 14227, "INJECTION", 100, 5), ("rule-2", None, "BOT", 50, 10)]
+    assert found == [("rule-1", 5201, "INJECTION", 100, 5), ("rule-2", None, "BOT", 50, 10)]
 
 
 def test_one_long_window_does_not_stop_the_others(spark):

@@ -10,7 +10,7 @@ from palisade.operators import offenders
 from palisade.plans import ingest
 
 WINDOW = timedelta(minutes=10)
-LOGIN = {"rule_severity": "CRITICAL", "action": "DENY", "path": "/api/v1/login", "rule_category": "INJECTION"}
+LOGIN = {"rule_severity": "CRITICAL", "action": "DENY", "path": "/members/login", "rule_category": "INJECTION"}
 NOW = at("14:32:10")
 
 

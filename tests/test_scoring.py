@@ -21,7 +21,7 @@ def test_action(spark, action, expected):
 
 
 @pytest.mark.parametrize("path,expected", [
-    ("/api/v1/login", 25), ("/admin/users", 25), ("/health", 10), (None, 10),
+    ("/members/login", 25), ("/admin/users", 25), ("/health", 10), (None, 10),
     ("/wp-login.php", 10), ("/LOGIN", 10), ("/admin/login", 25),
 ])
 def test_sensitive_path(spark, path, expected):
