@@ -86,7 +86,9 @@ def landed_faulty_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def landed_faulty_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _landed(
         spark, sf_dir, "faulty_requests",
-        lambda: driver_events.requests(landed_faulty_events(spark, sf_dir)),
+        lambda: driver_events.requests(landed_faulty_events(spark, sf_dir)).unionByName(
+            driver_events.odd_requests(_raw(spark, sf_dir))
+        ),
     )
 
 
@@ -167,7 +169,7 @@ def batch_limits(spark, sf_dir):
 
 
 def flatten_event(spark, sf_dir):
-    return _in_millis(_flat(spark, sf_dir))
+    return _in_millis(event_table.flatten(_raw(spark, sf_dir), keep=["batch_id", "received_at"]))
 
 
 # --- enrichment ------------------------------------------------------------
@@ -283,6 +285,10 @@ def summary_document(spark, sf_dir):
     return aggregates.sections(stored_events(spark, sf_dir), START, END, config_id=5201, top=5)
 
 
+def summary_json(spark, sf_dir):
+    return reports.as_json(reports.summary(stored_events(spark, sf_dir), START, END, config_id=5201, top=5))
+
+
 def count_by_category(spark, sf_dir):
     return aggregates.count_by_category(
         stored_events(spark, sf_dir), "INJECTION", NOW - timedelta(hours=1), NOW, 5201
@@ -310,6 +316,10 @@ def timeseries_1m_config(spark, sf_dir):
     ))
 
 
+def timeseries_json(spark, sf_dir):
+    return reports.as_json(reports.time_series(stored_events(spark, sf_dir), START, END, "1h", config_id=5203))
+
+
 # --- samples ---------------------------------------------------------------
 
 def _sample(rows: DataFrame) -> DataFrame:
@@ -345,6 +355,10 @@ def samples_nested(spark, sf_dir):
     return _in_millis(flat)
 
 
+def samples_json(spark, sf_dir):
+    return reports.as_json(reports.sample_page(stored_events(spark, sf_dir), limit=30, offset=4, category="BOT"))
+
+
 # --- alerts ----------------------------------------------------------------
 
 def _rules(spark):
@@ -358,9 +372,9 @@ def _rules(spark):
     )
 
 
-def _defined_rules(spark, sf_dir):
+def _definitions(spark, sf_dir):
     """Every event as a rule definition; some of them do not hold up."""
-    definitions = _flat(spark, sf_dir).select(
+    return _flat(spark, sf_dir).select(
         F.substring("event_id", 5, 20).cast("bigint").alias("seq"),
         (F.col("rule_id").cast("bigint") - 700).alias("k"),
         "config_id",
@@ -370,9 +384,12 @@ def _defined_rules(spark, sf_dir):
         F.when(F.col("k") % 4 != 0, F.col("config_id")).alias("config_id"),
         F.when(F.col("k") % 10 == 9, "UNKNOWN").otherwise(F.col("rule_category")).alias("category"),
         (F.col("k") % 7).cast("int").alias("threshold"),
-        (F.col("seq") % 61).cast("int").alias("window_minutes"),
+        F.when(F.col("k") == 5, 2_000_000_000).otherwise(F.col("seq") % 61).cast("int").alias("window_minutes"),
     )
-    return rules_table.define(definitions)
+
+
+def _defined_rules(spark, sf_dir):
+    return rules_table.define(_definitions(spark, sf_dir))
 
 
 def stored_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -386,6 +403,10 @@ def rules_define(spark, sf_dir):
     return _defined_rules(spark, sf_dir)
 
 
+def rule_errors(spark, sf_dir):
+    return rules_table.definition_errors(_definitions(spark, sf_dir))
+
+
 def alerts_firing(spark, sf_dir):
     return _in_millis(alerts.firing(stored_events(spark, sf_dir), _rules(spark), NOW))
 
@@ -394,6 +415,11 @@ def alerts_evaluated(spark, sf_dir):
     return _in_millis(alerts.evaluate(stored_events(spark, sf_dir), stored_rules(spark, sf_dir), NOW))
 
 
+def alerts_json(spark, sf_dir):
+    rules = stored_rules(spark, sf_dir).where("config_id is not null")
+    return reports.as_json(reports.firing_alerts(stored_events(spark, sf_dir), rules, NOW))
+
+
 # --- quality ---------------------------------------------------------------
 
 def attack_waves(spark, sf_dir):
@@ -433,20 +459,25 @@ _QUERIES = {
     "top_attackers": top_attackers,
     "top_paths": top_paths,
     "summary_document": summary_document,
+    "summary_json": summary_json,
     "count_by_category": count_by_category,
     "timeseries_1m": timeseries_1m,
     "timeseries_5m": timeseries_5m,
     "timeseries_1h": timeseries_1h,
     "timeseries_1m_config": timeseries_1m_config,
+    "timeseries_json": timeseries_json,
     "samples_page": samples_page,
     "samples_filtered": samples_filtered,
     "samples_page_past_end": samples_page_past_end,
     "samples_deep_page": samples_deep_page,
     "samples_total": samples_total,
     "samples_nested": samples_nested,
+    "samples_json": samples_json,
     "rules_define": rules_define,
+    "rule_errors": rule_errors,
     "alerts_firing": alerts_firing,
     "alerts_evaluated": alerts_evaluated,
+    "alerts_json": alerts_json,
     "attack_waves": attack_waves,
     "reconcile": reconcile,
 }

@@ -33,8 +33,8 @@ flat AS (
       CASE u % 7 WHEN 0 THEN 'NO' WHEN 1 THEN 'PT' WHEN 2 THEN 'KE' WHEN 3 THEN 'PE'
         WHEN 4 THEN 'JP' WHEN 5 THEN 'FI' ELSE 'NZ' END END AS geo_country,
     CASE WHEN n % 11 = 0 THEN '' ELSE 'town-' || (u % 37) END AS geo_city,
-    CAST(40 + (n * 7) % 3001 AS BIGINT) AS request_size,
-    CAST(900 + (n * 11) % 20011 AS BIGINT) AS response_size,
+    CAST(CASE WHEN n % 17 = 0 THEN 0 ELSE 40 + (n * 7) % 3001 END AS BIGINT) AS request_size,
+    CAST(CASE WHEN n % 19 = 0 THEN 0 ELSE 900 + (n * 11) % 20011 END AS BIGINT) AS response_size,
     k
   FROM mapped
 )"""
@@ -90,13 +90,35 @@ FAULTS = """
 faults AS (
   SELECT n, CASE WHEN batch_id % 4 = 0 THEN n % 97 END AS fault FROM flat
 ),
-errors AS (
-  SELECT n, 'statusCode' AS field, 'must be less than or equal to 599' AS message FROM faults WHERE fault = 0
-  UNION ALL SELECT n, 'configId', 'must be greater than or equal to 0' FROM faults WHERE fault = 1
-  UNION ALL SELECT n, 'clientIp', 'must not be blank' FROM faults WHERE fault = 2
-  UNION ALL SELECT n, 'rule.category',
-    'must be one of INJECTION, XSS, PROTOCOL_VIOLATION, DATA_LEAKAGE, BOT, DOS, RATE_LIMIT' FROM faults WHERE fault = 3
-  UNION ALL SELECT n, 'rule', 'must not be null' FROM faults WHERE fault = 4
+expected(fault, field, message) AS (VALUES
+  (0, 'statusCode', 'must be less than or equal to 599'),
+  (1, 'configId', 'must be greater than or equal to 0'),
+  (2, 'clientIp', 'must not be blank'),
+  (3, 'rule.category', 'must be one of INJECTION, XSS, PROTOCOL_VIOLATION, DATA_LEAKAGE, BOT, DOS, RATE_LIMIT'),
+  (4, 'rule', 'must not be null'),
+  (5, 'eventId', 'must not be blank'),
+  (6, 'path', 'must not be blank'),
+  (7, 'method', 'must not be blank'),
+  (8, 'rule.id', 'must not be blank'),
+  (9, 'timestamp', 'must not be null'),
+  (10, 'configId', 'must not be null'),
+  (11, 'statusCode', 'must not be null'),
+  (12, 'action', 'must not be null'),
+  (13, 'rule.severity', 'must not be null'),
+  (14, 'statusCode', 'must be greater than or equal to 100'),
+  (15, 'requestSize', 'must be greater than or equal to 0'),
+  (16, 'rule.severity', 'must be one of CRITICAL, HIGH, MEDIUM, LOW'),
+  (17, 'action', 'must be one of DENY, ALERT, MONITOR'),
+  (18, 'responseSize', 'must be greater than or equal to 0'),
+  (19, 'rule.category', 'must not be null')
+),
+errors AS (SELECT n, field, message FROM faults JOIN expected USING (fault)),
+odd AS (
+  SELECT CASE n % 97 WHEN 50 THEN 'none-' ELSE 'torn-' END || n AS request_id,
+    CASE n % 97 WHEN 50 THEN 'events' ELSE 'body' END AS field,
+    CASE n % 97 WHEN 50 THEN 'must not be empty' ELSE 'must be an event or an array of events' END AS message,
+    CASE n % 97 WHEN 50 THEN CAST(0 AS BIGINT) END AS events
+  FROM flat WHERE n % 97 IN (50, 51)
 )"""
 
 FAULTY = f"WITH {MAPPED}, {REQUESTED}, {FAULTS}"
@@ -115,6 +137,11 @@ SAMPLE_COLUMNS = """event_id, ts_ms AS "timestamp", config_id, client_ip, path,
     CAST(to_json({'severity': rule_severity, 'category': rule_category}) AS VARCHAR) AS rule,
     action, attack_type, threat_score, received_ms AS received_at"""
 
+
+def _iso(ms: str) -> str:
+    return f"strftime(make_timestamp(({ms}) * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"
+
+
 NEWEST = "ORDER BY ts_ms DESC, event_id"
 
 
@@ -134,7 +161,7 @@ DEFINED = """
 definitions AS (
   SELECT n, CASE WHEN k % 4 <> 0 THEN config_id END AS config_id,
     CASE WHEN k % 10 = 9 THEN 'UNKNOWN' ELSE rule_category END AS category,
-    CAST(k % 7 AS INT) AS threshold, CAST(n % 61 AS INT) AS window_minutes
+    CAST(k % 7 AS INT) AS threshold, CAST(CASE WHEN k = 5 THEN 2000000000 ELSE n % 61 END AS INT) AS window_minutes
   FROM flat
 ),
 rules AS (
@@ -149,10 +176,10 @@ def _evaluated(having: str) -> str:
     return f"""
     SELECT r.id AS rule_id, r.config_id, r.category, r.threshold, r.window_minutes,
       CAST(count(e.n) AS BIGINT) AS actual_count,
-      CAST({NOON} - r.window_minutes * 60000 AS BIGINT) AS window_from, CAST({NOON} AS BIGINT) AS window_to
+      {NOON} - CAST(r.window_minutes AS BIGINT) * 60000 AS window_from, CAST({NOON} AS BIGINT) AS window_to
     FROM rules r LEFT JOIN flat e
       ON e.rule_category = r.category AND (r.config_id IS NULL OR r.config_id = e.config_id)
-     AND e.ts_ms >= {NOON} - r.window_minutes * 60000 AND e.ts_ms < {NOON}
+     AND e.ts_ms >= {NOON} - CAST(r.window_minutes AS BIGINT) * 60000 AND e.ts_ms < {NOON}
     GROUP BY r.id, r.config_id, r.category, r.threshold, r.window_minutes {having}"""
 
 
@@ -165,9 +192,11 @@ ORACLE = {
     "ingest_parse": f"WITH {MAPPED}, {REQUESTED} SELECT request_id, idx, {FLAT_COLUMNS} FROM requested",
     "request_verdicts": f"""{FAULTY}
         SELECT request_id, count(DISTINCT r.n) AS events, count(e.n) AS errors, count(e.n) = 0 AS accepted
-        FROM requested r LEFT JOIN errors e USING (n) GROUP BY request_id""",
+        FROM requested r LEFT JOIN errors e USING (n) GROUP BY request_id
+        UNION ALL SELECT request_id, events, CAST(1 AS BIGINT), false FROM odd""",
     "validation_errors": f"""{FAULTY}
-        SELECT request_id, '[' || idx || '].' || field AS field, message FROM requested JOIN errors USING (n)""",
+        SELECT request_id, '[' || idx || '].' || field AS field, message FROM requested JOIN errors USING (n)
+        UNION ALL SELECT request_id, field, message FROM odd""",
     "accept_requests": f"""{FAULTY}
         SELECT request_id, idx, {FLAT_COLUMNS} FROM requested
         WHERE request_id NOT IN (SELECT request_id FROM requested JOIN errors USING (n))""",
@@ -237,6 +266,38 @@ ORACLE = {
           GROUP BY client_ip ORDER BY c DESC, client_ip LIMIT 5)
         UNION ALL SELECT * FROM (SELECT 'path', path, count(*) AS c, NULL FROM chosen
           GROUP BY path ORDER BY c DESC, path LIMIT 5)""",
+    "summary_json": f"""{STORED}, chosen AS (SELECT * FROM enriched WHERE {DAY} AND config_id = 5201),
+        categories AS (SELECT rule_category AS k, {{'count': count(*), 'avgThreatScore': {AVG.split(" AS ")[0]}}} AS v
+          FROM chosen GROUP BY rule_category),
+        actions AS (SELECT action AS k, count(*) AS v FROM chosen GROUP BY action),
+        attackers AS (SELECT client_ip, count(*) AS c, {AVG} FROM chosen GROUP BY client_ip
+          ORDER BY c DESC, client_ip LIMIT 5),
+        paths AS (SELECT path, count(*) AS c FROM chosen GROUP BY path ORDER BY c DESC, path LIMIT 5)
+        SELECT CAST(to_json({{'configId': 5201,
+          'timeRange': {{'from': {_iso(str(BASE))}, 'to': {_iso(str(BASE + 86_400_000))}}},
+          'totalEvents': (SELECT count(*) FROM chosen),
+          'byCategory': (SELECT map(list(k ORDER BY k), list(v ORDER BY k)) FROM categories),
+          'byAction': (SELECT map(list(k ORDER BY k), list(v ORDER BY k)) FROM actions),
+          'topAttackers': (SELECT list({{'clientIp': client_ip, 'count': c, 'avgThreatScore': avg_threat_score}}
+            ORDER BY c DESC, client_ip) FROM attackers),
+          'topTargetedPaths': (SELECT list({{'path': path, 'count': c}} ORDER BY c DESC, path) FROM paths)
+        }}) AS VARCHAR) AS "value" """,
+    "timeseries_json": f"""WITH buckets AS ({_series(BASE, BASE + 86_400_000, 3_600_000, "config_id = 5203")})
+        SELECT CAST(to_json({{'configId': 5203, 'interval': '1h', 'from': {_iso('bucket_from')},
+          'to': {_iso('bucket_to')}, 'count': count}}) AS VARCHAR) AS "value" FROM buckets""",
+    "samples_json": f"""{STORED}, bots AS (SELECT * FROM enriched WHERE rule_category = 'BOT'),
+        chosen AS (SELECT * FROM bots {NEWEST} LIMIT 30 OFFSET 4)
+        SELECT CAST(to_json({{'total': (SELECT count(*) FROM bots), 'limit': 30, 'offset': 4,
+          'items': (SELECT list({{'eventId': event_id, 'timestamp': {_iso('ts_ms')}, 'configId': config_id,
+            'clientIp': client_ip, 'path': path, 'rule': {{'severity': rule_severity, 'category': rule_category}},
+            'action': action, 'attackType': attack_type, 'threatScore': threat_score,
+            'receivedAt': {_iso('received_ms')}}} {NEWEST}) FROM chosen)
+        }}) AS VARCHAR) AS "value" """,
+    "alerts_json": f"""{FLAT}, {DEFINED}, found AS ({_evaluated("HAVING count(e.n) > r.threshold")})
+        SELECT CAST(to_json({{'evaluatedAt': {_iso(str(NOON))}, 'ruleId': rule_id, 'configId': config_id,
+          'category': category, 'threshold': threshold, 'windowMinutes': window_minutes, 'actualCount': actual_count,
+          'windowFrom': {_iso('window_from')}, 'windowTo': {_iso('window_to')}}}) AS VARCHAR) AS "value"
+        FROM found WHERE config_id IS NOT NULL""",
     "count_by_category": f"""{FLAT}
         SELECT count(*) AS count FROM flat WHERE rule_category = 'INJECTION' AND config_id = 5201
           AND ts_ms >= {NOON - 3_600_000} AND ts_ms < {NOON}""",
@@ -257,6 +318,13 @@ ORACLE = {
         SELECT {FLAT_COLUMNS}, attack_type, threat_score, received_ms AS received_at
         FROM enriched WHERE action = 'DENY' {NEWEST} LIMIT 100""",
     "rules_define": f"{FLAT}, {DEFINED} SELECT * FROM rules",
+    "rule_errors": f"""{FLAT}, {DEFINED}
+        SELECT n AS seq, 'category' AS field,
+          'must be one of INJECTION, XSS, PROTOCOL_VIOLATION, DATA_LEAKAGE, BOT, DOS, RATE_LIMIT' AS message
+        FROM definitions WHERE category = 'UNKNOWN'
+        UNION ALL SELECT n, 'threshold', 'must be greater than or equal to 1' FROM definitions WHERE threshold < 1
+        UNION ALL SELECT n, 'windowMinutes', 'must be greater than or equal to 1' FROM definitions
+        WHERE window_minutes < 1""",
     "alerts_firing": f"""{FLAT}, rules AS (
           SELECT 'rule-1' AS id, CAST(5201 AS BIGINT) AS config_id, 'INJECTION' AS category,
             CAST(5 AS INT) AS threshold, CAST(60 AS INT) AS window_minutes

@@ -1,8 +1,9 @@
 """Alert rules evaluated against the event table, all rules in one pass.
 
 A rule's window is a whole number of minutes back from ``now``. Events are
-therefore counted first per category, configuration and age in minutes, and
-the rules are looked up among those few cells instead of the events.
+therefore counted first per category, configuration and age in minutes. Each
+distinct window asked for is looked up once among those few cells, and the rules
+are joined to the answers: they meet no events, and equal ones share an answer.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from palisade.functions.instants import as_datetime, earlier, epoch_micros, inst
 from palisade.operators.filters import matching
 
 _MINUTE_US = 60_000_000
-_RULE = "struct<id:string,threshold:int,window_minutes:int>"
 
 
 def age_cells(events: DataFrame, now, minutes: int) -> DataFrame:
@@ -39,31 +39,38 @@ def age_cells(events: DataFrame, now, minutes: int) -> DataFrame:
 def evaluate(events: DataFrame, rules: DataFrame, now) -> DataFrame:
     """Every rule with its count over ``[now - window_minutes, now)``.
 
-    A rule enters its category and configuration at the age of its window, and
-    the running count there is its answer: no rule is paired with any cell.
+    A window asked for enters its category and configuration at its age, and
+    the running count there is its answer: nothing is paired with any cell.
     """
     longest = rules.agg(F.max("window_minutes").alias("minutes")).first()["minutes"] or 1
-    cells = age_cells(events, now, longest).withColumn("rule", F.lit(None).cast(_RULE))
+    cells = age_cells(events, now, longest).withColumn("asked", F.lit(False))
     asked = rules.select(
         "category",
         "config_id",
         F.col("window_minutes").cast("bigint").alias("age"),
-        F.lit(0).cast("bigint").alias("n"),
-        F.struct("id", "threshold", "window_minutes").cast(_RULE).alias("rule"),
-    )
+    ).distinct().withColumns({"n": F.lit(0).cast("bigint"), "asked": F.lit(True)})
     up_to = (
         Window.partitionBy("category", "config_id")
         .orderBy("age")
         .rangeBetween(Window.unboundedPreceding, Window.currentRow)
     )
     reached = cells.unionByName(asked).withColumn("actual_count", F.sum("n").over(up_to))
-    length = F.col("rule.window_minutes").cast("bigint") * _MINUTE_US
-    return reached.where(F.col("rule").isNotNull()).select(
-        F.col("rule.id").alias("rule_id"),
+    answers = reached.where("asked").select(
+        F.col("category").alias("of_category"), F.col("config_id").alias("of_config"),
+        F.col("age").alias("of_age"), "actual_count",
+    )
+    met = rules.join(
+        answers,
+        (F.col("category") == F.col("of_category")) & F.col("config_id").eqNullSafe(F.col("of_config"))
+        & (F.col("window_minutes").cast("bigint") == F.col("of_age")),
+    )
+    length = F.col("window_minutes").cast("bigint") * _MINUTE_US
+    return met.select(
+        F.col("id").alias("rule_id"),
         "config_id",
         "category",
-        "rule.threshold",
-        "rule.window_minutes",
+        "threshold",
+        "window_minutes",
         "actual_count",
         F.timestamp_micros(F.lit(epoch_micros(now)) - length).alias("window_from"),
         instant_lit(now).alias("window_to"),

@@ -33,9 +33,9 @@ def summary(
     return parts.agg(
         F.coalesce(F.sum(F.when(F.col("section") == "total", count)), F.lit(0)).alias("totalEvents"),
         F.map_from_entries(
-            chosen("category", F.struct(F.col("key"), F.struct(count, average).alias("value")))
+            F.array_sort(chosen("category", F.struct(F.col("key"), F.struct(count, average).alias("value"))))
         ).alias("byCategory"),
-        F.map_from_entries(chosen("action", F.struct(F.col("key"), count))).alias("byAction"),
+        F.map_from_entries(F.array_sort(chosen("action", F.struct(F.col("key"), count)))).alias("byAction"),
         ordered("attacker", attackers).alias("topAttackers"),
         ordered("path", paths).alias("topTargetedPaths"),
     ).select(

@@ -8,7 +8,19 @@ from pyspark.sql import functions as F
 from palisade import schema
 
 _ID_PREFIX = "rule-"
-_RUN = 4096
+_RUN_BITS = 12
+_RUN = 1 << _RUN_BITS
+
+
+_KNOWN = ", ".join(f"'{name}'" for name in schema.CATEGORIES)
+
+# Field, message, and the SQL condition under which it is reported.
+CONSTRAINTS = [
+    ("category", "must not be null", "category is null"),
+    ("category", f"must be one of {', '.join(schema.CATEGORIES)}", f"category not in ({_KNOWN})"),
+    ("threshold", "must be greater than or equal to 1", "coalesce(threshold, 0) < 1"),
+    ("windowMinutes", "must be greater than or equal to 1", "coalesce(window_minutes, 0) < 1"),
+]
 
 
 def valid_definitions(requests: DataFrame) -> DataFrame:
@@ -20,18 +32,28 @@ def valid_definitions(requests: DataFrame) -> DataFrame:
     )
 
 
+def definition_errors(requests: DataFrame, order: str = "seq") -> DataFrame:
+    """A row ``order, field, message`` per broken constraint of the definitions that ``define`` refuses."""
+    found = F.array_compact(F.array(*[
+        F.when(F.expr(broken), F.struct(F.lit(field).alias("field"), F.lit(message).alias("message")))
+        for field, message, broken in CONSTRAINTS
+    ]))
+    return requests.select(order, F.explode(found).alias("error")).select(order, "error.field", "error.message")
+
+
 def define(requests: DataFrame, existing: DataFrame | None = None, order: str = "seq") -> DataFrame:
     """Valid definitions with ids ``rule-N`` that go on from the existing ones.
 
     ``order`` is a column of distinct whole numbers telling the order of
     definition. Rows are numbered within runs of that column, each of a fixed
-    largest size, and a run starts where the ones before it end.
+    largest size, and a run starts where the ones before it end. Where runs lie
+    is found the same way, by runs of runs, until few enough are left.
     """
-    run = F.floor(F.col(order) / _RUN)
+    run = F.shiftright(F.col(order).cast("bigint"), _RUN_BITS)
     rows = valid_definitions(requests).withColumn("run", run)
     sizes = rows.groupBy("run").agg(F.count(F.lit(1)).alias("size"))
-    before = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("run", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
+    ends = rows.agg(F.min("run").alias("low"), F.max("run").alias("high")).first()
+    starts = _starts(sizes, ends["low"] or 0, ends["high"] or 0)
     base = 0
     if existing is not None:
         number = F.substring("id", len(_ID_PREFIX) + 1, 20).cast("bigint")
@@ -50,6 +72,21 @@ def define(requests: DataFrame, existing: DataFrame | None = None, order: str =
     )
 
 
+def _starts(sizes: DataFrame, low: int, high: int) -> DataFrame:
+    """``(run, start)``: the sizes before each run, where runs lie in ``low..high``; no window holds over ``_RUN`` rows."""
+    before = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    sum_before = lambda window: F.coalesce(F.sum("size").over(window), F.lit(0))
+    if high - low < _RUN:
+        return sizes.select("run", sum_before(before).alias("start"))
+    grouped = sizes.withColumn("group", F.shiftright("run", _RUN_BITS))
+    groups = grouped.groupBy(F.col("group").alias("run")).agg(F.sum("size").alias("size"))
+    of_group = _starts(groups, low // _RUN, high // _RUN).select(F.col("run").alias("group"), F.col("start").alias("base"))
+    inside = grouped.withColumn("inside", sum_before(
+        Window.partitionBy("group").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    ))
+    return inside.join(of_group, "group").select("run", (F.col("base") + F.col("inside")).alias("start"))
+
+
 def append(rules: DataFrame, path: str) -> None:
     rules.select(*schema.ALERT_RULE.fieldNames()).write.mode("append").parquet(path)
 

@@ -80,6 +80,34 @@ def test_ids_go_on_in_order_across_runs(spark):
     assert found == {5: "rule-12", 4095: "rule-13", 4096: "rule-14", 9000: "rule-15", 70_000: "rule-16"}
 
 
+def test_ids_of_sparse_numbers(spark):
+    places = [-9 * 10**18, -5000, -1, 0, 4096, 5_000_000, 10**12, 10**12 + 1, 2**53 + 1, 2**53 + 2, 9 * 10**18]
+    asked = definitions(spark, *[(seq, i, "BOT", 1, 1) for i, seq in enumerate(places)])
+    found = {r["config_id"]: r["id"] for r in rules_table.define(asked).collect()}
+    assert found == {i: f"rule-{i + 1}" for i in range(len(places))}
+
+
+def test_no_definition_is_no_rule(spark):
+    assert rules_table.define(definitions(spark, (0, 1, "BOT", 0, 1))).count() == 0
+
+
+def test_refused_definitions_are_told_why(spark):
+    asked = definitions(spark, (0, 1, "BOT", 1, 1), (1, 1, None, 1, 1), (2, 1, "SPAM", None, 0))
+    found = sorted(map(tuple, rules_table.definition_errors(asked).collect()))
+    known = "INJECTION, XSS, PROTOCOL_VIOLATION, DATA_LEAKAGE, BOT, DOS, RATE_LIMIT"
+    least = "must be greater than or equal to 1"
+    assert found == [(1, "category", "must not be null"), (2, "category", f"must be one of {known}"),
+                     (2, "threshold", least), (2, "windowMinutes", least)]
+
+
+def test_errors_and_rules_share_no_definition(spark):
+    asked = definitions(spark, *[(i, 1, c, t, w) for i, (c, t, w) in enumerate(
+        (c, t, w) for c in ("BOT", "SPAM", None) for t in (1, 0, None) for w in (1, 0, None))])
+    refused = {r["seq"] for r in rules_table.definition_errors(asked).collect()}
+    sound = {r["seq"] for r in rules_table.valid_definitions(asked).collect()}
+    assert not refused & sound and len(refused | sound) == 27
+
+
 def test_round_trip(spark, tmp_path):
     path = str(tmp_path / "rules")
     rules_table.append(rules_table.define(definitions(spark, (0, 5201, "INJECTION", 100, 5))), path)
