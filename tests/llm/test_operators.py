@@ -139,6 +139,26 @@ def test_compact_windows_are_those_of_all_runs():
                 assert holders == [i + int(hashes[i : j + 1].argmin())]
 
 
+def spread(edited, at=((20, 24), (20, 24))):
+    """The shingles of two texts, each inside words of its own, and one span over both."""
+    (a, b), (c, d) = at
+    one = [f"p{k}" for k in range(a)] + edited[1] + [f"q{k}" for k in range(b)]
+    two = [f"r{k}" for k in range(c)] + edited[0] + [f"s{k}" for k in range(d)]
+    names = {}
+    x, y = ([names.setdefault(tuple(w[k : k + 5]), len(names)) for k in range(len(w) - 4)] for w in (one, two))
+    spans = np.array([(k, 0, len(x) - 1, 0, len(y) - 1) for k in range(2)])
+    return np.array(x, np.uint64), np.array(y, np.uint64), spans
+
+
+@pytest.mark.parametrize("length, changed", [(60, [30]), (50, [0]), (100, [33, 66]), (85, [42])])
+def test_passages_with_changed_words_are_found(length, changed):
+    passage = [f"w{k}" for k in range(length)]
+    other = ["changed" if k in changed else w for k, w in enumerate(passage)]
+    x, y, spans = spread((passage, other))
+    found = compact.compare(x, y, spans)
+    assert any(s <= 20 + 5 * (changed == [0]) and e >= 20 + length - 1 and alike >= 0.8 for s, e, _, _, alike in found)
+
+
 def test_cut_keeps_clean_documents_and_columns(docs):
     after = by_id(compact.cut(docs))
     flagged = {r.doc_id for r in compact.passages(docs).collect()}
