@@ -150,6 +150,25 @@ def spread(edited, at=((20, 24), (20, 24))):
     return np.array(x, np.uint64), np.array(y, np.uint64), spans
 
 
+def alike_runs(x, y, least=46, percent=80):
+    """By brute force, the runs of x alike to some run of y, less the shingles at their ends that the run of y has not."""
+    x, y, out = x.tolist(), y.tolist(), set()
+    for i in range(len(x)):
+        mask = 0
+        for j in range(i, len(x)):
+            mask |= 1 << x[j]
+            if j - i + 1 < least:
+                continue
+            for i2 in range(len(y)):
+                other = 0
+                for j2 in range(i2, min(len(y), i2 + (j - i + 1) * 100 // percent + 1)):
+                    other |= 1 << y[j2]
+                    if 100 * (mask & other).bit_count() >= percent * (mask | other).bit_count():
+                        inner = [k for k in range(i, j + 1) if other >> x[k] & 1]
+                        out.add((inner[0], inner[-1]))
+    return out
+
+
 @pytest.mark.parametrize("length, changed", [(60, [30]), (50, [0]), (100, [33, 66]), (85, [42])])
 def test_passages_with_changed_words_are_found(length, changed):
     passage = [f"w{k}" for k in range(length)]
@@ -159,6 +178,35 @@ def test_passages_with_changed_words_are_found(length, changed):
     assert any(s <= 20 + 5 * (changed == [0]) and e >= 20 + length - 1 and alike >= 0.8 for s, e, _, _, alike in found)
 
 
+def test_inserted_words_count_alike_in_either_text():
+    passage = [f"w{k}" for k in range(90)]
+    other = passage[:45] + [f"n{k}" for k in range(8)] + passage[45:]
+    for pair in ((passage, other), (other, passage)):
+        x, y, spans = spread(pair)
+        [(start, end, start2, end2, alike)] = compact.compare(x, y, spans)
+        assert (end - start, end2 - start2) == (len(pair[1]), len(pair[0])) and alike == pytest.approx(82 / 98)
+
+
+def test_near_passages_are_those_of_brute_force():
+    import random
+
+    rng = random.Random(5)
+    hits = 0
+    for _ in range(25):
+        passage = [f"w{k}" for k in range(rng.randint(50, 66))]
+        other = list(passage)
+        for _ in range(rng.randint(1, 2)):
+            k = rng.randrange(len(other))
+            other[k : k + rng.randint(0, 3)] = [f"n{rng.random()}" for _ in range(rng.randint(0, 3))]
+        x, y, spans = spread((passage, other), ((4, 3), (2, 5)))
+        found = [(s, e - 5) for s, e, *_ in compact.compare(x, y, spans)]
+        expected = alike_runs(x, y)
+        hits += bool(expected)
+        assert all(any(s <= i and j <= e for s, e in found) for i, j in expected)
+        assert bool(found) == bool(expected)
+    assert 5 < hits
+
+
 def test_cut_keeps_clean_documents_and_columns(docs):
     after = by_id(compact.cut(docs))
     flagged = {r.doc_id for r in compact.passages(docs).collect()}
