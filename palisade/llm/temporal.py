@@ -4,8 +4,8 @@ A list is a history of dated entries: at ``since`` an entry is added to or
 removed from the list. Per entry key the dated rows become validity intervals,
 from each addition to the next removal. A capture is judged against the entries
 valid at its own fetch time: its URL has a key per level (the host and each
-parent domain, and the host with each leading folder of the path), and the most
-specific valid entry decides. ``block`` entries reject, ``allow`` entries
+parent domain, the host with each leading folder of the path, and the whole path
+without its query), and the most specific valid entry decides. ``block`` entries reject, ``allow`` entries
 except what lies under them.
 
 Each interval is filed under every bucket of time it touches, split at the
@@ -30,6 +30,7 @@ from palisade.llm.common import stored
 
 DAYS = 30
 DAY = 86_400
+#: Folders of a page that the list of the registered query is drawn from, as in its SQL; captures are judged by all.
 LEVELS = 4
 
 
@@ -37,8 +38,11 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
-def keys(url: Column, levels: int = LEVELS) -> Column:
-    """Entry keys of a URL with how specific each is: parent domains, the host, and its leading folders."""
+def keys(url: Column, levels: int | None = None) -> Column:
+    """Entry keys of a URL with how specific each is: parent domains, the host, its leading folders, and the page.
+
+    With ``levels``, only so many folders and no page.
+    """
     parts = F.split(host(url), r"\.")
     n = F.size(parts)
     # The last label alone is no entry; at most ``levels`` trailing labels and the whole host count.
@@ -48,13 +52,19 @@ def keys(url: Column, levels: int = LEVELS) -> Column:
     )
     path = F.split(F.regexp_extract(url, r"^[^:]+://[^/?#]+/([^?#]*)", 1), "/")
     folders = F.transform(
-        F.sequence(F.lit(1), F.lit(levels)),
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(path) - 1) if levels is None else F.lit(levels)),
         lambda k: F.struct(
             F.when(F.size(path) > k, F.concat(host(url), F.lit("/"), F.array_join(F.slice(path, F.lit(1), k), "/"), F.lit("/"))).alias("key"),
             (F.lit(100) + k).alias("rank"),
         ),
     )
-    return F.when(F.length(host(url)) > 0, F.filter(F.concat(domains, folders), lambda x: x["key"].isNotNull()))
+    # A path that ends in a folder has that folder's key already.
+    page = F.array(F.struct(
+        F.when(F.element_at(path, -1) != "", F.concat(host(url), F.lit("/"), F.array_join(path, "/"))).alias("key"),
+        (F.lit(100) + F.size(path)).alias("rank"),
+    ))
+    known = F.concat(domains, folders, page) if levels is None else F.concat(domains, folders)
+    return F.when(F.length(host(url)) > 0, F.filter(known, lambda x: x["key"].isNotNull()))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -119,7 +129,7 @@ def page_list(pages: DataFrame) -> DataFrame:
     About a third of the keys is listed at some time, half of those are taken
     off again later, and a quarter of these listed once more.
     """
-    known = pages.select(F.explode(keys(F.col("url"))).alias("k")).select("k.key", "k.rank").distinct()
+    known = pages.select(F.explode(keys(F.col("url"), LEVELS)).alias("k")).select("k.key", "k.rank").distinct()
     at = lambda n: START + _digest(F.col("key"), n) * 30
     listed = known.where(_digest(F.col("key"), 1) % 3 == 0).select(
         "key", F.when(_digest(F.col("key"), 6) % 4 == 0, "allow").otherwise("block").alias("action"),

@@ -254,6 +254,18 @@ def test_probing_finds_every_code_within_the_radius():
         assert set(zip(*multiindex.probe(index, queries, radius))) == set(zip(*np.nonzero(apart <= radius)))
 
 
+def test_entries_for_deep_folders_and_single_pages(spark):
+    entries = spark.createDataFrame(
+        [("h.org/a/b/c/d/e/", "block", 0, True), ("h.org/a/b/c/d/e/f/ok.html", "allow", 0, True), ("h.org/x.html", "block", 0, True)],
+        "key string, action string, since long, listed boolean",
+    )
+    urls = ["http://h.org/a/b/c/d/e/f/no.html", "http://h.org/a/b/c/d/e/f/ok.html?q=1", "http://h.org/a/b/c/d/z", "http://h.org/x.html", "http://h.org/", "http://h.org", None]
+    captures = spark.createDataFrame([(i, u, 10) for i, u in enumerate(urls)], "page_id long, url string, fetched long")
+    found = by_id(temporal.evaluate(captures, entries), "page_id")
+    assert [found[i].blocked for i in range(7)] == [True, False, False, True, False, False, False]
+    assert found[1].decided_by == "h.org/a/b/c/d/e/f/ok.html" and found[1].n_valid == 2
+
+
 # --- 5, 6, 7: with SQL -----------------------------------------------------
 
 PAGES = [
