@@ -18,6 +18,7 @@ from palisade.llm import (
     lyndon,
     multiindex,
     temporal,
+    whitening,
 )
 from palisade.llm.common import configure
 
@@ -72,6 +73,10 @@ def op10_byte_network(spark, sf_dir):
     return byteconv.identify(_table(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark, sf_dir):
+    return whitening.by_component(whitening.whiten(_table(spark, sf_dir, "embeddings")))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -82,7 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_fertility, op2_lyndon_dedup, op3_compact_windows, op4_multi_index, op5_temporal_filter,
-        op6_warc_bundles, op7_fair_mix, op8_genetic_packing, op9_group_join, op10_byte_network, pipeline,
+        op6_warc_bundles, op7_fair_mix, op8_genetic_packing, op9_group_join, op10_byte_network,
+        op12_whitening, pipeline,
     )
 }
 
