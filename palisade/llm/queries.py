@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from palisade.llm import (
     bundles,
     byteconv,
+    collocation,
     compact,
     fairmix,
     fertility,
@@ -73,6 +74,10 @@ def op10_byte_network(spark, sf_dir):
     return byteconv.identify(_table(spark, sf_dir, "documents"))
 
 
+def op11_collocation(spark, sf_dir):
+    return collocation.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op12_whitening(spark, sf_dir):
     return whitening.by_component(whitening.whiten(_table(spark, sf_dir, "embeddings")))
 
@@ -88,8 +93,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_fertility, op2_lyndon_dedup, op3_compact_windows, op4_multi_index, op5_temporal_filter,
         op6_warc_bundles, op7_fair_mix, op8_genetic_packing, op9_group_join, op10_byte_network,
-        op12_whitening, pipeline,
+        op11_collocation, op12_whitening, pipeline,
     )
 }
 
-ORACLE = {"op5_temporal_filter": temporal.SQL, "op6_warc_bundles": bundles.SQL, "op7_fair_mix": fairmix.SQL}
+ORACLE = {
+    "op5_temporal_filter": temporal.SQL,
+    "op6_warc_bundles": bundles.SQL,
+    "op7_fair_mix": fairmix.SQL,
+    "op11_collocation": collocation.SQL,
+}
