@@ -19,6 +19,7 @@ from palisade.llm import (
     lyndon,
     multiindex,
     temporal,
+    toxicity,
     whitening,
 )
 from palisade.llm.common import configure
@@ -82,6 +83,12 @@ def op12_whitening(spark, sf_dir):
     return whitening.by_component(whitening.whiten(_table(spark, sf_dir, "embeddings")))
 
 
+def op13_toxicity(spark, sf_dir):
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).select(
+        "doc_id", "held_out", "score", "predicted", "evidence"
+    )
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -93,7 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_fertility, op2_lyndon_dedup, op3_compact_windows, op4_multi_index, op5_temporal_filter,
         op6_warc_bundles, op7_fair_mix, op8_genetic_packing, op9_group_join, op10_byte_network,
-        op11_collocation, op12_whitening, pipeline,
+        op11_collocation, op12_whitening, op13_toxicity, pipeline,
     )
 }
 
