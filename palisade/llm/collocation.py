@@ -51,11 +51,11 @@ INSIDE_PERCENT = 80
 SCALE = 2_000_000
 TOP = 2000
 UNKNOWN = "und"
-BUDGET = 2_000_000
+BUDGET = 250_000
 MOST_BUCKETS = 1 << 20
 MOST_BITS = 1 << 28
 #: Suffixes a task gathers before it adds up equal ones and sends them.
-GATHER = 1_500_000
+GATHER = 800_000
 _SALTS = 64
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"

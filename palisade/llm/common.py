@@ -11,10 +11,10 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Python tasks take whole texts in batches of a few MB.
+#: Python tasks take whole texts in batches of about 2 MB.
 ARROW_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(2 << 20),
     "spark.sql.session.timeZone": "UTC",
     # What a finished step shuffled is not read again: its result is in the shared folder.
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",

@@ -112,7 +112,7 @@ def _script(flat: Flat) -> np.ndarray:
 def _measures(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = piece_bpe(path)
-        for part in slices(batches):
+        for part in coder.during(slices(batches)):
             flat = Flat(part.column("text"))
             starts, ends, counts = flat.words()
             bounds = np.concatenate([[0], np.cumsum(counts)])
@@ -210,8 +210,10 @@ def filter_docs(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     path = vocabulary or public("piece_bpe_32k.model")
     limits = stored(bands(stored(measure(docs, path).select("band", "n_tokens", *FLOORS))))
     names = docs.columns
-    packed = docs.select("text", F.col("lang").alias("language"), F.struct(*names).alias("row"))
+    # The text moves once, beside the other columns.
+    others = F.struct(*[n for n in names if n != "text"])
+    packed = docs.select("text", F.col("lang").alias("language"), others.alias("row"))
     kind = packed.schema["row"].dataType.simpleString()
-    rows = packed.mapInArrow(_measures(path), f"text string, language string, row {kind}, {_SCHEMA}").drop("text")
+    rows = packed.mapInArrow(_measures(path), f"text string, language string, row {kind}, {_SCHEMA}")
     rows = rows.withColumn("band", F.coalesce("language", F.concat(F.lit("script:"), "script")))
-    return judge(rows, limits).where("kept").select("row.*")
+    return judge(rows, limits).where("kept").select(*[F.col("text") if n == "text" else F.col("row")[n].alias(n) for n in names])

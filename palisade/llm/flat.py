@@ -13,7 +13,9 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 500_000
+#: Powers are kept for texts up to this size; those of a longer text are made for it alone.
+_KEPT_BITS = 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -35,12 +37,19 @@ BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * _MULTIPLIER)
 LOWER_VALUES = BYTE_VALUES[LOWER]
 
 
-@cache
-def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     n = 1 << bits
     up, down = np.full(n, _MULTIPLIER), np.full(n, _INVERSE)
     up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+    return np.cumprod(up, out=up), np.cumprod(down, out=down)
+
+
+_kept_powers = cache(_powers)
+
+
+def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least the first ``1 << bits`` powers of the multiplier and of its inverse."""
+    return _kept_powers(_KEPT_BITS) if bits <= _KEPT_BITS else _powers(bits)
 
 
 class Flat:

@@ -47,7 +47,7 @@ WELL_FILLED = 0.995
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_bpe(path)
-        for part in slices(batches):
+        for part in coder.during(slices(batches)):
             ids, counts = coder.rows(Flat(part.column("text")))
             ids = ids.astype("<u4")
             end = np.array([end_id], "<u4").tobytes()

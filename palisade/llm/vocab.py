@@ -3,18 +3,20 @@
 Neither vocabulary used here merges across white space, so a text's ids are
 those of its words in order. ``WordBpe`` further splits words where its
 pre-tokenizer always splits; ``PieceBpe`` is used on words as they stand. The
-cache of a worker holds at most ``CACHE`` pieces and starts anew beyond that.
+cache of a worker holds at most ``CACHE`` pieces and starts anew beyond that; a
+task empties it when it ends, as workers live on for other work.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 
 from palisade.llm.flat import Flat, within
 
-CACHE = 400_000
+CACHE = 200_000
 _JOIN = 400
 
 # Byte classes: 0 white space, 1 letter, 2 digit, 3 other ASCII, 4 to be left whole.
@@ -43,15 +45,22 @@ class _Cached:
     """Ids by hash of a piece, in flat arrays."""
 
     def __init__(self):
-        self._clear()
+        self.clear()
 
-    def _clear(self):
+    def clear(self):
         self.slot: dict[int, int] = {}
         self.ids = np.zeros(1 << 16, np.int32)
         self.used = 0
         self.begin = np.zeros(1 << 14, np.int64)
         self.length = np.zeros(1 << 14, np.int32)
 
+    def during(self, items: Iterator) -> Iterator:
+        """The items; when they end, for whatever reason, the cache is emptied."""
+        try:
+            yield from items
+        finally:
+            self.clear()
+
     def _add(self, keys: list[int], lists: list[list[int]]):
         lengths = np.fromiter(map(len, lists), np.int32, len(lists))
         total, first = int(lengths.sum()), len(self.slot)
@@ -70,7 +79,7 @@ class _Cached:
         """Slots of the pieces."""
         distinct, at, back = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.slot) + len(distinct) > CACHE:
-            self._clear()
+            self.clear()
         names = distinct.tolist()
         missing = [i for i, k in enumerate(names) if k not in self.slot]
         if missing:
