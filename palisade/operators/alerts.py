@@ -26,24 +26,37 @@ def age_cells(events: DataFrame, now, minutes: int) -> DataFrame:
     # A window that reaches before the first representable instant has no lower bound.
     recent = matching(events, earlier(as_datetime(now), minutes), now)
     age = F.ceil((F.lit(epoch_micros(now)) - F.unix_micros("timestamp")) / F.lit(_MINUTE_US))
-    by_config = (
+    return with_all_configurations(
         recent.groupBy(F.col("rule_category").alias("category"), "config_id", age.alias("age"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    return by_config.select(
+
+
+def with_all_configurations(cells: DataFrame) -> DataFrame:
+    """Cells (category, config_id, age, n), and those of all configurations together under a null one."""
+    return cells.select(
         "category", F.explode(F.array(F.col("config_id"), F.lit(None).cast("bigint"))).alias("config_id"),
         "age", "n",
     ).groupBy("category", "config_id", "age").agg(F.sum("n").alias("n"))
 
 
+def longest_window(rules: DataFrame) -> int:
+    """Minutes of the longest window of the rules, 1 at least."""
+    return rules.agg(F.max("window_minutes").alias("minutes")).first()["minutes"] or 1
+
+
 def evaluate(events: DataFrame, rules: DataFrame, now) -> DataFrame:
-    """Every rule with its count over ``[now - window_minutes, now)``.
+    """Every rule with its count over ``[now - window_minutes, now)``."""
+    return evaluate_cells(age_cells(events, now, longest_window(rules)), rules, now)
+
+
+def evaluate_cells(cells: DataFrame, rules: DataFrame, now) -> DataFrame:
+    """The rules' counts from cells as ``age_cells`` gives them.
 
     A window asked for enters its category and configuration at its age, and
     the running count there is its answer: nothing is paired with any cell.
     """
-    longest = rules.agg(F.max("window_minutes").alias("minutes")).first()["minutes"] or 1
-    cells = age_cells(events, now, longest).withColumn("asked", F.lit(False))
+    cells = cells.withColumn("asked", F.lit(False))
     asked = rules.select(
         "category",
         "config_id",

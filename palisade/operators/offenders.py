@@ -6,19 +6,26 @@ millisecond. Events of all configurations count.
 
 from __future__ import annotations
 
-from datetime import timedelta
+from dataclasses import dataclass
+from datetime import date, datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade import schema
-from palisade.functions.instants import EPOCH, earlier, millis
+from palisade.functions.instants import EPOCH, earlier, floor_to, instant_lit, millis
 from palisade.operators.filters import matching
-from palisade.operators.sizes import broadcast_if_small
+from palisade.operators.sizes import MAX_BROADCAST_BYTES, broadcast_if_small
 from palisade.operators.trailing import over_frame, sliced, trailing
 
 WINDOW_MS = schema.REPEAT_OFFENDER_WINDOW_MS
 
+# Steps of time in which a batch's events are told apart, finest first: a frame, an hour, a day, about a month and a year.
+UNITS_MS = (WINDOW_MS, 3_600_000, 86_400_000, 30 * 86_400_000, 360 * 86_400_000)
+MOST_UNITS = 500
+MOST_RANGES = 48
+
 
 def is_repeat_offender(prior_count: Column) -> Column:
     return F.coalesce(prior_count > schema.REPEAT_OFFENDER_THRESHOLD, F.lit(False))
@@ -45,48 +52,121 @@ def history_of_addresses(history: DataFrame, addresses: DataFrame, from_, to) ->
     return keyed(matching(history, from_, to)).join(wanted, "client_ip", "left_semi")
 
 
-def reach(bounds):
-    """The range of stored events that can matter to a batch with these bounds.
+@dataclass(frozen=True)
+class Reach:
+    """Which stored events can matter to a batch: ranges of time, ends excluded, and what its addresses take in memory at most.
 
     None for a lower bound that would lie before the first representable instant.
     """
-    low, high = bounds
-    return earlier(low, timedelta(milliseconds=WINDOW_MS)), high
 
+    ranges: list[tuple[datetime | None, datetime]]
+    address_bytes: int
+
+    def days(self) -> list[tuple[date | None, date]]:
+        """First and last day of each range."""
+        return [
+            (low and low.date(), (earlier(high, timedelta(microseconds=1)) or high).date()) for low, high in self.ranges
+        ]
+
+
+def _merged(spans: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
+    """Spans in order, those that touch as one; over ``most`` of them, those nearest each other too."""
+    merged: list[list[int]] = []
+    for low, high in sorted(spans):
+        if merged and low <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], high)
+        else:
+            merged.append([low, high])
+    gaps = sorted(range(1, len(merged)), key=lambda i: merged[i][0] - merged[i - 1][1], reverse=True)
+    starts = sorted([0, *gaps[: most - 1]]) if merged else []
+    return [(merged[i][0], merged[j - 1][1]) for i, j in zip(starts, [*starts[1:], len(merged)])]
+
+
+def _instant(ms: int) -> datetime | None:
+    try:
+        return EPOCH + timedelta(milliseconds=ms)
+    except OverflowError:
+        return None
+
+
+def reach(batch: DataFrame) -> Reach:
+    """What a batch reaches: the ten minutes before its events, told apart by slices of that length.
 
-def history_for_batch(history: DataFrame, batch: DataFrame, bounds=None) -> DataFrame:
-    """The stored events that can matter to a batch; ``bounds`` if they are known already."""
-    bounds = batch_bounds(batch) if bounds is None else bounds
+    An event now and one of three years ago reach two short ranges, not all
+    between. A batch that touches over ``MOST_UNITS`` slices is told apart by hours,
+    days, months or years instead, whichever is finest; a range may then hold
+    events that do not matter, but none that do is left out. One job, from which a
+    bounded number of rows reaches the driver.
+    """
+    ts = F.col("ts_ms")
+    slices = keyed(batch).groupBy(floor_to(ts, UNITS_MS[0]).alias("slice")).agg(
+        F.min(ts).alias("low"), F.max(ts).alias("high"), F.sum(F.octet_length("client_ip") + 64).alias("bytes")
+    )
+    steps = [floor_to(F.col("slice"), step) for step in UNITS_MS] + [F.lit(0).cast("bigint")]
+    units = F.array(*[F.struct(F.lit(k).alias("kind"), unit.alias("unit")) for k, unit in enumerate(steps)])
+    each = slices.select(F.explode(units).alias("u"), "low", "high", "bytes").groupBy("u.kind", "u.unit").agg(
+        F.min("low").alias("low"), F.max("high").alias("high"), F.sum("bytes").alias("bytes")
+    )
+    place = F.row_number().over(Window.partitionBy("kind").orderBy("unit"))
+    found = each.withColumn("place", place).where(F.col("place") <= MOST_UNITS + 1).collect()
+    for kind in range(len(steps)):
+        rows = [r for r in found if r["kind"] == kind]
+        if len(rows) <= MOST_UNITS:
+            break
+    spans = _merged([(r["low"] - WINDOW_MS, r["high"]) for r in rows], MOST_RANGES)
+    return Reach([(_instant(low), _instant(high)) for low, high in spans], sum(r["bytes"] for r in rows))
+
+
+def history_in_reach(history: DataFrame, batch: DataFrame, found: Reach) -> DataFrame:
+    """The stored events of a batch's addresses in the ranges it reaches; days and times are pruned by them."""
+    if not found.ranges:
+        return history.limit(0)
+
+    def inside(column: str, literal, low, high, last) -> Column:
+        upper = F.col(column) <= literal(high) if last else F.col(column) < literal(high)
+        return upper if low is None else (F.col(column) >= literal(low)) & upper
+
+    either = lambda conditions: reduce(lambda a, b: a | b, conditions)
+    rows = history.where(either([inside("timestamp", instant_lit, low, high, False) for low, high in found.ranges]))
+    if "event_date" in history.columns:
+        day = lambda value: F.lit(value.isoformat()).cast("date")
+        rows = rows.where(either([inside("event_date", day, low, high, True) for low, high in found.days()]))
+    wanted = batch.select("client_ip").distinct()
+    if found.address_bytes <= MAX_BROADCAST_BYTES:
+        wanted = F.broadcast(wanted)
+    return rows.join(wanted, "client_ip", "left_semi")
+
+
+def history_for_batch(history: DataFrame, batch: DataFrame) -> DataFrame:
+    """``(client_ip, ts_ms)`` of the batch's addresses from ten minutes before its first event up to its last."""
+    bounds = batch_bounds(batch)
     if bounds is None:
         return keyed(history).limit(0)
-    return history_of_addresses(history, batch, *reach(bounds))
+    low, high = bounds
+    return history_of_addresses(history, batch, earlier(low, timedelta(milliseconds=WINDOW_MS)), high)
 
 
-def prior_counts_in_requests(batch: DataFrame, history: DataFrame, bounds=None) -> DataFrame:
+def prior_counts_in_requests(batch: DataFrame, history: DataFrame, found: Reach | None = None) -> DataFrame:
     """``(client_ip, ts_ms, batch_id, prior_count)`` for several requests that come one after the other.
 
     ``batch_id`` (1 and up) is their order; each sees the history and the
-    requests before it.
+    requests before it. ``found`` is what the batch reaches, if known already.
     """
-    bounds = batch_bounds(batch) if bounds is None else bounds
     narrow = batch.select("client_ip", "timestamp", "batch_id")
-    if bounds is None:
-        return prior_counts_replayed(narrow)
-    wanted = broadcast_if_small(batch.select("client_ip").distinct())
-    stored = matching(history, *reach(bounds)).join(wanted, "client_ip", "left_semi")
+    stored = history_in_reach(history, batch, reach(batch) if found is None else found)
     before = stored.select("client_ip", "timestamp", F.lit(0).cast("bigint").alias("batch_id"))
     return prior_counts_replayed(narrow.unionByName(before)).where("batch_id > 0")
 
 
-def prior_counts(batch: DataFrame, history: DataFrame, bounds=None) -> DataFrame:
-    """``(client_ip, ts_ms, prior_count)`` for the points of a batch with any history."""
-    stored = history_for_batch(history, batch, bounds).withColumn("n", F.lit(1))
+def prior_counts(batch: DataFrame, history: DataFrame, found: Reach | None = None) -> DataFrame:
+    """``(client_ip, ts_ms, prior_count)`` for the points of a batch with any history; ``found`` as above."""
+    stored = keyed(history_in_reach(history, batch, reach(batch) if found is None else found)).withColumn("n", F.lit(1))
     points = keyed(batch).withColumn("n", F.lit(0))
     counted = stored.unionByName(points).groupBy("client_ip", "ts_ms").agg(
         F.sum("n").alias("n"), (F.min("n") == 0).alias("asked")
     )
-    found = trailing(counted, ["client_ip"], -WINDOW_MS, -1, point=F.col("asked"))
-    return found.where("in_frame > 0").select(
+    found_in = trailing(counted, ["client_ip"], -WINDOW_MS, -1, point=F.col("asked"))
+    return found_in.where("in_frame > 0").select(
         "client_ip", "ts_ms", F.col("in_frame").alias("prior_count")
     )
 

@@ -9,13 +9,23 @@ from palisade.operators import offenders
 from palisade.operators.enrichment import enrich
 
 
-def flag_batch(batch: DataFrame, history: DataFrame, bounds=None) -> DataFrame:
+def flag_batch(batch: DataFrame, history: DataFrame, found: offenders.Reach | None = None) -> DataFrame:
     """Add ``repeat_offender`` to one flat batch, seen against the events stored before it."""
-    return offenders.with_repeat_offender(batch, offenders.prior_counts(batch, history, bounds))
+    return offenders.with_repeat_offender(batch, offenders.prior_counts(batch, history, found))
 
 
-def enrich_batch(batch: DataFrame, history: DataFrame, received_at: Column, keep: list[str] = ()) -> DataFrame:
-    """One flat batch to rows of the event table."""
+def enrich_batch(
+    batch: DataFrame, history: DataFrame, received_at: Column, keep: list[str] = (), scratch: str | None = None
+) -> DataFrame:
+    """One flat batch to rows of the event table.
+
+    The batch is read for what it reaches, for its points and for its rows.
+    ``scratch``, a folder that all executors share, takes it first, so that what
+    made it runs once.
+    """
+    if scratch is not None:
+        batch.write.mode("overwrite").parquet(scratch)
+        batch = batch.sparkSession.read.schema(batch.schema).parquet(scratch)
     return enrich(flag_batch(batch, history), received_at, keep)
 
 

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from datetime import datetime, timedelta
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +11,8 @@ from pyspark.sql import types as T
 from palisade import schema
 from palisade.functions.instants import to_millis_precision
 from palisade.functions.text import or_empty
+from palisade.sources import parts
+from palisade.sources.parts import PARTITIONS, stamped
 
 # The stored columns that are known before enrichment.
 FLAT_COLUMNS = [
@@ -19,10 +20,6 @@ FLAT_COLUMNS = [
     if name not in ("received_at", "attack_type", "threat_score")
 ]
 
-# Beyond this many days a read lists the whole table.
-_MOST_DAYS = 1000
-
-PARTITIONS = ["event_date", "ingest_run", "ingest_batch"]
 SORT_COLUMNS = ["config_id", "timestamp", "client_ip", "event_id"]
 
 
@@ -104,22 +101,19 @@ def append(rows: DataFrame, path: str, rebalance: bool = False, run: str = "back
     _layout(stamped(rows, run, 0), rebalance).write.mode("append").partitionBy(*PARTITIONS).parquet(path)
 
 
-def stamped(rows: DataFrame, run: str, ingest_batch: int) -> DataFrame:
-    """Rows with the run and the batch that stored them."""
-    return rows.withColumns({
-        "ingest_run": F.lit(run), "ingest_batch": F.lit(ingest_batch).cast("bigint"),
-    })
-
-
 def replace_batch(rows: DataFrame, path: str, run: str, ingest_batch: int) -> None:
     """Write the rows of one micro-batch, replacing what an earlier try of the same run left behind."""
-    (
-        _layout(stamped(rows, run, ingest_batch), False)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*PARTITIONS)
-        .parquet(path)
-    )
+    parts.replace(_layout(rows, False), path, run, ingest_batch)
+
+
+def pack(spark: SparkSession, path: str, target_bytes: int = parts.TARGET_BYTES, now: datetime | None = None) -> int:
+    """Rewrite the finished micro-batches of each day as files of about ``target_bytes``; returns how many days."""
+    return parts.pack(spark, path, table_schema(with_batches=True), SORT_COLUMNS, target_bytes=target_bytes, now=now)
+
+
+def vacuum(spark: SparkSession, path: str, now: datetime | None = None, grace: timedelta = parts.GRACE) -> int:
+    """Delete what packing has replaced, once no reader can still hold it; returns how many folders."""
+    return parts.vacuum(spark, path, now, grace)
 
 
 def _layout(rows: DataFrame, rebalance: bool) -> DataFrame:
@@ -136,32 +130,15 @@ def table_schema(with_batches: bool = False) -> T.StructType:
     return T.StructType(fields)
 
 
-def read(
-    spark: SparkSession,
-    path: str,
-    with_batches: bool = False,
-    between: tuple[date | None, date] | None = None,
-) -> DataFrame:
+def read(spark: SparkSession, path: str, with_batches: bool = False, days: parts.Days | None = None) -> DataFrame:
     """The event table with its day column; ``with_batches`` also gives the run and batch that stored a row.
 
-    Reading lists all folders of the table. Given the first and last day of
-    interest in ``between``, only those days are listed, and a table that is
-    not there yet reads as empty.
+    Reading lists all folders of the table. Given ranges of days (first, or None
+    for all before, and last), only those days are listed, and a table that is not
+    there yet reads as empty.
     """
-    reader = spark.read.schema(table_schema(with_batches=True)).option("basePath", path)
-    unwanted = [] if with_batches else PARTITIONS[1:]
-    if between is None:
-        return reader.parquet(path).drop(*unwanted)
-    first, last = between[0] or date.min, between[1]
-    span = (last - first).days + 1
-    names = ",".join((first + timedelta(days=n)).isoformat() for n in range(min(span, _MOST_DAYS)))
-    try:
-        folders = f"{path}/event_date={{{names}}}" if span <= _MOST_DAYS else f"{path}/event_date=*"
-        return reader.parquet(folders).drop(*unwanted)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-    return empty(spark, with_batches)
+    rows = parts.read(spark, path, table_schema(with_batches=True), days)
+    return rows if with_batches else rows.drop(*PARTITIONS[1:])
 
 
 def empty(spark: SparkSession, with_batches: bool = False) -> DataFrame:

@@ -15,7 +15,6 @@ from palisade import schema
 from palisade.functions.instants import instant_lit
 from palisade.operators import offenders, quality, validation
 from palisade.operators.enrichment import enrich
-from palisade.operators.offenders import batch_bounds, reach
 from palisade.sources import event_table
 from palisade.sources.requests import parse_requests
 
@@ -55,11 +54,11 @@ def ingest_batch(
     try:
         accepted = validation.accepted_events(judged.drop("text"), mode=mode)
         batch = event_table.flatten(accepted, keep=["request_id", F.col("request_id").alias("batch_id")])
-        bounds = batch_bounds(batch)
-        history = _stored(spark, sinks.events, bounds).where(
+        found = offenders.reach(batch)
+        history = event_table.read(spark, sinks.events, with_batches=True, days=found.days()).where(
             (F.col("ingest_run") != run) | (F.col("ingest_batch") < batch_id)
         )
-        counts = offenders.prior_counts_in_requests(batch, history, bounds)
+        counts = offenders.prior_counts_in_requests(batch, history, found)
         flagged = offenders.with_repeat_offender(batch, counts)
         rows = enrich(flagged, instant_lit(now), keep=["request_id", "repeat_offender"])
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
@@ -92,14 +91,6 @@ def in_order(requests: DataFrame) -> DataFrame:
     )
 
 
-def _stored(spark: SparkSession, path: str, bounds) -> DataFrame:
-    """The stored events of the days that can matter to a batch with these bounds."""
-    if bounds is None:
-        return event_table.empty(spark, with_batches=True)
-    first, last = reach(bounds)
-    return event_table.read(spark, path, with_batches=True, between=(first and first.date(), last.date()))
-
-
 def _replace(rows: DataFrame, path: str, run: str, batch_id: int) -> None:
     (
         event_table.stamped(rows, run, batch_id)
@@ -117,14 +108,22 @@ def start_ingest(
     clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc),
     mode: str = "reject_batch",
     max_batch_size: int = schema.MAX_BATCH_SIZE,
+    pack_every: int | None = None,
     **trigger,
 ) -> StreamingQuery:
-    """Start ingesting a stream of request bodies (column ``body``)."""
+    """Start ingesting a stream of request bodies (column ``body``).
+
+    After every ``pack_every`` micro-batches the finished ones are packed; with
+    None that is left to a job of its own.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         # The id kept in the checkpoint: the same after a restart, another for a new checkpoint.
         run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
         ingest_batch(batch, batch_id, sinks, clock(), mode, max_batch_size, run)
+        if pack_every and (batch_id + 1) % pack_every == 0:
+            event_table.pack(batch.sparkSession, sinks.events)
+            event_table.vacuum(batch.sparkSession, sinks.events)
 
     return (
         requests.writeStream.foreachBatch(handle)

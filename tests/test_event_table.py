@@ -69,13 +69,13 @@ def test_reading_some_days(spark, tmp_path):
         (day(a), day(b)) for a, b in
         [("2026-05-20", "2026-05-25"), ("2026-06-01", "2026-06-02"), ("1970-01-01", "2200-01-01")]
     ]
-    assert event_table.read(spark, path, between=some).count() == 0
+    assert event_table.read(spark, path, days=[some]).count() == 0
     event_table.append(sample(spark), path)
-    found = event_table.read(spark, path, between=some)
+    found = event_table.read(spark, path, days=[some])
     assert ids(found) == ["e1", "e2", "e3"]
     assert len(found.inputFiles()) < len(event_table.read(spark, path).inputFiles())
-    assert event_table.read(spark, path, between=later).count() == 0
-    assert ids(event_table.read(spark, path, between=all_time)) == ["e0", "e1", "e2", "e3"]
+    assert event_table.read(spark, path, days=[later]).count() == 0
+    assert ids(event_table.read(spark, path, days=[all_time])) == ["e0", "e1", "e2", "e3"]
 
 
 def test_nested_and_flat_forms(spark):
