@@ -29,6 +29,7 @@ from palisade.operators import (  # noqa: E402
 from palisade.plans import ingest, reports  # noqa: E402
 from palisade.session import configure, shared_folder  # noqa: E402
 from palisade.sources import driver_events, event_table, requests, rules_table  # noqa: E402
+from palisade.streaming import live_alerts, live_counts  # noqa: E402
 
 START = datetime.fromtimestamp(driver_events.BASE_MS / 1000, timezone.utc)
 END = START + timedelta(hours=24)
@@ -225,6 +226,16 @@ def history_by_ip(spark, sf_dir):
     return offenders.history_for_batch(flat.where(F.col("batch_id") < noon), batch)
 
 
+def repeat_offender_scattered(spark, sf_dir):
+    """A batch of one configuration's events of three hours of the day, so that it reaches ranges far apart."""
+    flat = _flat(spark, sf_dir)
+    hour = F.floor((millis(F.col("timestamp")) - driver_events.BASE_MS) / 3_600_000)
+    late = (F.col("config_id") == 5202) & hour.isin(2, 11, 20)
+    batch, history = flat.where(late), flat.where(~late)
+    counted = offenders.with_prior_count(batch, offenders.prior_counts(batch, history))
+    return counted.select("event_id", "prior_count")
+
+
 def enrich(spark, sf_dir):
     rows = ingest.enrich_backfill(_flat(spark, sf_dir), in_order=True, keep=["batch_id"])
     return _in_millis(rows)
@@ -249,6 +260,64 @@ def ingest_metric_totals(spark, sf_dir):
     return quality.metric_totals(quality.ingest_metrics(_flagged(spark, sf_dir)))
 
 
+# --- what streams keep ------------------------------------------------------
+
+_MICRO_BATCHES = 6
+
+
+def _in_micro_batches(spark: SparkSession, sf_dir: str, table: str, store: Callable, pack: Callable) -> str | None:
+    """Path of a table to which the day's events were added in micro-batches, in no order of time.
+
+    All but the last micro-batch are packed, and one of them is then repeated.
+    """
+
+    def write(path: str) -> None:
+        events = stored_events(spark, sf_dir)
+        turn = F.pmod(F.xxhash64("event_id"), F.lit(_MICRO_BATCHES))
+        for n in range(_MICRO_BATCHES):
+            store(events.where(turn == n).drop("event_date"), path, "live", n)
+        pack(spark, path)
+        store(events.where(turn == 2).drop("event_date"), path, "live", 2)
+
+    return _kept(spark, sf_dir, table, write)
+
+
+def packed_events(spark, sf_dir):
+    path = _in_micro_batches(spark, sf_dir, "packed_events", event_table.replace_batch, event_table.pack)
+    events = stored_events(spark, sf_dir) if path is None else event_table.read(spark, path)
+    return _in_millis(events.select("event_id", "timestamp", "received_at", "attack_type", "threat_score"))
+
+
+def live_buckets(spark, sf_dir):
+    path = _in_micro_batches(spark, sf_dir, "live_buckets", live_counts.store_counts, live_counts.roll_up)
+    if path is None:
+        return _in_millis(live_counts.bucket_counts(stored_events(spark, sf_dir)))
+    return _in_millis(live_counts.live_counts(spark, path).select("bucket_from", "count"))
+
+
+def alerts_live(spark, sf_dir):
+    path = _in_micro_batches(spark, sf_dir, "alert_cells", live_alerts.store_cells, live_alerts.roll_up)
+    rules = stored_rules(spark, sf_dir)
+    if path is None:
+        return _in_millis(alerts.firing(stored_events(spark, sf_dir), rules, NOW))
+    return _in_millis(live_alerts.firing(spark, path, rules, NOW + timedelta(seconds=17)))
+
+
+def rules_appended(spark, sf_dir):
+    """Two writers define half of the rules each; ids go on from the first to the second."""
+    definitions = _definitions(spark, sf_dir)
+
+    def write(path: str) -> None:
+        for half in (0, 1):
+            rules_table.define_into(definitions.where(F.col("seq") % 2 == half), path)
+
+    path = _kept(spark, sf_dir, "rules_appended", write)
+    if path is not None:
+        return rules_table.read(spark, path)
+    first = rules_table.define(definitions.where(F.col("seq") % 2 == 0))
+    return first.unionByName(rules_table.define(definitions.where(F.col("seq") % 2 == 1), existing=first))
+
+
 # --- statistics ------------------------------------------------------------
 
 def summary_total(spark, sf_dir):
@@ -446,6 +515,7 @@ _QUERIES = {
     "repeat_offender_history": repeat_offender_history,
     "repeat_offender_disordered": repeat_offender_disordered,
     "repeat_offender_batch": repeat_offender_batch,
+    "repeat_offender_scattered": repeat_offender_scattered,
     "history_by_ip": history_by_ip,
     "enrich": enrich,
     "enrich_batch": enrich_batch,
@@ -478,6 +548,10 @@ _QUERIES = {
     "alerts_firing": alerts_firing,
     "alerts_evaluated": alerts_evaluated,
     "alerts_json": alerts_json,
+    "packed_events": packed_events,
+    "live_buckets": live_buckets,
+    "alerts_live": alerts_live,
+    "rules_appended": rules_appended,
     "attack_waves": attack_waves,
     "reconcile": reconcile,
 }

@@ -228,6 +228,20 @@ ORACLE = {
         GROUP BY e.event_id, e.batch_id""",
     "repeat_offender_batch": f"""{LAST_TENANT}
         SELECT event_id, prior_count, prior_count > 5 AS repeat_offender FROM flat JOIN late USING (n)""",
+    "repeat_offender_scattered": f"""{FLAT},
+        late AS (SELECT *, config_id = 5202 AND (ts_ms - {BASE})//3600000 IN (2, 11, 20) AS chosen FROM flat)
+        SELECT e.event_id, count(h.n) AS prior_count
+        FROM late e LEFT JOIN late h ON h.client_ip = e.client_ip AND NOT h.chosen
+          AND h.ts_ms >= e.ts_ms - 600000 AND h.ts_ms < e.ts_ms
+        WHERE e.chosen GROUP BY e.event_id""",
+    "packed_events": f"""{STORED}
+        SELECT event_id, ts_ms AS "timestamp", received_ms AS received_at, attack_type, threat_score FROM enriched""",
+    "live_buckets": f"""{FLAT}
+        SELECT ts_ms // 300000 * 300000 AS bucket_from, count(*) AS count FROM flat GROUP BY 1""",
+    "alerts_live": f"{FLAT}, {DEFINED} {_evaluated('HAVING count(e.n) > r.threshold')}",
+    "rules_appended": f"""{FLAT}, {DEFINED}
+        SELECT 'rule-' || row_number() OVER (ORDER BY n % 2, n) AS id, config_id, category, threshold, window_minutes
+        FROM definitions WHERE category <> 'UNKNOWN' AND threshold >= 1 AND window_minutes >= 1""",
     "history_by_ip": f"""{FLAT}, batch AS (SELECT * FROM flat WHERE batch_id = 144)
         SELECT client_ip, ts_ms FROM flat
         WHERE batch_id < 144 AND client_ip IN (SELECT client_ip FROM batch)

@@ -28,6 +28,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta, timezone
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -109,7 +110,12 @@ def _loose(spark: SparkSession, path: str, schema: T.StructType, days: Days | No
         folder = path
     elif names == []:
         return None
-    return _found(lambda: spark.read.schema(schema).option("basePath", path).parquet(folder))
+    found = _found(lambda: spark.read.schema(schema).option("basePath", path).parquet(folder))
+    if found is not None and days is not None and names is None:
+        day = lambda value: F.lit(value.isoformat()).cast("date")
+        ranges = [F.col("event_date").between(day(a or date.min), day(b)) for a, b in days]
+        found = found.where(reduce(lambda x, y: x | y, ranges))
+    return found
 
 
 def packs(spark: SparkSession, path: str) -> dict[date, Pack]:

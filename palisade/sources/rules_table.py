@@ -176,8 +176,9 @@ def define_into(requests: DataFrame, path: str, order: str = "seq") -> DataFrame
 
 
 def append(rules: DataFrame, path: str) -> None:
-    rules.select(*schema.ALERT_RULE.fieldNames()).write.mode("append").parquet(path)
+    """Add rules to the table, as a folder of their own: writers at the same time would clear each other's unfinished files."""
+    rules.select(*schema.ALERT_RULE.fieldNames()).write.parquet(f"{path.rstrip('/')}/added-{uuid.uuid4().hex}")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schema.ALERT_RULE).parquet(path)
+    return spark.read.schema(schema.ALERT_RULE).option("recursiveFileLookup", True).parquet(path)
