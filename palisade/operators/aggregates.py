@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade import schema
@@ -69,45 +69,34 @@ def count_by_category(events: DataFrame, category: str, from_, to, config_id: in
     return matching(events, from_, to, config_id, category).agg(_count())
 
 
-def category_action_cells(events: DataFrame) -> DataFrame:
-    """The few (category, action) cells that total, category and action sums roll up from."""
-    return events.groupBy("rule_category", "action").agg(
-        _count(), F.sum("threat_score").alias("score")
-    )
-
-
 def sections(
     events: DataFrame, from_, to, config_id: int | None = None, top: int = schema.SUMMARY_TOP
 ) -> DataFrame:
     """The whole summary in long form: ``section, key, count, avg_threat_score``.
 
-    Three narrow scans: one for the total, category and action sections, one
-    for addresses and one for paths.
+    One scan: each event counts under a key of every section, and what is
+    shuffled are partial sums per section and key. The top lists are cut where the
+    sums are, before they are brought together; the other sections are small.
     """
-    cells = category_action_cells(selection(events, from_, to, config_id))
-    nothing = F.lit(None).cast("bigint")
-
-    def cell(section: str, key: Column, score: Column) -> Column:
-        return F.struct(
-            F.lit(section).alias("section"), key.alias("key"),
-            F.col("count").alias("count"), score.alias("score"),
-        )
-
-    small = (
-        cells.select(F.explode(F.array(
-            cell("total", F.lit("all"), nothing),
-            cell("category", F.col("rule_category"), F.col("score")),
-            cell("action", F.col("action"), nothing),
-        )).alias("cell"))
-        .groupBy("cell.section", "cell.key")
-        .agg(F.sum("cell.count").alias("count"), F.sum("cell.score").alias("score"))
-        .select("section", "key", "count", _average(F.col("score"), F.col("count")))
+    def entry(section: str, key: Column, score: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), key.alias("key"), score.cast("bigint").alias("score"))
+
+    nothing, score = F.lit(None), F.col("threat_score")
+    entries = F.array(
+        entry("total", F.lit("all"), nothing),
+        entry("category", F.col("rule_category"), score),
+        entry("action", F.col("action"), nothing),
+        entry("attacker", F.col("client_ip"), score),
+        entry("path", F.col("path"), nothing),
     )
-    attackers = top_attackers(events, from_, to, config_id, top).select(
-        F.lit("attacker").alias("section"), F.col("client_ip").alias("key"), "count", "avg_threat_score"
+    summed = (
+        selection(events, from_, to, config_id).select(F.explode(entries).alias("entry"))
+        .groupBy("entry.section", "entry.key").agg(_count(), F.sum("entry.score").alias("score"))
     )
-    paths = top_paths(events, from_, to, config_id, top).select(
-        F.lit("path").alias("section"), F.col("path").alias("key"), "count",
-        F.lit(None).cast("double").alias("avg_threat_score"),
+    # Keys that all stay are first in a list of their own.
+    listed = F.col("section").isin("attacker", "path")
+    order = Window.partitionBy("section", F.when(~listed, F.col("key"))).orderBy(F.desc("count"), "key")
+    first = summed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(top, 1))
+    return first.where(~listed | (F.col("place") <= top)).select(
+        "section", "key", "count", _average(F.col("score"), F.col("count"))
     )
-    return small.unionByName(attackers).unionByName(paths)
