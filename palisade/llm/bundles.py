@@ -1,11 +1,12 @@
 """WARC archives as seekable Zstandard bundles.
 
-Every record is one independent frame, so that any Zstandard reader can read a
-bundle from end to end, and a record can be read alone. Behind the frames
-stands a seek table in a skippable frame: per frame its compressed and plain
-size, then the number of frames, a descriptor byte and a magic number, as the
-seekable format has it. The index maps record identifiers to bundle, frame,
-offset and length.
+Records are grouped into independent frames of about ``FRAME_BYTES`` plain bytes
+(a longer record has a frame of its own), so that any Zstandard reader can read
+a bundle from end to end, and a record can be read by unpacking one frame.
+Behind the frames stands a seek table in a skippable frame: per frame its
+compressed and plain size, then the number of frames, a descriptor byte and a
+magic number, as the seekable format has it. The index maps record identifiers
+to bundle, frame, offset in the plain frame, and length.
 
 Of records with equal payloads of at least ``LEAST`` bytes, that with the
 largest id is written as a response and the others as revisits of it. Which is
@@ -14,7 +15,8 @@ dealt by record id, so a payload that a third of all pages share is no hot key.
 
 A task writes its bundles under a name of its own attempt and lists them in its
 output; a repeated task writes new files, and those of a lost attempt are in no
-index. Bundles roll over at ``BUNDLE_BYTES``.
+index. Bundles roll over at ``BUNDLE_BYTES``. Reading back is dealt by runs of
+frames over as many tasks as the records' bytes need, and holds one frame.
 
 Null html is an empty payload, and so is empty html. Repeated rows give a
 record each; equal ids with equal payloads refer to each other's id. An empty
@@ -41,12 +43,16 @@ from palisade.llm.common import configure, scratch, stored
 
 LEAST = 1000
 BUNDLE_BYTES = 64 << 20
+FRAME_BYTES = 1 << 20
+#: Frames that one group of the read-back holds, and plain bytes that give it another task.
+RUN_FRAMES = 8
+READ_BYTES = 64 << 20
 LEVEL = 3
 # Fixed values of the seekable format.
 SKIPPABLE = 0x184D2A5E
 SEEKABLE = 0x8F92EAB1
 
-_INDEX = "bundle string, frame int, offset long, length int, record_id string, page_id long"
+_INDEX = "bundle string, frame int, offset int, length int, record_id string, page_id long"
 
 
 def _filesystem(folder: str):
@@ -128,14 +134,27 @@ class _Bundle:
     def __init__(self, filesystem, path: str):
         self.path, self.sizes, self.at = path, [], 0
         self.stream = filesystem.open_output_stream(path, compression=None)
-
-    def add(self, frame: bytes, plain: int) -> tuple[int, int]:
-        self.stream.write(frame)
-        self.sizes.append((len(frame), plain))
-        self.at += len(frame)
-        return len(self.sizes) - 1, self.at - len(frame)
+        self.packer = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True, write_checksum=True)
+        self.frame = bytearray()
+
+    def add(self, data: bytes) -> tuple[int, int]:
+        """Number of the frame that takes the record, and its offset there."""
+        if self.frame and len(self.frame) + len(data) > FRAME_BYTES:
+            self._end_frame()
+        offset = len(self.frame)
+        self.frame += data
+        return len(self.sizes), offset
+
+    def _end_frame(self):
+        packed = self.packer.compress(bytes(self.frame))
+        self.stream.write(packed)
+        self.sizes.append((len(packed), len(self.frame)))
+        self.at += len(packed)
+        self.frame.clear()
 
     def close(self):
+        if self.frame:
+            self._end_frame()
         self.stream.write(seek_table(self.sizes))
         self.stream.close()
 
@@ -144,7 +163,6 @@ def _writer(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, root = _filesystem(folder)
         filesystem.create_dir(root, recursive=True)
-        packer = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True, write_checksum=True)
         bundle, name = None, ""
         for part in batches:
             rows = []
@@ -155,11 +173,9 @@ def _writer(folder: str):
                     name = f"{uuid.uuid4().hex}.warc.zst"
                     bundle = _Bundle(filesystem, f"{root}/{name}")
                 identifier, data = record(page_id, url, (html or "").encode(), refers_to)
-                packed = packer.compress(data)
-                frame, offset = bundle.add(packed, len(data))
-                rows.append((name, frame, offset, len(packed), identifier, page_id))
+                rows.append((name, *bundle.add(data), len(data), identifier, page_id))
             columns = list(zip(*rows)) or [[]] * 6
-            kinds = [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.int64()]
+            kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds)],
                 ["bundle", "frame", "offset", "length", "record_id", "page_id"],
@@ -193,19 +209,21 @@ def _reader(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, root = _filesystem(folder)
         unpacker = zstandard.ZstdDecompressor()
-        path = stream = frames = None
+        path = stream = frames = held = plain = None
         for part in batches:
             rows = []
-            for name, frame in zip(part.column("bundle").to_pylist(), part.column("frame").to_pylist()):
+            for name, frame, offset, length in zip(*(part.column(n).to_pylist() for n in ("bundle", "frame", "offset", "length"))):
                 if name != path:
                     if stream is not None:
                         stream.close()
                     path, stream = name, filesystem.open_input_file(f"{root}/{name}")
-                    frames = read_seek_table(stream)
-                offset, length, plain = frames[frame]
-                stream.seek(offset)
-                # Frame headers need not state the plain size; the seek table does.
-                fields, payload, http = parse(unpacker.decompress(stream.read(length), max_output_size=max(1, plain)))
+                    frames, held = read_seek_table(stream), None
+                if frame != held:
+                    begin, packed, size = frames[frame]
+                    stream.seek(begin)
+                    # Frame headers need not state the plain size; the seek table does.
+                    held, plain = frame, unpacker.decompress(stream.read(packed), max_output_size=max(1, size))
+                fields, payload, http = parse(plain[offset : offset + length])
                 noted = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
                 whole = fields["WARC-Type"] == "response"
                 digest = hashlib.sha1(payload).hexdigest() if whole else noted
@@ -230,11 +248,16 @@ def _reader(folder: str):
 
 
 def read(index: DataFrame, folder: str) -> DataFrame:
-    """Read the indexed records back, each by its frame alone; payloads are checked against their digests."""
-    configure(index.sparkSession)
-    dealt = index.select("bundle", "frame").repartition("bundle", F.floor(F.col("frame") / 512)).sortWithinPartitions(
-        "bundle", "frame"
-    )
+    """Read the indexed records back from their frames; payloads are checked against their digests.
+
+    Any part of an index will do: only frames that it names are unpacked.
+    """
+    spark = configure(index.sparkSession)
+    total = index.agg(F.sum(F.col("length").cast("long"))).first()[0] or 0
+    tasks = max(-(-total // READ_BYTES), min(spark.sparkContext.defaultParallelism, -(-total // FRAME_BYTES)), 1)
+    dealt = index.select("bundle", "frame", "offset", "length").repartition(
+        tasks, "bundle", F.floor(F.col("frame") / RUN_FRAMES)
+    ).sortWithinPartitions("bundle", "frame", "offset")
     return dealt.mapInArrow(
         _reader(folder),
         "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long",

@@ -6,9 +6,12 @@ byte times a filter column is a table lookup, a filter of width w is the sum of
 w lookups, and two neighbouring bytes share one. A text is cut into windows from
 end to end; its log probabilities are averaged over all windows.
 
-Training draws at most ``SAMPLE`` labelled documents per language, those with
-the smallest hash, and from each at most ``PIECES`` windows at hashed places:
-the bounded sample the driver trains on. Languages are those met in the labels.
+Training draws about ``SAMPLE`` labelled documents per language, those with the
+smallest hash of id and text, never over twice as many, and from each at most
+``PIECES`` windows at hashed places: the bounded sample the driver trains on.
+Repeated rows are drawn once. Languages are those met in the labels. Documents
+are counted per language first, repeated ones once, so that only drawn ones are
+cut and shuffled.
 
 Text that is null or has no letter is ``und`` with score 0. If there is
 nothing to learn from (no labelled text), everything is ``und``. Repeated rows
@@ -21,11 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palisade.llm.common import configure
+from palisade.llm.common import configure, stored
 from palisade.llm.flat import Flat, slices, within
+from palisade.operators.sizes import broadcast_if_small
 
 WINDOW = 192
 WIDTHS = (2, 3, 4)
@@ -141,17 +145,20 @@ def cut_windows(flat: Flat) -> tuple[np.ndarray, np.ndarray]:
 
 
 def training_rows(labelled: DataFrame, sample: int = SAMPLE, pieces: int = PIECES) -> DataFrame:
-    """At most about ``sample`` rows per language, by smallest hash, as hashed pieces of their texts."""
-    turn = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    """About ``sample`` rows per language, by smallest hash, twice that at most, as hashed pieces of their texts."""
+    turn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     place = lambda k: (
         F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(F.lit(1), F.length("text") - WINDOW // 2)) + 1
     ).cast("int")
-    # Pieces are cut before the join, so that no whole text moves.
-    rows = labelled.where("lang is not null and length(text) >= 4").select(
-        "lang", "doc_id", turn.alias("turn"), F.array(*[F.substr("text", place(k), F.lit(WINDOW)) for k in range(pieces)]).alias("pieces")
-    )
-    share = rows.groupBy("lang").agg((F.lit(float(sample)) / F.count("*")).alias("share"))
-    return rows.join(share, "lang").where("turn < share").select("lang", "doc_id", F.explode("pieces").alias("piece"))
+    rows = labelled.where("lang is not null and length(text) >= 4").select("lang", "doc_id", "text", turn.alias("turn"))
+    different = F.approx_count_distinct("turn", 0.02)
+    share = broadcast_if_small(stored(rows.groupBy("lang").agg((F.lit(float(sample)) / different).alias("share"))))
+    drawn = rows.join(share, "lang").where("turn < share").select(
+        "lang", "doc_id", "turn", F.array(*[F.substr("text", place(k), F.lit(WINDOW)) for k in range(pieces)]).alias("pieces")
+    ).distinct()
+    first = Window.partitionBy("lang").orderBy("turn", "doc_id", "pieces")
+    bounded = drawn.withColumn("k", F.row_number().over(first)).where(F.col("k") <= 2 * sample)
+    return bounded.select("lang", "doc_id", F.explode("pieces").alias("piece"))
 
 
 def learn(labelled: DataFrame, **options) -> Network | None:

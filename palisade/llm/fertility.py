@@ -197,7 +197,7 @@ def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
 def rules(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """Counts, measures and verdict of all documents."""
     measured = stored(measure(docs, vocabulary))
-    return judge(measured, bands(measured)).drop("band")
+    return judge(measured, stored(bands(measured))).drop("band")
 
 
 def filter_docs(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:

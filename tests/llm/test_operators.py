@@ -293,23 +293,44 @@ def test_warc_round_trip(spark):
     assert bundles.round_trip(pages.unionByName(pages).withColumn("page_id", F.when(F.col("page_id") > 2, F.col("page_id")))).count() == 18
 
 
-def test_bundles_are_plain_zstandard_with_a_seek_table(tmp_path):
+def test_bundles_are_plain_zstandard_with_a_seek_table(tmp_path, monkeypatch):
     import io
 
     import zstandard
 
+    monkeypatch.setattr(bundles, "FRAME_BYTES", 3000)
     filesystem, root = bundles._filesystem(str(tmp_path))
     bundle = bundles._Bundle(filesystem, f"{root}/b.warc.zst")
     records = [bundles.record(i, f"http://h/{i}", b"x" * (i * 500), None if i % 3 else i + 1)[1] for i in range(9)]
-    for data in records:
-        bundle.add(zstandard.ZstdCompressor().compress(data), len(data))
+    places = [bundle.add(data) for data in records]
     bundle.close()
     raw = (tmp_path / "b.warc.zst").read_bytes()
     whole = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(raw), read_across_frames=True).read()
     assert whole == b"".join(records)
-    stream = filesystem.open_input_file(f"{root}/b.warc.zst")
-    for (offset, length, plain), data in zip(bundles.read_seek_table(stream), records):
-        assert zstandard.ZstdDecompressor().decompress(raw[offset : offset + length], max_output_size=plain) == data
+    frames = bundles.read_seek_table(filesystem.open_input_file(f"{root}/b.warc.zst"))
+    assert 1 < len(frames) < len(records) and any(offset > 0 for _, offset in places)
+    for (frame, offset), data in zip(places, records):
+        begin, length, size = frames[frame]
+        plain = zstandard.ZstdDecompressor().decompress(raw[begin : begin + length], max_output_size=size)
+        assert plain[offset : offset + len(data)] == data
+
+
+def test_single_records_are_read_by_frame_and_offset(spark, tmp_path):
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").withColumn("bundle", F.lit("own")).coalesce(1)
+    index = bundles.write(pages, str(tmp_path))
+    places = index.collect()
+    assert {r.frame for r in places} == {0} and sorted(r.offset for r in places)[1] > 0
+    some = bundles.read(index.where("page_id in (2, 9)"), str(tmp_path)).collect()
+    assert sorted((r.page_id, r.record_type, r.payload_bytes) for r in some) == [(2, "response", 2003), (9, "response", 1400)]
+    assert bundles.read(index.where("page_id = 0"), str(tmp_path)).count() == 0
+
+
+def test_training_sample_is_bounded_with_repeated_ids(spark):
+    rows = [(7, f"words of text {i}", "xx") for i in range(300)] + [(8, "the same text", "yy")] * 300
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    drawn = byteconv.training_rows(labelled, sample=20, pieces=1).groupBy("lang").count().collect()
+    counts = {r.lang: r["count"] for r in drawn}
+    assert 1 <= counts["xx"] <= 40 and counts["yy"] == 1
 
 
 def test_temporal_filter(spark):
