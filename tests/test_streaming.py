@@ -39,10 +39,10 @@ def test_history_is_what_was_stored_before(spark, tmp_path):
     rows = event_table.read(spark, sinks.events, with_batches=True)
     scores = {r["ingest_batch"]: r["s"] for r in rows.groupBy("ingest_batch").agg(F.sort_array(F.collect_set("threat_score")).alias("s")).collect()}
     # Four, then eight stored events before: only the third batch is above five.
-    assert scores == {0: [75], 1: [75], 2: [90]}
+    assert scores == {0: [55], 1: [55], 2: [70]}
     assert rows.count() == 12
     metrics = spark.read.parquet(sinks.metrics).orderBy("ingest_batch").select("events", "repeat_offenders", "score_sum", "score_max")
-    assert [tuple(r) for r in metrics.collect()] == [(4, 0, 300, 75), (4, 0, 300, 75), (4, 4, 360, 90)]
+    assert [tuple(r) for r in metrics.collect()] == [(4, 0, 220, 55), (4, 0, 220, 55), (4, 4, 280, 70)]
 
 
 def test_a_repeated_batch_replaces_itself(spark, tmp_path):
@@ -52,7 +52,7 @@ def test_a_repeated_batch_replaces_itself(spark, tmp_path):
         ingest_batch(bodies(spark, wave(6, 3), event(rule=None)), 1, sinks, NOW)
     rows = event_table.read(spark, sinks.events, with_batches=True)
     assert rows.count() == 9
-    assert rows.where("ingest_batch = 1 and threat_score = 90").count() == 3
+    assert rows.where("ingest_batch = 1 and threat_score = 70").count() == 3
     assert spark.read.parquet(sinks.metrics).count() == 2
     refused = spark.read.parquet(sinks.refused).orderBy("ingest_batch").select("ingest_batch", F.col("errors.field").alias("f"))
     assert [tuple(r) for r in refused.collect()] == [(0, ["[0].path"]), (1, ["[0].rule"])]
@@ -101,7 +101,7 @@ def test_stream_equals_replay(spark, tmp_path):
     flat = event_table.flatten(
         validation.accepted_events(validation.judge_requests(parsed)), keep=["batch_id"])
     replayed = offenders.with_prior_count(flat, offenders.prior_counts_replayed(flat))
-    expected = {r["event_id"]: 90 if r["prior_count"] > 5 else 75 for r in replayed.collect()}
+    expected = {r["event_id"]: 70 if r["prior_count"] > 5 else 55 for r in replayed.collect()}
     assert len(set(expected.values())) == 2
     assert streamed == expected
 
@@ -135,7 +135,7 @@ def test_a_new_checkpoint_keeps_what_is_stored_and_sees_it(spark, tmp_path):
         assert query.awaitTermination(120)
     rows = event_table.read(spark, sinks.events, with_batches=True)
     assert rows.count() == 9 and rows.select("ingest_run").distinct().count() == 2
-    assert rows.where("threat_score = 90").count() == 3
+    assert rows.where("threat_score = 70").count() == 3
     assert spark.read.parquet(sinks.metrics).count() == 2
 
 
@@ -150,7 +150,7 @@ def test_scores_do_not_depend_on_the_trigger(spark, tmp_path, files):
     query = start_ingest(stream_requests(spark, str(source), max_files=files), sinks, str(tmp_path / "c"), clock=lambda: NOW)
     assert query.awaitTermination(240)
     scores = [r.threat_score for r in event_table.read(spark, sinks.events).orderBy("timestamp").collect()]
-    assert scores == [75] * 6 + [90] * 6
+    assert scores == [55] * 6 + [70] * 6
 
 
 def test_backfilled_events_are_history(spark, tmp_path):
@@ -160,7 +160,7 @@ def test_backfilled_events_are_history(spark, tmp_path):
     ingest_batch(bodies(spark, wave(6, 2)), 0, sinks, NOW)
     rows = event_table.read(spark, sinks.events, with_batches=True)
     assert rows.count() == 8
-    assert [r.threat_score for r in rows.where("ingest_run = 'manual'").collect()] == [90, 90]
+    assert [r.threat_score for r in rows.where("ingest_run = 'manual'").collect()] == [70, 70]
 
 
 def test_events_of_the_first_and_last_year(spark, tmp_path):
