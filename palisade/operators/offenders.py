@@ -176,98 +176,64 @@ def prior_counts_replayed(
 ) -> DataFrame:
     """``(client_ip, ts_ms, batch_id, prior_count)`` as if the batches had come one by one.
 
-    Counts the address's events in the frame with a lower batch id. Where no
-    later batch reaches near the frame that is all events of the frame less
-    those of the same batch. The other points, which exist only when batches
-    arrive out of event-time order, are counted again exactly. ``in_order``
-    says that there are none.
-
-    Both counts come from one pass: each event counts once for its batch and
-    once under a null ``scope`` for its address as a whole.
+    Counts the address's events in the frame with a lower batch id. ``in_order``
+    says that no batch holds events older than an earlier batch's: the count is
+    then that of all events in the frame less those of the same batch. Otherwise
+    batches of a slice are told apart. Either way events are read once.
     """
+    keyed_events = keyed(events, F.col(batch_id).cast("bigint").alias("batch_id"))
+    if not in_order:
+        cells = keyed_events.groupBy("client_ip", "ts_ms", "batch_id").agg(F.count(F.lit(1)).alias("n"))
+        return _lower_batches_in_frame(cells)
     counted = (
-        keyed(events, F.col(batch_id).cast("bigint").alias("batch_id"))
-        .select("*", F.explode(F.array("batch_id", F.lit(None).cast("bigint"))).alias("scope"))
+        keyed_events.select("*", F.explode(F.array("batch_id", F.lit(None).cast("bigint"))).alias("scope"))
         .groupBy("client_ip", "ts_ms", "scope")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("batch_id").alias("newest"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    found = trailing(counted, ["client_ip", "scope"], -WINDOW_MS, -1, newest="newest")
+    found = trailing(counted, ["client_ip", "scope"], -WINDOW_MS, -1)
     point = Window.partitionBy("client_ip", "ts_ms")
-    of_address = lambda column: F.max(F.when(F.col("scope").isNull(), F.col(column))).over(point)
-    simple = (
-        found.select(
-            "client_ip",
-            "ts_ms",
-            "scope",
-            F.col("in_frame").alias("same_batch"),
-            of_address("in_frame").alias("in_frame"),
-            of_address("newest").alias("newest"),
-        )
-        .where(F.col("scope").isNotNull() & (F.col("in_frame") > 0))
-        .select(
-            "client_ip",
-            "ts_ms",
-            F.col("scope").alias("batch_id"),
-            (F.col("in_frame") - F.col("same_batch")).alias("prior_count"),
-            (F.col("newest") > F.col("scope")).alias("overtaken"),
-        )
-    )
-    if in_order:
-        return simple.where("prior_count > 0").drop("overtaken")
-    cells = counted.where(F.col("scope").isNotNull()).select(
-        "client_ip", "ts_ms", F.col("scope").alias("batch_id"), "n"
-    )
-    exact = _lower_batches_in_frame(cells, simple.where("overtaken"))
+    of_address = F.max(F.when(F.col("scope").isNull(), F.col("in_frame"))).over(point)
     return (
-        simple.where("not overtaken")
-        .drop("overtaken")
-        .unionByName(exact)
-        .where("prior_count > 0")
+        found.select("client_ip", "ts_ms", "scope", (of_address - F.col("in_frame")).alias("prior_count"))
+        .where(F.col("scope").isNotNull() & (F.col("prior_count") > 0))
+        .select("client_ip", "ts_ms", F.col("scope").alias("batch_id"), "prior_count")
     )
 
 
-def _lower_batches_in_frame(cells: DataFrame, overtaken: DataFrame) -> DataFrame:
-    """Count, for overtaken points, the events of lower batches in the frame.
+def _lower_batches_in_frame(cells: DataFrame) -> DataFrame:
+    """Count, for each cell (address, time, batch), the events of lower batches in its frame.
 
-    For two ids a < b there is one highest bit at which they differ: there b
-    has 1 and a has 0, and all bits above agree. A point therefore looks, for
-    each of its 1 bits, at the events with a 0 there and the same bits above,
-    and meets every lower batch once. That makes the comparison an equality,
-    and each (address, bit, prefix) is an ordinary trailing count.
+    The batches of a slice of an address are numbered from 0. For two numbers
+    a < b there is one highest bit at which they differ: there b has 1 and a has
+    0, and all bits above agree. A cell therefore looks, for each of its 1 bits,
+    at the cells with a 0 there and the same bits above, and meets every lower
+    batch once; for each (slice, bit, bits above) that is an ordinary trailing
+    sum. A slice of k batches has log2(k) bits, one of a single batch has none.
+
+    All of it happens in the slice: cells are shuffled to (address, slice) once,
+    and numbering, sums and answers stay there.
     """
-    bits = "sequence(0, cast(length(bin({0})) as int) - 1)"
-    keys = ["client_ip", "bit", "prefix"]
-    points = sliced(
-        overtaken.select("client_ip", "ts_ms", "batch_id", F.lit(0).cast("bigint").alias("n")),
-        WINDOW_MS,
-    )
-    touched = points.groupBy("client_ip", "slice").agg(F.max("batch_id").alias("top"))
-    ones = F.expr(f"filter({bits.format('batch_id')}, b -> getbit(batch_id, b) = 1)")
-    zeros = F.expr(f"filter({bits.format('top')}, b -> getbit(batch_id, b) = 0)")
-    prefix = F.expr("shiftright(batch_id, bit + 1)").alias("prefix")
-    asked = points.select("*", F.explode(ones).alias("bit")).select("*", prefix)
-    stored = (
+    of_slice = Window.partitionBy("client_ip", "slice")
+    numbered = (
         sliced(cells, WINDOW_MS)
-        .join(touched, ["client_ip", "slice"])
-        .select("*", F.explode(zeros).alias("bit"))
-        .drop("top")
-        .select("*", prefix)
-    )
-    counted = (
-        asked.unionByName(stored)
-        .groupBy(*keys, "ts_ms", "own_slice", "slice")
-        .agg(F.sum("n").alias("n"), (F.min("n") == 0).alias("asked"))
-    )
-    answers = (
-        over_frame(counted, keys, -WINDOW_MS, -1, point=F.col("asked"))
-        .where("in_frame > 0")
-        .select(*keys, "ts_ms", "in_frame")
+        .withColumn("number", F.dense_rank().over(of_slice.orderBy("batch_id")) - 1)
+        .withColumn("last", F.max("number").over(of_slice).cast("bigint"))
+        .where("last > 0")
     )
+    at_bits = numbered.select(
+        "*", F.explode(F.expr("sequence(0, length(bin(last)) - 1)")).alias("bit")
+    ).select(
+        "client_ip", "ts_ms", "batch_id", "own_slice", "slice", F.col("slice").alias("home"), "bit",
+        F.expr("shiftright(number, bit + 1)").alias("above"),
+        F.expr("getbit(number, bit) = 1").alias("asks"),
+        F.expr("if(getbit(number, bit) = 1, 0L, n)").alias("n"),
+    ).where(~F.col("asks") | (F.col("slice") == F.col("own_slice")))
+    answers = over_frame(at_bits, ["client_ip", "bit", "above"], -WINDOW_MS, -1, point=F.col("asks"))
     return (
-        asked.select("client_ip", "ts_ms", "batch_id", "bit", "prefix")
-        .join(answers, [*keys, "ts_ms"])
-        .groupBy("client_ip", "ts_ms", "batch_id")
+        answers.where("in_frame > 0")
+        .groupBy("client_ip", "home", "ts_ms", "batch_id")
         .agg(F.sum("in_frame").alias("prior_count"))
+        .drop("home")
     )
 
 

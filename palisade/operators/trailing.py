@@ -32,14 +32,10 @@ def over_frame(
     lower_ms: int,
     upper_ms: int,
     point: Column | None = None,
-    newest: str | None = None,
 ) -> DataFrame:
     """Add ``in_frame``, the sum of ``n`` over ``[ts_ms + lower_ms, ts_ms + upper_ms]``.
 
     Rows for which ``point`` holds come back once each; the others only count.
-    ``newest`` names a column whose highest value among all earlier rows of
-    both slices is added under the same name. That is at least its highest
-    value in the frame.
     """
     at_home = F.col("slice") == F.col("own_slice")
     changed = slices.withColumns({
@@ -50,21 +46,12 @@ def over_frame(
     so_far = in_slice.rangeBetween(Window.unboundedPreceding, upper_ms)
     whole = in_slice.rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
-    def before(column: str) -> Column:
-        return F.when(~at_home, F.col(column))
-
     nothing = F.lit(0).cast("bigint")
-    measures = {
-        "in_frame": F.coalesce(F.sum("delta").over(so_far), nothing)
-        + F.coalesce(F.sum(before("n")).over(whole), nothing)
-    }
-    if newest is not None:
-        measures[newest] = F.greatest(
-            F.max(F.when(at_home, F.col(newest))).over(so_far), F.max(before(newest)).over(whole)
-        )
+    own = F.coalesce(F.sum("delta").over(so_far), nothing)
+    in_frame = own + F.coalesce(F.sum(F.when(~at_home, F.col("n"))).over(whole), nothing)
     wanted = at_home if point is None else at_home & point
     return (
-        changed.withColumns(measures)
+        changed.withColumn("in_frame", in_frame)
         .where(wanted)
         .drop("own_slice", "slice", "at", "delta")
     )
@@ -76,7 +63,6 @@ def trailing(
     lower_ms: int,
     upper_ms: int,
     point: Column | None = None,
-    newest: str | None = None,
 ) -> DataFrame:
     """``over_frame`` for one row per (keys, ts_ms) with a count ``n``."""
-    return over_frame(sliced(counted, -lower_ms), keys, lower_ms, upper_ms, point, newest)
+    return over_frame(sliced(counted, -lower_ms), keys, lower_ms, upper_ms, point)

@@ -33,7 +33,7 @@ def flag_backfill(events: DataFrame, in_order: bool = False, scratch: str | None
     """Add ``repeat_offender`` to many batches, as if ingested one by one in order of ``batch_id``.
 
     ``in_order`` promises that no batch holds events older than an earlier
-    batch's, which saves the second count of overtaken events. ``scratch``, a
+    batch's, so that batches need not be told apart within a slice. ``scratch``, a
     folder that all executors share, takes the narrow list of flagged points
     first; its size is then known when the wide events are joined to it, and a
     short list spares them a shuffle.

@@ -4,7 +4,7 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import at, stored
+from conftest import at, plan_of, stored
 from palisade.functions.instants import instant_lit
 from palisade.operators import offenders
 from palisade.plans import ingest
@@ -158,3 +158,26 @@ def test_hot_address_is_spread_over_slices(spark):
     each = lambda i: min(i, 120_000) - i % 1000
     expected = [each(i) for i in range(400_000)]
     assert tuple(found) == (sum(e > 0 for e in expected), sum(expected), max(expected))
+
+
+def test_replay_out_of_order_reads_events_once_and_shuffles_twice(spark, tmp_path):
+    path = str(tmp_path / "events")
+    rows = _random_rows(11, 300, lambda rng, t: rng.randrange(13))
+    ids = spark.createDataFrame([(r["event_id"], r["batch"]) for r in rows], "event_id string, batch_id bigint")
+    stored(spark, *[{k: v for k, v in r.items() if k != "batch"} for r in rows]).join(ids, "event_id").write.parquet(path)
+    physical = plan_of(offenders.prior_counts_replayed(spark.read.parquet(path)))
+    assert physical.count("FileScan parquet") == 1
+    # To cells, and to slices; numbering, sums and answers stay there.
+    assert physical.count("Exchange hashpartitioning") == 2
+
+
+def test_replay_of_many_batches_in_one_slice(spark):
+    """Batches backwards in time, each of one event: only the events of lower batches before it count, so none does."""
+    rows = [
+        {"event_id": str(i), "client_ip": "hot", "timestamp": NOW + timedelta(milliseconds=i), "batch": 300 - i}
+        for i in range(300)
+    ]
+    assert set(_replayed(spark, rows).values()) == {0}
+    for r in rows:
+        r["batch"] = 300 - r["batch"]
+    assert _replayed(spark, rows) == {str(i): i for i in range(300)}
