@@ -2,10 +2,10 @@
 
 Vectors are centred, rotated so that the signs of their coordinates lose least
 (iterative quantisation on a sample), and coded as those signs. A code is split
-into substrings, each with its own table. Two codes within Hamming distance r
-agree in some substring up to r // m bits, so looking up, per table, the
-buckets within that many bits finds every code within r; these are checked on
-the whole code and ranked by the float inner product, in double precision.
+into substrings, each with its own table of buckets. Two codes within Hamming
+distance r agree in some substring up to r // m bits, so looking up, per table,
+the buckets within that many bits finds every code within r; these are checked
+on the whole code and ranked by the float inner product, in double precision.
 
 The radius is learned too: on the sample, the distance within which ``RECALL``
 of the true neighbours lie. A query with fewer than ``k`` vectors in its radius
@@ -39,9 +39,11 @@ BITS = 128
 SUBSTRINGS = BITS // 8
 SAMPLE = 4096
 RECALL = 0.985
-ROWS = 8192
-QUERIES = 1024
+ROWS = 16384
+QUERIES = 4096
 NEAREST = 20
+#: Per reach, the byte values with at most so many bits: what a substring is changed by to name its probed buckets.
+NEAR = [np.flatnonzero(np.bitwise_count(np.arange(256, dtype=np.uint8)) <= t) for t in range(9)]
 
 
 def usable(column: str = "embedding") -> Column:
@@ -106,21 +108,33 @@ class Codes:
         return int(np.quantile(distance, RECALL))
 
 
-def probe(index: np.ndarray, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, row) of all codes within the radius, by the pigeonhole over substrings."""
-    values = np.arange(256, dtype=np.uint8)
-    reach = radius // SUBSTRINGS
-    near = np.zeros((len(queries), len(index)), bool)
-    for s in range(SUBSTRINGS):
-        # The buckets of this table within reach of the query's substring, then their rows.
-        buckets = np.bitwise_count(queries[:, s, None] ^ values) <= reach
-        near |= buckets[:, index[:, s]]
-    asked, row = np.nonzero(near)
-    apart = np.zeros(len(row), np.int32)
-    for code, query in zip(index.view(np.uint64).T, queries.view(np.uint64).T):
-        apart += np.bitwise_count(code[row] ^ query[asked])
-    inside = apart <= radius
-    return asked[inside], row[inside]
+class Tables:
+    """One table per substring of a block of codes: rows sorted by its value, and where each value's bucket begins."""
+
+    def __init__(self, codes: np.ndarray):
+        self.codes = codes.view(np.uint64)
+        self.rows = [np.argsort(codes[:, s], kind="stable").astype(np.int32) for s in range(SUBSTRINGS)]
+        self.begin = [
+            np.concatenate([[0], np.cumsum(np.bincount(codes[:, s], minlength=256))]) for s in range(SUBSTRINGS)
+        ]
+
+    def probe(self, query: np.ndarray, radius: int) -> np.ndarray:
+        """All rows within the radius of a code: the buckets of each table that can hold one, then the whole code.
+
+        Radius r is spread over m substrings as r = m * t + e. A code farther than t
+        in the first e + 1 tables and farther than t - 1 in the others would be
+        farther than r, so only those few tables are asked as far as t.
+        """
+        reach, rest = divmod(radius, SUBSTRINGS)
+        seen = np.zeros(len(self.codes), bool)
+        for s in range(SUBSTRINGS):
+            within = reach if s <= rest else reach - 1
+            if within >= 0:
+                for value in NEAR[min(within, 8)] ^ int(query[s]):
+                    seen[self.rows[s][self.begin[s][value] : self.begin[s][value + 1]]] = True
+        found = np.flatnonzero(seen)
+        apart = np.bitwise_count(self.codes[found] ^ query.view(np.uint64)).sum(axis=1)
+        return found[apart <= radius]
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -137,20 +151,13 @@ def _search(model: Codes, radius: int, k: int) -> Callable[[pa.Table], pa.Table]
         q_ids, x_ids = ids[asks], ids[~asks]
         out = []
         if len(q) and len(x):
-            codes, own = model.encode(x), model.encode_queries(q)
-            for at in range(0, len(q), 128):
-                asked, row = probe(codes, own[at : at + 128], radius)
-                keep = x_ids[row] != q_ids[at + asked]
-                asked, row = asked[keep], row[keep]
-                score = np.empty(len(row))
-                for cut in range(0, len(row), 1 << 16):
-                    part = slice(cut, cut + (1 << 16))
-                    score[part] = np.einsum("ij,ij->i", q[at + asked[part]], x[row[part]])
-                order = np.lexsort((x_ids[row], -score, asked))
-                asked, row, score = asked[order], row[order], score[order]
-                begin = np.searchsorted(asked, np.arange(len(own)))
-                best = np.arange(len(asked)) - begin[asked] < k
-                out.append((q_ids[at + asked[best]], x_ids[row[best]], score[best]))
+            tables, own = Tables(model.encode(x)), model.encode_queries(q)
+            for at, code in enumerate(own):
+                row = tables.probe(code, radius)
+                row = row[x_ids[row] != q_ids[at]]
+                score = np.einsum("ij,j->i", x[row], q[at])
+                best = np.lexsort((x_ids[row], -score))[:k]
+                out.append((np.full(len(best), q_ids[at]), x_ids[row[best]], score[best]))
         parts = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
         return pa.table({"query_id": pa.array(parts[0], pa.int64()), "vec_id": pa.array(parts[1], pa.int64()), "score": pa.array(parts[2], pa.float64())})
 

@@ -249,9 +249,31 @@ def test_probing_finds_every_code_within_the_radius():
     rng = np.random.default_rng(5)
     index = rng.integers(0, 256, (300, multiindex.SUBSTRINGS), dtype=np.uint8)
     queries = index[:20] ^ (rng.random((20, multiindex.SUBSTRINGS)) < 0.3).astype(np.uint8)
-    for radius in (0, 3, 17, 50):
-        apart = np.bitwise_count(index[None] ^ queries[:, None]).sum(axis=2)
-        assert set(zip(*multiindex.probe(index, queries, radius))) == set(zip(*np.nonzero(apart <= radius)))
+    index[:3], queries[:2] = 255, 255
+    queries[2] = 0
+    tables = multiindex.Tables(index)
+    apart = np.bitwise_count(index[None] ^ queries[:, None]).sum(axis=2)
+    for radius in (0, 3, 15, 16, 17, 50, 127, 128):
+        for i, query in enumerate(queries):
+            assert tables.probe(query, radius).tolist() == np.flatnonzero(apart[i] <= radius).tolist()
+
+
+def test_multi_index_ties_extra_columns_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(multiindex, "ROWS", 40)
+    monkeypatch.setattr(multiindex, "QUERIES", 5)
+    rng = np.random.default_rng(8)
+    x = rng.integers(-2, 3, (300, 8)).astype(float)
+    x[100:200] = x[17]
+    x[(x == 0).all(axis=1)] = 1.0
+    rows = [(i, v.tolist(), "b", i, -1, True) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, block string, part long, rank int, asks boolean")
+    found = multiindex.search(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()
+    assert [r["rank"] for r in found] == list(range(1, 21)) * 15
+    for q in range(0, 300, 20):
+        mine = [r for r in found if r.query_id == q]
+        assert all(r.score == x[r.vec_id] @ x[q] and r.vec_id != q for r in mine)
+        assert [(-r.score, r.vec_id) for r in mine] == sorted((-r.score, r.vec_id) for r in mine)
+    assert multiindex.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
 def test_entries_for_deep_folders_and_single_pages(spark):
