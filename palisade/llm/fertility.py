@@ -167,10 +167,11 @@ def bands(measured: DataFrame) -> DataFrame:
     some = measured.where("n_tokens > 0")
     quantile = lambda column, p, name: F.percentile_approx(column, p, 10000).alias(name)
     judged = F.when(F.col("n_tokens") >= MIN_TOKENS, F.col("entropy"))
-    middle = some.groupBy("band").agg(
+    # Written, so that its size is known: a few bands go to the documents, not all documents of a band to one task.
+    middle = stored(some.groupBy("band").agg(
         *[quantile(F.col(m), 0.5, f"mid_{m}") for m in ("chars_per_token", "byte_share")],
         quantile(judged, 0.25, "e1"), quantile(judged, 0.75, "e3"),
-    )
+    ))
     spread = some.join(middle, "band").groupBy("band").agg(*[
         quantile(_deviation(m), [0.25, 0.75], f"z_{m}") for m in ("chars_per_token", "byte_share")
     ])
