@@ -5,13 +5,20 @@ smallest hash is at place c form one compact window (l, c, r): the runs that
 start in l..c and end in c..r. The windows are the nodes of the text's Cartesian
 tree whose span is long enough, about 2 n / LEAST of them, and they stand for
 all n * n / 2 runs. Two windows with the same smallest shingle hold runs with
-equal min-hash. Windows of all texts meet by that value, each linked to the
+equal min-hash. Windows of all texts meet by that value, each linked first to the
 first text that has it (and, where its extent differs from that one's, to the
-text before it), so a passage that thousands of texts share gives thousands of
-links and not their square. A pair of texts whose windows overlap in at least
+text before it). A pair of texts whose windows overlap in at least
 ``AGREE`` of ``HASHES`` functions is verified on the texts: the best stretch of
 one that the other holds, and the Jaccard similarity of the two stretches.
 
+The class of a window is the least text found to hold a passage around its smallest
+shingle too, so a passage that thousands of texts share gives thousands of links and
+not their square. All windows of a value that are of different classes (a common line in
+other surroundings) are then compared: ``rest`` lets them meet by the values that
+two functions have for one run, or, for runs, by the run and the shingles beside it, and takes
+the least text of each class there, and of these every pair. Large groups are split
+into blocks, every two of which meet in a task of bounded size.
+
 A value of one shingle hides repeats where that shingle is frequent: the first text
 with it may hold a common line in other surroundings. One more function is therefore
 taken over runs of ``RUN`` shingles, whose windows span ``LEAST`` shingles in all. Any
@@ -33,12 +40,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm.common import configure, stored
 from palisade.llm.flat import Flat, mix, slices, windows, within
 
+_ROW = ["k", "l", "c", "r", "x", "y"]
+
 WIDTH = 5
 WORDS = 50
 LEAST = WORDS - WIDTH + 1
@@ -47,6 +57,12 @@ AGREE = 2
 #: Shingles of the runs that exact repeats meet by, as one more function numbered ``HASHES``.
 RUN = 23
 PERCENT = 80
+#: An exact repeat goes on for so many shingles on one side at least of a smallest run in it.
+SIDE = -(-(LEAST - RUN) // 2)
+#: Windows of one key in a block.
+BLOCK = 2048
+#: Pairs that a task writes out at once.
+_PAIRS = 1 << 18
 #: Members of one text's links that are verified in one run of rows.
 SPREAD = 1000
 
@@ -85,6 +101,19 @@ def _shingles(flat: Flat) -> tuple[np.ndarray, np.ndarray]:
     return windows(flat.hashes(starts, ends, lower=True), counts, WIDTH)
 
 
+def _sides(hashes: np.ndarray, counts: np.ndarray, row: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
+    """Hashes, never 0, of the ``SIDE`` shingles before and behind the runs at these places of their rows; 0 if there are fewer."""
+    values, kept = windows(hashes, counts, SIDE)
+    base = (np.cumsum(kept) - kept)[row]
+    out = []
+    for start in (place - SIDE, place + RUN):
+        has = (start >= 0) & (start < kept[row])
+        side = np.zeros(len(row), np.int32)
+        side[has] = (values[(base + start)[has]] >> np.uint64(33)).astype(np.int32) | 1
+        out.append(side)
+    return out
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def of(k: int, values: np.ndarray, counts: np.ndarray, width: int) -> pa.RecordBatch:
@@ -93,17 +122,18 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         l, c, r = cartesian(values, counts, LEAST - width + 1)
         row = np.searchsorted(ends, c, side="right")
         base = (ends - counts)[row]
+        sides = _sides(hashes, each, row, c - base) if k == HASHES else [np.zeros(len(c), np.int32)] * 2
         return pa.RecordBatch.from_arrays([
             pa.array(values[c].view(np.int64)), pa.array(ids[row]), pa.array(np.full(len(c), k, np.int8)),
-            *(pa.array((x - base).astype(np.int32)) for x in (l, c, r + width - 1)),
-        ], ["h", "doc", "k", "l", "c", "r"])
+            *(pa.array((x - base).astype(np.int32)) for x in (l, c, r + width - 1)), *map(pa.array, sides),
+        ], ["h", "doc", *_ROW])
 
     for part in slices(batches):
-        hashes, counts = _shingles(Flat(part.column("text")))
+        hashes, each = _shingles(Flat(part.column("text")))
         ids = part.column("doc_id").to_numpy(zero_copy_only=False)
         for k in range(HASHES):
-            yield of(k, mix(hashes ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF)), counts, 1)
-        yield of(HASHES, *windows(hashes, counts, RUN), RUN)
+            yield of(k, mix(hashes ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF)), each, 1)
+        yield of(HASHES, *windows(hashes, each, RUN), RUN)
 
 
 def _packed(table: np.ndarray) -> pa.Array:
@@ -114,15 +144,19 @@ def _packed(table: np.ndarray) -> pa.Array:
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in order of (h, doc), links of each window to those of earlier texts."""
-    names = ["h", "doc", "k", "l", "c", "r"]
+    """From rows in order of (h, doc), links of each window to those of earlier texts.
+
+    A link to the first text of a value comes with the windows ``own`` and ``lead`` and their places
+    c and c2; further windows of that text itself come as rows with a = b.
+    """
+    names = ["h", "doc", *_ROW]
     first = last = None  # the first row of the running value, and the last row seen, carried to the next batch
     for batch in batches:
         if not batch.num_rows:
             continue
         rows = np.stack([batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in names], axis=1)
         head = [] if first is None else [first, last]
-        rows = np.concatenate([np.array(head, np.int64).reshape(-1, 6), rows])
+        rows = np.concatenate([np.array(head, np.int64).reshape(-1, len(names)), rows])
         new = np.ones(len(rows), bool)
         new[1:] = rows[1:, 0] != rows[:-1, 0]
         step = new.copy()
@@ -131,24 +165,122 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin = np.maximum.accumulate(np.where(new, index, 0))
         before = np.maximum.accumulate(np.where(step, index, 0)) - 1
         own = index >= len(head)
-        far = own & (rows[begin, 1] != rows[:, 1])
-        near = far & (before > begin) & (rows[before, 1] != rows[begin, 1]) & (
+        apart = rows[begin, 1] != rows[:, 1]
+        near = own & apart & (before > begin) & (rows[before, 1] != rows[begin, 1]) & (
             (rows[:, 4] - rows[:, 3] != rows[begin, 4] - rows[begin, 3])
             | (rows[:, 5] - rows[:, 4] != rows[begin, 5] - rows[begin, 4])
         )
+        far = own & (begin != index)
         a = np.concatenate([index[far], index[near]])
         b = np.concatenate([begin[far], before[near]])
         if len(a):
             # Windows of one value share place c; what surrounds it in both is what can be alike.
+            none = np.arange(len(a)) >= far.sum()
+            whole = lambda i: pc.if_else(pa.array(~none), _packed(rows[i, 2:]), None)
             yield pa.RecordBatch.from_arrays([
-                pa.array(rows[a, 1]), pa.array(rows[b, 1]),
+                pa.array(rows[a, 0]), pa.array(rows[a, 1]), pa.array(rows[b, 1]),
                 _packed(np.stack([rows[a, 2], rows[a, 3], rows[a, 5], rows[b, 3], rows[b, 5]], axis=1)),
                 # Of runs, one function counts as enough.
                 pa.array(np.where(rows[a, 2] == HASHES, (1 << AGREE) - 1 << HASHES, 1 << rows[a, 2]).astype(np.int32)),
-            ], ["a", "b", "spans", "bit"])
+                *(pa.array(rows[i, 4].astype(np.int32), mask=none) for i in (a, b)), whole(a), whole(b),
+            ], ["h", "a", "b", "spans", "bit", "c", "c2", "own", "lead"])
         first, last = rows[begin[-1]], rows[-1]
 
 
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From the windows of each text that meet others, the keys by which the rest meets.
+
+    Two windows of different functions have one key if some run has both their smallest shingles, as
+    has a run of the last function with either side of it.
+    """
+    for batch in batches:
+        lists = batch.column("windows")
+        size = np.diff(lists.offsets.to_numpy())
+        flat = lists.flatten()
+        text = np.repeat(np.arange(len(size)), size)
+        h, of, busy = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("h", "class", "busy"))
+        rows = np.frombuffer(b"".join(flat.field("row").to_pylist()), "<i4").reshape(-1, len(_ROW)).astype(np.int64)
+        order = np.lexsort((rows[:, 1], text))
+        text, h, of, busy, rows = text[order], h[order].view(np.uint64), of[order], busy[order], rows[order]
+        k, l, c, r = rows[:, :4].T
+        lift = int(r.max(initial=0)) + 1
+        reach = np.searchsorted(text * lift + l, text * lift + r, side="right")
+        at = np.arange(len(h))
+        # A few windows at a time, as one text may have many that overlap.
+        total = np.cumsum(reach - at - 1)
+        cuts = np.searchsorted(total, np.arange(_PAIRS, int(total[-1]) if len(total) else 0, _PAIRS))
+        pieces = [(p, None) for p in np.split(at, np.unique(cuts))]
+        for side in (4, 5):
+            has = np.flatnonzero(busy & (k == HASHES) & (rows[:, side] != 0))
+            pieces.append((has, side))
+        for some, side in pieces:
+            if side is None:
+                which, place = within(reach[some] - some - 1)
+                i = some[which]
+                j = i + 1 + place
+                # A run with both smallest shingles lies in both windows.
+                low, high = l[j], np.minimum(r[i], r[j])
+                kept = (k[i] != k[j]) & (busy[i] | busy[j]) & (high - low + 1 >= LEAST)
+                kept &= (np.minimum(c[i], c[j]) >= low) & (np.maximum(c[i], c[j]) <= high)
+                i, j = i[kept], j[kept]
+                i, j = np.where(k[i] < k[j], i, j), np.where(k[i] < k[j], j, i)
+                key = mix(h[i] + mix(h[j]))
+            else:
+                i = j = some
+                key = mix(h[i] ^ mix(rows[i, side].astype(np.uint64) * np.uint64(8) + np.uint64(side)))
+            if len(i):
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(key.view(np.int64)), batch.column("doc").take(pa.array(text[i])),
+                    _packed(np.stack([k[i], l[i], r[i], k[j], l[j], r[j]], axis=1)), pa.array(of[i]), pa.array(of[j]),
+                ], ["key", "doc", "both", "class", "class2"])
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows in order of (key, i, j), pairs of texts of each group; of two blocks, those of one and the other."""
+    names = ["key", "i", "j"]
+
+    def work(part: pa.Table) -> Iterator[pa.RecordBatch]:
+        columns = [part.column(n).to_numpy() for n in names]
+        doc, mine = part.column("doc").to_numpy(), part.column("mine").to_numpy()
+        rows = np.frombuffer(b"".join(part.column("both").to_pylist()), "<i4").reshape(-1, 6)
+        one, two = part.column("class").to_numpy(), part.column("class2").to_numpy()
+        new = np.ones(len(doc), bool)
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+        at = np.arange(len(doc))
+        begin = np.maximum.accumulate(np.where(new, at, 0))
+        cross = columns[1] != columns[2]
+        total = np.cumsum(at - begin)
+        for some in np.split(at, np.unique(np.searchsorted(total, np.arange(_PAIRS, int(total[-1]), _PAIRS)))):
+            which, place = within(some - begin[some])
+            x = some[which]
+            y = begin[x] + place
+            kept = (doc[x] != doc[y]) & (one[x] != one[y]) & (two[x] != two[y]) & ~(cross[x] & (mine[x] == mine[y]))
+            x, y = x[kept], y[kept]
+            a, b = np.where(doc[x] > doc[y], x, y), np.where(doc[x] > doc[y], y, x)
+            if len(a):
+                left, right = rows[a], rows[b]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(doc[a]), pa.array(doc[b]),
+                    _packed(np.concatenate([left[:, :3], right[:, 1:3], left[:, 3:], right[:, 4:]], axis=1)),
+                ], ["a", "b", "spans"])
+
+    held: list[pa.RecordBatch] = []  # rows whose group may go on
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(n).to_numpy().astype(np.int64) for n in names], axis=1)
+        cut = np.flatnonzero((keys != keys[-1]).any(axis=1))
+        cut = int(cut[-1]) + 1 if len(cut) else 0
+        if held and (cut or any(held[-1].column(n)[-1].as_py() != v for n, v in zip(names, keys[-1].tolist()))):
+            yield from work(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+            held = []
+        elif cut:
+            yield from work(pa.Table.from_batches([batch.slice(0, cut)]))
+        held.append(batch.slice(cut))
+    if held:
+        yield from work(pa.Table.from_batches(held))
+
+
 def _before(values: np.ndarray) -> np.ndarray:
     """The last place before each that has the same value, or -1."""
     order = np.argsort(values, kind="stable")
@@ -294,23 +426,69 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """Pairs a > b of texts whose windows agree, with the packed spans (k, l, r, l2, r2)."""
-    spark = configure(docs.sparkSession)
+def links(docs: DataFrame) -> DataFrame:
+    """Links of windows to the first text of their value and the one before; see ``_stars``."""
+    configure(docs.sparkSession)
     rows = docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(
-        _windows, "h long, doc long, k byte, l int, c int, r int"
+        _windows, "h long, doc long, k byte, l int, c int, r int, x int, y int"
     )
-    met = rows.repartition("h").sortWithinPartitions("h", "doc", "l").mapInArrow(
-        _stars, "a long, b long, spans binary, bit int"
+    return rows.repartition("h").sortWithinPartitions("h", "doc", "l").mapInArrow(
+        _stars, "h long, a long, b long, spans binary, bit int, c int, c2 int, own binary, lead binary"
     )
-    return met.groupBy("a", "b").agg(F.collect_list("spans").alias("spans"), F.bit_or("bit").alias("bits")).where(
-        F.bit_count("bits") >= AGREE
-    ).drop("bits")
 
 
-def passages(docs: DataFrame) -> DataFrame:
-    """A row per passage of ``doc_id`` that a text of smaller doc_id holds too, in words (ends excluded)."""
-    pairs = stored(candidates(docs))
+def candidates(met: DataFrame) -> DataFrame:
+    """Pairs a > b of texts whose linked windows agree, with the packed spans (k, l, r, l2, r2)."""
+    return met.where("a <> b").groupBy("a", "b").agg(
+        F.collect_list("spans").alias("spans"), F.bit_or("bit").alias("bits")
+    ).where(F.bit_count("bits") >= AGREE).drop("bits")
+
+
+def rest(met: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs a > b of the least texts of classes whose windows agree, of values that three texts or more have."""
+    linked = met.where("own is not null")
+    values = linked.groupBy("h").agg(
+        F.first(F.struct("b", "c2", "lead")).alias("first"),
+        F.min(F.when(F.col("a") != F.col("b"), F.col("a"))).alias("low"), F.max("a").alias("high"),
+    ).where("low is not null")
+    rows = linked.select("h", F.col("a").alias("doc"), "c", F.col("own").alias("row"), F.lit(False).alias("many")).unionByName(
+        values.select(
+            "h", F.col("first.b").alias("doc"), F.col("first.c2").alias("c"), F.col("first.lead").alias("row"),
+            (F.col("low") < F.col("high")).alias("many"),
+        )
+    )
+    held = found.groupBy(F.col("doc_id").alias("doc")).agg(
+        F.collect_set(F.struct("start_word", "end_word", "source_id")).alias("held")
+    )
+    around = F.filter("held", lambda s: (s["start_word"] <= F.col("c")) & (s["end_word"] >= F.col("c") + WIDTH))
+    classed = stored(rows.join(held, "doc", "left").select(
+        "h", "doc", "row", "many", F.coalesce(F.array_min(F.transform(around, lambda s: s["source_id"])), F.col("doc")).alias("class")
+    ))
+    mixed = classed.groupBy("h").agg(
+        (F.bool_or("many") & (F.min("class") < F.max("class"))).alias("busy"), F.min("doc").alias("low"), F.max("doc").alias("high")
+    ).where("low < high").select("h", "busy")
+    texts = classed.join(mixed, "h").groupBy("doc").agg(
+        F.collect_list(F.struct("h", "row", "class", "busy")).alias("windows"), F.bool_or("busy").alias("any")
+    ).where("any").drop("any")
+    keyed = stored(
+        texts.mapInArrow(_keys, "key long, doc long, both binary, class long, class2 long")
+        .groupBy("key", "class", "class2").agg(F.min(F.struct("doc", "both")).alias("least")).select("key", "class", "class2", "least.*")
+    )
+    again = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"))
+    met_again = again.where("low < high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = (
+        keyed.join(met_again, "key").withColumn("mine", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("key", "doc", "both", "class", "class2", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    )
+    pairs = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(
+        _pairs, "a long, b long, spans binary"
+    )
+    return pairs.groupBy("a", "b").agg(F.collect_set("spans").alias("spans"))
+
+
+def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """A row per passage that the texts of a pair share; ``pairs`` is read several times."""
     blocks = pairs.groupBy("b").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("blocks"))
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     later = (
@@ -332,6 +510,25 @@ def passages(docs: DataFrame) -> DataFrame:
     )
 
 
+def passages(docs: DataFrame) -> DataFrame:
+    """A row per passage of ``doc_id`` that a text of smaller doc_id holds too, in words (ends excluded).
+
+    Texts that hold a passage of the same text around the same place are a class there: their rows
+    with that text are their membership, and the class's least text stands for them towards others.
+    """
+    met = stored(links(docs))
+    pairs = stored(candidates(met))
+    found = stored(verified(docs, pairs))
+    more = stored(rest(met, found))
+    # A pair that comes again is verified with all its spans.
+    again = pairs.join(more.select("a", "b"), ["a", "b"], "left_semi").unionByName(more)
+    again = stored(again.groupBy("a", "b").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    once = found.join(
+        more.select(F.col("a").alias("doc_id"), F.col("b").alias("source_id")), ["doc_id", "source_id"], "left_anti"
+    ).select(*found.columns)
+    return once.unionByName(verified(docs, again))
+
+
 def _cut(texts: pa.Array, spans: list) -> tuple[list, list]:
     flat = Flat(texts)
     starts, ends, counts = flat.words()
