@@ -222,16 +222,17 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 low, high = l[j], np.minimum(r[i], r[j])
                 kept = (k[i] != k[j]) & (busy[i] | busy[j]) & (high - low + 1 >= LEAST)
                 kept &= (np.minimum(c[i], c[j]) >= low) & (np.maximum(c[i], c[j]) <= high)
-                i, j = i[kept], j[kept]
+                i, j, low, high = i[kept], j[kept], low[kept], high[kept]
                 i, j = np.where(k[i] < k[j], i, j), np.where(k[i] < k[j], j, i)
                 key = mix(h[i] + mix(h[j]))
             else:
                 i = j = some
+                low, high = l[i], r[i]
                 key = mix(h[i] ^ mix(rows[i, side].astype(np.uint64) * np.uint64(8) + np.uint64(side)))
             if len(i):
                 yield pa.RecordBatch.from_arrays([
                     pa.array(key.view(np.int64)), batch.column("doc").take(pa.array(text[i])),
-                    _packed(np.stack([k[i], l[i], r[i], k[j], l[j], r[j]], axis=1)), pa.array(of[i]), pa.array(of[j]),
+                    _packed(np.stack([k[i], k[j], low, high], axis=1)), pa.array(of[i]), pa.array(of[j]),
                 ], ["key", "doc", "both", "class", "class2"])
 
 
@@ -242,7 +243,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def work(part: pa.Table) -> Iterator[pa.RecordBatch]:
         columns = [part.column(n).to_numpy() for n in names]
         doc, mine = part.column("doc").to_numpy(), part.column("mine").to_numpy()
-        rows = np.frombuffer(b"".join(part.column("both").to_pylist()), "<i4").reshape(-1, 6)
+        rows = np.frombuffer(b"".join(part.column("both").to_pylist()), "<i4").reshape(-1, 4)
         one, two = part.column("class").to_numpy(), part.column("class2").to_numpy()
         new = np.ones(len(doc), bool)
         new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
@@ -258,10 +259,10 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, y = x[kept], y[kept]
             a, b = np.where(doc[x] > doc[y], x, y), np.where(doc[x] > doc[y], y, x)
             if len(a):
-                left, right = rows[a], rows[b]
+                spans = np.concatenate([rows[a, 2:], rows[b, 2:]], axis=1)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(doc[a]), pa.array(doc[b]),
-                    _packed(np.concatenate([left[:, :3], right[:, 1:3], left[:, 3:], right[:, 4:]], axis=1)),
+                    _packed(np.concatenate([rows[a, :1], spans, rows[a, 1:2], spans], axis=1)),
                 ], ["a", "b", "spans"])
 
     held: list[pa.RecordBatch] = []  # rows whose group may go on
