@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 
@@ -69,7 +70,7 @@ class _Cached:
         while first + len(keys) > len(self.begin):
             self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
             self.length = np.concatenate([self.length, np.zeros_like(self.length)])
-        self.ids[self.used : self.used + total] = np.fromiter((x for ids in lists for x in ids), np.int32, total)
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(lists), np.int32, total)
         self.begin[first : first + len(keys)] = self.used + np.cumsum(lengths) - lengths
         self.length[first : first + len(keys)] = lengths
         self.used += total
@@ -88,7 +89,7 @@ class _Cached:
             texts = [data[a:b].decode("utf-8") for a, b in zip(starts[where].tolist(), ends[where].tolist())]
             self._add([names[i] for i in missing], self.encode(texts, plain[where]))
         slot = self.slot
-        return np.fromiter((slot[k] for k in names), np.int64, len(names))[back]
+        return np.fromiter(map(slot.__getitem__, names), np.int64, len(names))[back]
 
     def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the pieces in order, and how many each has."""
@@ -117,13 +118,13 @@ class WordBpe(_Cached):
         coded = self.tokenizer.encode_batch_fast([" ".join(texts[i] for i in run) for run in runs], add_special_tokens=False)
         rest = np.flatnonzero(~plain).tolist()
         for run, code in zip(runs, coded):
-            ids = np.array(code.ids, np.int32)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
+            ids = code.ids
+            cuts = np.flatnonzero(self.ends[np.array(ids, np.int32)]) + 1
             if len(cuts) != len(run):
                 rest += run
                 continue
             for i, a, b in zip(run, [0, *cuts[:-1].tolist()], cuts.tolist()):
-                out[i] = ids[a:b].tolist()
+                out[i] = ids[a:b]
         single = self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)
         for i, code in zip(rest, single):
             out[i] = code.ids
