@@ -58,12 +58,13 @@ def test_texts_with_many_copies_of_a_passage_keep_one(spark):
     assert [r.doc_id for r in left if passage in r.text] == [0] and len(left) == 25
 
 
-def test_near_repeats_of_frequent_lines_are_found(spark):
+def near(groups):
+    """As ``made``, but a word in the middle of the shared passage differs."""
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
     say = lambda n: " ".join(word() for _ in range(n))
     rows = []
-    for g in range(60):
+    for g in range(groups):
         lines = [say(20) for _ in range(3)]
         for i in range(17):
             if i in (5, 14):
@@ -75,8 +76,23 @@ def test_near_repeats_of_frequent_lines_are_found(spark):
                 mixed = [f"{line} {say(rng.randint(5, 30))}" for line in rng.sample(lines, 3)]
                 text = f"{say(10)} {' '.join(mixed)} {say(10)}"
             rows.append((100 * g + i, text))
+    return rows
+
+
+def test_near_repeats_of_frequent_lines_are_found(spark):
+    rows = near(60)
     found = compact.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
     pairs = {(r.doc_id, r.source_id) for r in found.collect()}
     # Two of five functions agree at this similarity in all but a few of a hundred.
     missed = [g for g in range(60) if (100 * g + 14, 100 * g + 5) not in pairs]
     assert len(missed) <= 3, missed
+
+
+def test_pipeline_cuts_near_repeats_of_frequent_lines(spark):
+    import corpus_pipeline
+
+    rows = near(60)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    left = {r.doc_id: len(r.text.split()) for r in corpus_pipeline.substring_dedup(spark, docs, "").collect()}
+    whole = [g for g in range(60) if left[100 * g + 14] > 75]
+    assert len(whole) <= 3, whole
