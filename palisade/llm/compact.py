@@ -16,8 +16,10 @@ shingle too, so a passage that thousands of texts share gives thousands of links
 not their square. All windows of a value that are of different classes (a common line in
 other surroundings) are then compared: ``rest`` lets them meet by the values that
 two functions have for one run, or, for runs, by the run and the shingles beside it, and takes
-the least text of each class there, and of these every pair. Large groups are split
-into blocks, every two of which meet in a task of bounded size.
+the least text of each class there, and of these every pair whose stretches share as many
+shingles as runs that are alike must. They carry their shingles to that, so that a line that is
+common to texts which share nothing else makes no pair to be verified on texts. Large groups
+are split into blocks, every two of which meet in a task of bounded size.
 
 A value of one shingle hides repeats where that shingle is frequent: the first text
 with it may hold a common line in other surroundings. One more function is therefore
@@ -62,7 +64,7 @@ SIDE = -(-(LEAST - RUN) // 2)
 #: Windows of one key in a block.
 BLOCK = 2048
 #: Pairs that a task writes out at once.
-_PAIRS = 1 << 18
+_PAIRS = 1 << 17
 #: Members of one text's links that are verified in one run of rows.
 SPREAD = 1000
 
@@ -236,8 +238,75 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ], ["key", "doc", "both", "class", "class2"])
 
 
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles of the asked stretches of each text, in 32 bits each, and the fewest distinct ones that a run there has."""
+    for part in slices(batches):
+        hashes, counts = _shingles(Flat(part.column("text")))
+        asks = part.column("asks")
+        size = np.diff(asks.offsets.to_numpy())
+        asked = pa.Table.from_batches([pa.RecordBatch.from_struct_array(asks.flatten())])
+        text = np.repeat(np.arange(len(size)), size)
+        rows = np.frombuffer(b"".join(asked.column("both").to_pylist()), "<i4").reshape(-1, 4).astype(np.int64)
+        # Another text of the same id may be shorter.
+        fine = rows[:, 3] < counts[text]
+        asked, text, rows = asked.filter(pa.array(fine)).combine_chunks(), text[fine], rows[fine]
+        base = (np.cumsum(counts) - counts)[text]
+        low, high = rows[:, 2] + base, rows[:, 3] + base + 1
+        # A shingle that occurs again so near is missing in all runs of LEAST that hold both places.
+        before = _before(mix(hashes + np.repeat(np.arange(len(counts), dtype=np.uint64), counts)))
+        place = np.arange(len(hashes))
+        again = np.flatnonzero((before >= 0) & (place - before < LEAST))
+        fewer = np.zeros(len(hashes) + 2, np.int64)
+        np.add.at(fewer, np.maximum(again - LEAST + 1, 0), 1)
+        np.add.at(fewer, before[again] + 1, -1)
+        distinct = LEAST - np.cumsum(fewer)
+        least = np.minimum.reduceat(distinct, np.stack([low, high - LEAST + 1], axis=1).ravel())[::2] if len(low) else low
+        which, at = within(high - low)
+        offsets = np.concatenate([[0], np.cumsum(high - low)]).astype(np.int32) * 4
+        marks = np.ascontiguousarray((hashes[low[which] + at] >> np.uint64(32)).astype("<u4"))
+        yield pa.RecordBatch.from_arrays([
+            *(asked.column(n).combine_chunks() for n in ("key", "blocks")), part.column("doc_id").take(pa.array(text)),
+            *(asked.column(n).combine_chunks() for n in ("both", "class", "class2")), pa.array(least.astype(np.int32)),
+            pa.Array.from_buffers(pa.binary(), len(low), [None, pa.py_buffer(offsets), pa.py_buffer(marks)]),
+        ], ["key", "blocks", "doc", "both", "class", "class2", "least", "marks"])
+
+
+def _places(marks: list[bytes], begin: np.ndarray) -> tuple:
+    """The distinct marks of all rows, row by row: their rows, their order by (group, mark, row), ranks in it, where equal ones begin."""
+    row = np.repeat(np.arange(len(marks)), np.fromiter(map(len, marks), np.int64, len(marks)) // 4)
+    value = np.frombuffer(b"".join(marks), "<u4")
+    order = np.lexsort((row, value, begin[row]))
+    new = np.ones(len(order), bool)
+    new[1:] = (value[order[1:]] != value[order[:-1]]) | (begin[row[order[1:]]] != begin[row[order[:-1]]])
+    once = new.copy()
+    once[1:] |= row[order[1:]] != row[order[:-1]]
+    group, kept = np.cumsum(new)[once], order[once]
+    at = np.zeros(len(value), bool)
+    at[kept] = True
+    order = (np.cumsum(at) - 1)[kept]
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    first = np.ones(len(order), bool)
+    first[1:] = group[1:] != group[:-1]
+    return row[at], order, rank, np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+
+
+def _common(begin: np.ndarray, some: np.ndarray, table: tuple) -> np.ndarray:
+    """How many marks each row of ``some`` shares with each earlier row of its group, from ``begin`` on."""
+    row, order, rank, start = table
+    mine = np.arange(np.searchsorted(row, some[0]), np.searchsorted(row, some[-1], side="right"))
+    which, at = within(rank[mine] - start[rank[mine]])
+    one = row[mine[which]]
+    two = row[order[start[rank[mine[which]]] + at]]
+    ahead = some - begin[some]
+    return np.bincount((np.cumsum(ahead) - ahead)[one - some[0]] + two - begin[one], minlength=int(ahead.sum()))
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in order of (key, i, j), pairs of texts of each group; of two blocks, those of one and the other."""
+    """From rows in order of (key, i, j), pairs of texts of each group; of two blocks, those of one and the other.
+
+    Runs that are alike lie in both stretches, so these share ``PERCENT`` % of the shingles of a run at least.
+    """
     names = ["key", "i", "j"]
 
     def work(part: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -245,17 +314,22 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, mine = part.column("doc").to_numpy(), part.column("mine").to_numpy()
         rows = np.frombuffer(b"".join(part.column("both").to_pylist()), "<i4").reshape(-1, 4)
         one, two = part.column("class").to_numpy(), part.column("class2").to_numpy()
+        least, marks = part.column("least").to_numpy(), part.column("marks").to_pylist()
         new = np.ones(len(doc), bool)
         new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
         at = np.arange(len(doc))
         begin = np.maximum.accumulate(np.where(new, at, 0))
         cross = columns[1] != columns[2]
         total = np.cumsum(at - begin)
+        table = _places(marks, begin)
         for some in np.split(at, np.unique(np.searchsorted(total, np.arange(_PAIRS, int(total[-1]), _PAIRS)))):
             which, place = within(some - begin[some])
+            if not len(which):
+                continue
             x = some[which]
             y = begin[x] + place
-            kept = (doc[x] != doc[y]) & (one[x] != one[y]) & (two[x] != two[y]) & ~(cross[x] & (mine[x] == mine[y]))
+            kept = (doc[x] != doc[y]) & ((one[x] != one[y]) | (two[x] != two[y])) & ~(cross[x] & (mine[x] == mine[y]))
+            kept &= 100 * _common(begin, some, table) >= PERCENT * np.minimum(least[x], least[y])
             x, y = x[kept], y[kept]
             a, b = np.where(doc[x] > doc[y], x, y), np.where(doc[x] > doc[y], y, x)
             if len(a):
@@ -445,7 +519,7 @@ def candidates(met: DataFrame) -> DataFrame:
     ).where(F.bit_count("bits") >= AGREE).drop("bits")
 
 
-def rest(met: DataFrame, found: DataFrame) -> DataFrame:
+def rest(docs: DataFrame, met: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs a > b of the least texts of classes whose windows agree, of values that three texts or more have."""
     linked = met.where("own is not null")
     values = linked.groupBy("h").agg(
@@ -475,12 +549,19 @@ def rest(met: DataFrame, found: DataFrame) -> DataFrame:
         texts.mapInArrow(_keys, "key long, doc long, both binary, class long, class2 long")
         .groupBy("key", "class", "class2").agg(F.min(F.struct("doc", "both")).alias("least")).select("key", "class", "class2", "least.*")
     )
-    again = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"))
-    met_again = again.where("low < high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    again = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    asks = keyed.join(again, "key").groupBy("doc").agg(F.collect_list(F.struct("key", "blocks", "both", "class", "class2")).alias("asks"))
+    texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    marked = texts.join(asks, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "asks").mapInArrow(
+        _marked, "key long, blocks int, doc long, both binary, class long, class2 long, least int, marks binary"
+    )
     dealt = (
-        keyed.join(met_again, "key").withColumn("mine", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+        marked.withColumn("mine", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", "doc", "both", "class", "class2", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+        .select(
+            "key", "doc", "both", "class", "class2", "least", "marks", "mine",
+            F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
+        )
     )
     pairs = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(
         _pairs, "a long, b long, spans binary"
@@ -520,7 +601,7 @@ def passages(docs: DataFrame) -> DataFrame:
     met = stored(links(docs))
     pairs = stored(candidates(met))
     found = stored(verified(docs, pairs))
-    more = stored(rest(met, found))
+    more = stored(rest(docs, met, found))
     # A pair that comes again is verified with all its spans.
     again = pairs.join(more.select("a", "b"), ["a", "b"], "left_semi").unionByName(more)
     again = stored(again.groupBy("a", "b").agg(F.flatten(F.collect_list("spans")).alias("spans")))

@@ -96,3 +96,19 @@ def test_pipeline_cuts_near_repeats_of_frequent_lines(spark):
     left = {r.doc_id: len(r.text.split()) for r in corpus_pipeline.substring_dedup(spark, docs, "").collect()}
     whole = [g for g in range(60) if left[100 * g + 14] > 75]
     assert len(whole) <= 3, whole
+
+
+def test_texts_that_share_a_line_alone_are_no_pairs(spark):
+    rng = random.Random(21)
+    say = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    line, passage = say(30), say(45)
+    rows = [(i, f"{say(60)} {line} {say(60)}") for i in range(80)]
+    # Two of them hold the line in equal surroundings, but for a word.
+    rows += [(80, f"{say(60)} {passage} {line} {say(5)}"), (81, f"{say(60)} {passage} other {line} {say(5)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    met = compact.stored(compact.links(docs))
+    pairs = compact.stored(compact.candidates(met))
+    found = compact.stored(compact.verified(docs, pairs)).limit(0)
+    more = {(r.a, r.b) for r in compact.rest(docs, met, found).collect()}
+    assert (81, 80) in more and len(more) <= 3, len(more)
+    assert (81, 80) in {(r.doc_id, r.source_id) for r in compact.passages(docs).collect()}
