@@ -9,9 +9,10 @@ task empties it when it ends, as workers live on for other work.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -82,14 +83,15 @@ class _Cached:
         if len(self.slot) + len(distinct) > CACHE:
             self.clear()
         names = distinct.tolist()
-        missing = [i for i, k in enumerate(names) if k not in self.slot]
-        if missing:
+        slots = np.array([*map(self.slot.get, names, repeat(-1))], np.int64)
+        missing = np.flatnonzero(slots < 0)
+        if len(missing):
             data = flat.bytes.tobytes()
             where = at[missing]
             texts = [data[a:b].decode("utf-8") for a, b in zip(starts[where].tolist(), ends[where].tolist())]
-            self._add([names[i] for i in missing], self.encode(texts, plain[where]))
-        slot = self.slot
-        return np.fromiter(map(slot.__getitem__, names), np.int64, len(names))[back]
+            slots[missing] = len(self.slot) + np.arange(len(missing))
+            self._add(distinct[missing].tolist(), self.encode(texts, plain[where]))
+        return slots[back]
 
     def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the pieces in order, and how many each has."""
@@ -105,6 +107,8 @@ class WordBpe(_Cached):
         from tokenizers import Tokenizer
 
         super().__init__()
+        # A task has one core; threads beside it would only wait for each other.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
