@@ -293,21 +293,20 @@ def repeats(data: np.ndarray, sizes: np.ndarray, ids: np.ndarray, lows: np.ndarr
     row, place = within(np.maximum(sizes - LENGTH + 1, 0))
     starts = (ends - sizes)[row] + place
     # Only neighbours in the suffix array can be equal; equal they are if their LENGTH bytes are.
-    order = np.argsort(group[starts], kind="stable")
+    order = np.argsort(group[starts])
     starts, row, place = starts[order], row[order], place[order]
     values = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_VALUES[np.maximum(text - 1, 0)] * _powers(len(text)))])
     # Compared by position-free hashes of the strings, and by the order itself.
     hashed = mix((values[starts + LENGTH] - values[starts]) * _inverse_powers(len(text))[starts])
     new = np.ones(len(starts), bool)
     new[1:] = hashed[1:] != hashed[:-1]
-    label = np.cumsum(new) - 1
-    doc, begin = ids[row], lows[row] + place
-    order = np.lexsort((begin, doc, label))
-    lead = np.ones(len(order), bool)
-    lead[1:] = label[order][1:] != label[order][:-1]
-    first = order[np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))]
-    later = (doc[order] != doc[first]) | (begin[order] != begin[first])
-    return row[order][later], place[order][later]
+    # The first of equal strings is that with the least document and start, as one number.
+    if not len(starts):
+        return row, place
+    spot = (np.unique(ids, return_inverse=True)[1][row] << 40) + lows[row] + place
+    first = np.minimum.reduceat(spot, np.flatnonzero(new))
+    later = spot != first[np.cumsum(new) - 1]
+    return row[later], place[later]
 
 
 def _powers(n: int) -> np.ndarray:
