@@ -65,6 +65,8 @@ SIDE = -(-(LEAST - RUN) // 2)
 BLOCK = 2048
 #: Pairs that a task writes out at once.
 _PAIRS = 1 << 17
+#: Marks of pairs that are looked up at once.
+_MARKS = 1 << 20
 #: Members of one text's links that are verified in one run of rows.
 SPREAD = 1000
 
@@ -193,7 +195,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From the windows of each text that meet others, the keys by which the rest meets.
 
     Two windows of different functions have one key if some run has both their smallest shingles, as
-    has a run of the last function with either side of it.
+    has a run of the last function with either side of it. What such runs hold at least comes as its ends.
     """
     for batch in batches:
         lists = batch.column("windows")
@@ -205,6 +207,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((rows[:, 1], text))
         text, h, of, busy, rows = text[order], h[order].view(np.uint64), of[order], busy[order], rows[order]
         k, l, c, r = rows[:, :4].T
+        wide = np.where(k == HASHES, RUN - 1, 0)
         lift = int(r.max(initial=0)) + 1
         reach = np.searchsorted(text * lift + l, text * lift + r, side="right")
         at = np.arange(len(h))
@@ -226,15 +229,17 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kept &= (np.minimum(c[i], c[j]) >= low) & (np.maximum(c[i], c[j]) <= high)
                 i, j, low, high = i[kept], j[kept], low[kept], high[kept]
                 i, j = np.where(k[i] < k[j], i, j), np.where(k[i] < k[j], j, i)
+                begin, end = np.minimum(c[i], c[j]), np.maximum(c[i] + wide[i], c[j] + wide[j])
                 key = mix(h[i] + mix(h[j]))
             else:
                 i = j = some
                 low, high = l[i], r[i]
+                begin, end = (c[i] - SIDE, c[i] + RUN - 1) if side == 4 else (c[i], c[i] + RUN + SIDE - 1)
                 key = mix(h[i] ^ mix(rows[i, side].astype(np.uint64) * np.uint64(8) + np.uint64(side)))
             if len(i):
                 yield pa.RecordBatch.from_arrays([
                     pa.array(key.view(np.int64)), batch.column("doc").take(pa.array(text[i])),
-                    _packed(np.stack([k[i], k[j], low, high], axis=1)), pa.array(of[i]), pa.array(of[j]),
+                    _packed(np.stack([k[i], k[j], low, high, begin, end], axis=1)), pa.array(of[i]), pa.array(of[j]),
                 ], ["key", "doc", "both", "class", "class2"])
 
 
@@ -246,12 +251,12 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.diff(asks.offsets.to_numpy())
         asked = pa.Table.from_batches([pa.RecordBatch.from_struct_array(asks.flatten())])
         text = np.repeat(np.arange(len(size)), size)
-        rows = np.frombuffer(b"".join(asked.column("both").to_pylist()), "<i4").reshape(-1, 4).astype(np.int64)
+        rows = np.frombuffer(b"".join(asked.column("both").to_pylist()), "<i4").reshape(-1, 6).astype(np.int64)
         # Another text of the same id may be shorter.
         fine = rows[:, 3] < counts[text]
         asked, text, rows = asked.filter(pa.array(fine)).combine_chunks(), text[fine], rows[fine]
         base = (np.cumsum(counts) - counts)[text]
-        low, high = rows[:, 2] + base, rows[:, 3] + base + 1
+        low, high, begin, end = rows[:, 2] + base, rows[:, 3] + base + 1, rows[:, 4] + base, rows[:, 5] + base
         # A shingle that occurs again so near is missing in all runs of LEAST that hold both places.
         before = _before(mix(hashes + np.repeat(np.arange(len(counts), dtype=np.uint64), counts)))
         place = np.arange(len(hashes))
@@ -260,7 +265,10 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.add.at(fewer, np.maximum(again - LEAST + 1, 0), 1)
         np.add.at(fewer, before[again] + 1, -1)
         distinct = LEAST - np.cumsum(fewer)
-        least = np.minimum.reduceat(distinct, np.stack([low, high - LEAST + 1], axis=1).ravel())[::2] if len(low) else low
+        # Runs of LEAST from these places on hold what all alike ones do, or lie in it.
+        early = np.maximum(low, end - LEAST + 1)
+        early, late = np.minimum(early, begin), np.where(early > begin, begin, np.minimum(begin, high - LEAST)) + 1
+        least = np.minimum.reduceat(distinct, np.stack([early, late], axis=1).ravel())[::2] if len(low) else low
         which, at = within(high - low)
         offsets = np.concatenate([[0], np.cumsum(high - low)]).astype(np.int32) * 4
         marks = np.ascontiguousarray((hashes[low[which] + at] >> np.uint64(32)).astype("<u4"))
@@ -271,9 +279,12 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ], ["key", "blocks", "doc", "both", "class", "class2", "least", "marks"])
 
 
-def _places(marks: list[bytes], begin: np.ndarray) -> tuple:
-    """The distinct marks of all rows, row by row: their rows, their order by (group, mark, row), ranks in it, where equal ones begin."""
-    row = np.repeat(np.arange(len(marks)), np.fromiter(map(len, marks), np.int64, len(marks)) // 4)
+def _places(marks: list[bytes], size: np.ndarray, begin: np.ndarray) -> tuple[tuple, tuple]:
+    """The distinct marks of all rows, row by row: their rows, their order by (group, mark, row), ranks in it, where equal ones begin.
+
+    Beside them all marks, which are the first of their value in their row, and the sorted (row, mark).
+    """
+    row = np.repeat(np.arange(len(marks)), size)
     value = np.frombuffer(b"".join(marks), "<u4")
     order = np.lexsort((row, value, begin[row]))
     new = np.ones(len(order), bool)
@@ -288,7 +299,8 @@ def _places(marks: list[bytes], begin: np.ndarray) -> tuple:
     rank[order] = np.arange(len(order))
     first = np.ones(len(order), bool)
     first[1:] = group[1:] != group[:-1]
-    return row[at], order, rank, np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+    has = np.sort(row[at].astype(np.uint64) << np.uint64(32) | value[at])
+    return (row[at], order, rank, np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))), (value, at, has)
 
 
 def _common(begin: np.ndarray, some: np.ndarray, table: tuple) -> np.ndarray:
@@ -302,17 +314,46 @@ def _common(begin: np.ndarray, some: np.ndarray, table: tuple) -> np.ndarray:
     return np.bincount((np.cumsum(ahead) - ahead)[one - some[0]] + two - begin[one], minlength=int(ahead.sum()))
 
 
+def _best(x: np.ndarray, y: np.ndarray, size: np.ndarray, ends: np.ndarray, marks: tuple) -> np.ndarray:
+    """The most that ``LEAST`` or more marks of x around its ``ends`` can score, if one that y has counts half of 100 - PERCENT and another -PERCENT."""
+    value, first, has = marks
+    at = np.cumsum(size) - size
+    out = np.zeros(len(x), np.int64)
+    total = np.cumsum(size[x])
+    for some in np.split(np.arange(len(x)), np.unique(np.searchsorted(total, np.arange(_MARKS, int(total[-1]), _MARKS)))):
+        if not len(some):
+            continue
+        which, inner = within(size[x[some]])
+        place = at[x[some]][which] + inner
+        asked = y[some][which].astype(np.uint64) << np.uint64(32) | value[place]
+        shared = has[np.minimum(np.searchsorted(has, asked), len(has) - 1)] == asked
+        # One that occurs again counts once if it is missing in y, as often as it may be held otherwise.
+        worth = np.where(shared, 100 - PERCENT, np.where(first[place], -2 * PERCENT, 0))
+        score = np.cumsum(worth)
+        # The most from each place to the end of its row, rows kept apart by what is added to them.
+        apart = (len(some) - which) * (1 << 32)
+        most = np.maximum.accumulate((score + apart)[::-1])[::-1] - apart
+        start = np.cumsum(size[x[some]]) - size[x[some]]
+        least, last = np.maximum(ends[x[some], 1][which], inner + LEAST - 1), size[x[some]][which] - 1
+        runs = np.where(
+            (inner <= ends[x[some], 0][which]) & (least <= last), most[start[which] + np.minimum(least, last)] - score + worth, -(1 << 32)
+        )
+        out[some] = np.maximum.reduceat(runs, start)
+    return out
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows in order of (key, i, j), pairs of texts of each group; of two blocks, those of one and the other.
 
     Runs that are alike lie in both stretches, so these share ``PERCENT`` % of the shingles of a run at least.
+    What two such runs have in common, counted half in each, outweighs what they have not.
     """
     names = ["key", "i", "j"]
 
     def work(part: pa.Table) -> Iterator[pa.RecordBatch]:
         columns = [part.column(n).to_numpy() for n in names]
         doc, mine = part.column("doc").to_numpy(), part.column("mine").to_numpy()
-        rows = np.frombuffer(b"".join(part.column("both").to_pylist()), "<i4").reshape(-1, 4)
+        rows = np.frombuffer(b"".join(part.column("both").to_pylist()), "<i4").reshape(-1, 6)
         one, two = part.column("class").to_numpy(), part.column("class2").to_numpy()
         least, marks = part.column("least").to_numpy(), part.column("marks").to_pylist()
         new = np.ones(len(doc), bool)
@@ -321,7 +362,9 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin = np.maximum.accumulate(np.where(new, at, 0))
         cross = columns[1] != columns[2]
         total = np.cumsum(at - begin)
-        table = _places(marks, begin)
+        size = np.fromiter(map(len, marks), np.int64, len(marks)) // 4
+        table, all_marks = _places(marks, size, begin)
+        ends = rows[:, 4:] - rows[:, 2:3]
         for some in np.split(at, np.unique(np.searchsorted(total, np.arange(_PAIRS, int(total[-1]), _PAIRS)))):
             which, place = within(some - begin[some])
             if not len(which):
@@ -329,11 +372,14 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = some[which]
             y = begin[x] + place
             kept = (doc[x] != doc[y]) & ((one[x] != one[y]) | (two[x] != two[y])) & ~(cross[x] & (mine[x] == mine[y]))
-            kept &= 100 * _common(begin, some, table) >= PERCENT * np.minimum(least[x], least[y])
+            kept &= 100 * _common(begin, some, table) >= PERCENT * np.maximum(least[x], least[y])
             x, y = x[kept], y[kept]
+            if len(x):
+                kept = _best(x, y, size, ends, all_marks) + _best(y, x, size, ends, all_marks) >= 0
+                x, y = x[kept], y[kept]
             a, b = np.where(doc[x] > doc[y], x, y), np.where(doc[x] > doc[y], y, x)
             if len(a):
-                spans = np.concatenate([rows[a, 2:], rows[b, 2:]], axis=1)
+                spans = np.concatenate([rows[a, 2:4], rows[b, 2:4]], axis=1)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(doc[a]), pa.array(doc[b]),
                     _packed(np.concatenate([rows[a, :1], spans, rows[a, 1:2], spans], axis=1)),

@@ -112,3 +112,23 @@ def test_texts_that_share_a_line_alone_are_no_pairs(spark):
     more = {(r.a, r.b) for r in compact.rest(docs, met, found).collect()}
     assert (81, 80) in more and len(more) <= 3, len(more)
     assert (81, 80) in {(r.doc_id, r.source_id) for r in compact.passages(docs).collect()}
+
+
+def test_members_of_a_class_are_no_pairs_for_a_line_apart(spark):
+    rng = random.Random(5)
+    say = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    line, passage = say(12), say(60)
+    # All hold the passage and, further off than alike runs can be, a common line; others hold it beside few distinct words.
+    rows = [(i, f"{say(20)} {line} {say(rng.randint(12, 30))} {passage} {say(20)}") for i in range(60)]
+    rows += [(i, f"{(say(1) + ' ') * 25}{line} {(say(1) + ' ') * 25}") for i in range(60, 120)]
+    # Two share their surroundings of the passage too.
+    around = say(30)
+    rows += [(200, f"{say(20)} {around} {passage} {say(20)}"), (201, f"{say(9)} {around} {passage} {say(9)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    met = compact.stored(compact.links(docs))
+    found = compact.stored(compact.verified(docs, compact.stored(compact.candidates(met))))
+    more = compact.rest(docs, met, found).count()
+    assert more <= 60, more
+    held = [(r.doc_id, r.source_id, r.end_word - r.start_word) for r in compact.passages(docs).collect()]
+    assert {a for a, _, n in held if n >= 60} == {*range(1, 60), 200, 201}
+    assert any(a == 201 and b == 200 and n >= 90 for a, b, n in held)
