@@ -7,8 +7,9 @@ import random
 import threading
 
 import numpy as np
+import pyarrow as pa
 
-from palisade.llm import lyndon, vocab
+from palisade.llm import genetic, lyndon, vocab
 
 
 def test_the_word_vocabulary_starts_no_threads(monkeypatch):
@@ -19,6 +20,19 @@ def test_the_word_vocabulary_starts_no_threads(monkeypatch):
     assert len(lists) == 3000 and len(os.listdir("/proc/self/task")) - threading.active_count() <= before
 
 
+def test_a_task_encodes_no_piece_twice(monkeypatch):
+    rng = random.Random(2)
+    words = list({"".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(250_000)})
+    encode, coded = vocab.WordBpe.encode, []
+    monkeypatch.setattr(vocab.WordBpe, "encode", lambda self, texts, plain: coded.extend(texts) or encode(self, texts, plain))
+    texts = [" ".join(words[k : k + 5000]) for k in range(0, len(words), 5000)] * 2
+    batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([t])], ["doc_id", "text"]) for i, t in enumerate(texts)]
+    done = list(genetic._pieces(vocab.public("word_bpe_49k.json"), 4096, 1)(iter(batches)))
+    assert len(coded) == len(set(coded)) == len(words)
+    half = len(done) // 2
+    assert [d.column("ids_crc32").to_pylist() for d in done[:half]] == [d.column("ids_crc32").to_pylist() for d in done[half:]]
+
+
 def test_the_first_of_equal_strings_stays():
     rng = random.Random(5)
     parts = [bytes(rng.choice(b"ab") for _ in range(140)) for _ in range(4)]
