@@ -42,7 +42,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -150,8 +149,8 @@ def _packed(table: np.ndarray) -> pa.Array:
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows in order of (h, doc), links of each window to those of earlier texts.
 
-    A link to the first text of a value comes with the windows ``own`` and ``lead`` and their places
-    c and c2; further windows of that text itself come as rows with a = b.
+    Links come with the windows ``own`` and ``lead``, those to the first text of a value also with their
+    places c and c2; further windows of that text itself come as rows with a = b.
     """
     names = ["h", "doc", *_ROW]
     first = last = None  # the first row of the running value, and the last row seen, carried to the next batch
@@ -180,14 +179,12 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(a):
             # Windows of one value share place c; what surrounds it in both is what can be alike.
             none = np.arange(len(a)) >= far.sum()
-            whole = lambda i: pc.if_else(pa.array(~none), _packed(rows[i, 2:]), None)
             yield pa.RecordBatch.from_arrays([
                 pa.array(rows[a, 0]), pa.array(rows[a, 1]), pa.array(rows[b, 1]),
-                _packed(np.stack([rows[a, 2], rows[a, 3], rows[a, 5], rows[b, 3], rows[b, 5]], axis=1)),
                 # Of runs, one function counts as enough.
                 pa.array(np.where(rows[a, 2] == HASHES, (1 << AGREE) - 1 << HASHES, 1 << rows[a, 2]).astype(np.int32)),
-                *(pa.array(rows[i, 4].astype(np.int32), mask=none) for i in (a, b)), whole(a), whole(b),
-            ], ["h", "a", "b", "spans", "bit", "c", "c2", "own", "lead"])
+                *(pa.array(rows[i, 4].astype(np.int32), mask=none) for i in (a, b)), _packed(rows[a, 2:]), _packed(rows[b, 2:]),
+            ], ["h", "a", "b", "bit", "c", "c2", "own", "lead"])
         first, last = rows[begin[-1]], rows[-1]
 
 
@@ -375,7 +372,11 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept &= 100 * _common(begin, some, table) >= PERCENT * np.maximum(least[x], least[y])
             x, y = x[kept], y[kept]
             if len(x):
-                kept = _best(x, y, size, ends, all_marks) + _best(y, x, size, ends, all_marks) >= 0
+                best = _best(x, y, size, ends, all_marks)
+                hopeful = best + (100 - PERCENT) * size[y] >= 0
+                x, y, best = x[hopeful], y[hopeful], best[hopeful]
+            if len(x):
+                kept = best + _best(y, x, size, ends, all_marks) >= 0
                 x, y = x[kept], y[kept]
             a, b = np.where(doc[x] > doc[y], x, y), np.where(doc[x] > doc[y], y, x)
             if len(a):
@@ -402,12 +403,21 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from work(pa.Table.from_batches(held))
 
 
-def _before(values: np.ndarray) -> np.ndarray:
+def _before(values: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
     """The last place before each that has the same value, or -1."""
-    order = np.argsort(values, kind="stable")
+    order = values.argsort(kind="stable") if order is None else order
     out = np.full(len(values), -1)
-    same = values[order[1:]] == values[order[:-1]]
-    out[order[1:][same]] = order[:-1][same]
+    sorted_ = values[order]
+    same = sorted_[1:] == sorted_[:-1]
+    if same.any():
+        out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+def _sums(values: np.ndarray) -> np.ndarray:
+    """Sums before each place, and that of all."""
+    out = np.zeros(len(values) + 1, np.int64)
+    values.cumsum(out=out[1:])
     return out
 
 
@@ -423,60 +433,78 @@ def _stretches(x: np.ndarray, y: np.ndarray, percent: int) -> list[tuple]:
     """
     n = len(x)
     share = percent / 100
-    order = np.argsort(y, kind="stable")
-    where = order[np.minimum(np.searchsorted(y[order], x), len(y) - 1)]
+    order = y.argsort(kind="stable")
+    where = order[np.minimum(y[order].searchsorted(x), len(y) - 1)]
     match = y[where] == x
-    places = np.flatnonzero(match)
+    places = match.nonzero()[0]
     if n < LEAST or not len(places):
         return []
-    before = _before(x)
-    firsts, firsts2 = (np.concatenate([[0], np.cumsum(v < 0)]) for v in (before, _before(y)))
-    shared = np.concatenate([[0], np.cumsum(match)])
-    score = np.cumsum(np.where(match, 1 - share, np.where(before < 0, -share, 0.0)))
+    before, before2 = _before(x), _before(y, order)
+    firsts, firsts2, shared = _sums(before < 0), _sums(before2 < 0), _sums(match)
+    once = firsts2[-1] == len(y)
+    score = np.where(match, 1 - share, np.where(before < 0, -share, 0.0)).cumsum()
     score = np.concatenate([[0.0], score])
     best = np.maximum.accumulate(score[::-1])
-    # Shared shingles in another order than in y are tried by what lies around one diagonal.
-    apart = where[places] - places
-    sort = np.argsort(apart, kind="stable")
-    parts = np.split(places[sort], np.flatnonzero(np.diff(apart[sort]) > LEAST) + 1)
-    parts = [np.sort(q) for q in parts]
+    spots = where[places]
+    tries = [(places, True)]
+    if (spots[1:] <= spots[:-1]).any():
+        # Shared shingles in another order than in y are tried by what lies around one diagonal.
+        apart = spots - places
+        sort = apart.argsort(kind="stable")
+        apart = apart[sort]
+        parts = np.split(places[sort], (apart[1:] - apart[:-1] > LEAST).nonzero()[0] + 1)
+        parts = [np.sort(q) for q in parts]
+        tries += [(q, False) for q in parts if (np.diff(where[q]) <= 0).any()]
     found = []
-    for chosen, ordered in [(places, True), *((q, False) for q in parts if (np.diff(where[q]) <= 0).any())]:
-        edge = np.flatnonzero((np.diff(chosen) != 1) | (np.diff(where[chosen]) != 1))
+    for chosen, ordered in tries:
+        spots = where[chosen]
+        edge = ((chosen[1:] - chosen[:-1] != 1) | (spots[1:] - spots[:-1] != 1)).nonzero()[0]
         first, last = np.concatenate([[0], edge + 1]), np.concatenate([edge, [len(chosen) - 1]])
+        # Of a shingle over and over, each place a run of its own, the first place starts and the last one ends all that others do.
+        again = (x[chosen[last[:-1]]] == x[chosen[first[1:]]]) & (chosen[first[1:]] - chosen[last[:-1]] == 1)
+        alone = first == last
+        first, last = first[np.concatenate([[True], ~(again & alone[:-1])])], last[np.concatenate([~(again & alone[1:]), [True]])]
         starts, ends = chosen[first], chosen[last]
-        reach = n - 1 - np.searchsorted(best, score[starts] - 1e-6)
+        reach = n - 1 - best.searchsorted(score[starts] - 1e-6)
         # Even its whole reach must hold enough of what its first LEAST shingles have.
         filled = np.minimum(starts + LEAST, n)
         most = shared[np.maximum(reach, starts) + 1] - shared[starts]
         hopeful = 100 * most >= percent * (firsts[filled] - firsts[filled - LEAST])
-        stops = np.searchsorted(ends, reach, side="right")
+        begins, stops = ends.searchsorted(starts), ends.searchsorted(reach, side="right")
         done = -1
-        for i in np.flatnonzero(hopeful & (stops > np.arange(len(starts)))).tolist():
+        for i in (hopeful & (stops > begins)).nonzero()[0].tolist():
             start, stop = int(starts[i]), int(stops[i])
             if ends[stop - 1] <= done:
                 continue
-            end = ends[i:stop]
+            tail = slice(max(int(begins[i]), int(ends.searchsorted(done, side="right"))), stop)
+            end = ends[tail]
             fresh = before[start : end[-1] + 1] < start
-            held = np.cumsum(fresh & match[start : end[-1] + 1])[end - start]
+            held = (fresh & match[start : end[-1] + 1]).cumsum()[end - start]
             right = np.maximum(end, min(start + LEAST, n) - 1)
             left = np.maximum(np.minimum(start, right - LEAST + 1), 0)
             if ordered:
                 low2, high2 = np.full(len(end), where[start]), where[end]
             else:
                 inside = where[chosen[first[i] : last[stop - 1] + 1]]
-                low2 = np.minimum.accumulate(inside)[last[i:stop] - first[i]]
-                high2 = np.maximum.accumulate(inside)[last[i:stop] - first[i]]
-            size = np.maximum(np.cumsum(fresh)[end - start], firsts[right + 1] - firsts[left])
+                low2 = np.minimum.accumulate(inside)[last[tail] - first[i]]
+                high2 = np.maximum.accumulate(inside)[last[tail] - first[i]]
+            size = np.maximum(fresh.cumsum()[end - start], firsts[right + 1] - firsts[left])
+            held = np.minimum(held, high2 - low2 + 1)
             size2 = np.maximum(firsts2[high2 + 1] - firsts2[low2], held)
-            likely = (end > done) & (high2 >= low2) & (100 * held >= percent * (size + size2 - held))
-            for j in np.flatnonzero(likely)[::-1].tolist():
-                one, two = np.unique(x[left[j] : right[j] + 1]), np.unique(y[low2[j] : high2[j] + 1])
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                union = len(one) + len(two) - both
+            likely = (high2 >= low2) & (100 * held >= percent * (size + size2 - held))
+            for j in likely.nonzero()[0][::-1].tolist():
+                l, r, l2, r2 = int(left[j]), int(right[j]) + 1, int(low2[j]), int(high2[j]) + 1
+                new = before[l:r] < l
+                if once:
+                    spots = where[l:r]
+                    both = np.count_nonzero(new & match[l:r] & (spots >= l2) & (spots < r2))
+                    union = np.count_nonzero(new) + r2 - l2 - both
+                else:
+                    both = len(np.intersect1d(x[l:r][new], y[l2:r2][before2[l2:r2] < l2], assume_unique=True))
+                    union = np.count_nonzero(new) + np.count_nonzero(before2[l2:r2] < l2) - both
                 if 100 * both >= percent * union:
                     done = int(end[j])
-                    found.append((start, -done, int(left[j]), int(right[j]), int(low2[j]), int(high2[j]), both / union))
+                    found.append((start, -done, l, r - 1, l2, r2 - 1, both / union))
                     break
     out, done = [], -1
     for _, end, *item in sorted(found):
@@ -554,20 +582,22 @@ def links(docs: DataFrame) -> DataFrame:
         _windows, "h long, doc long, k byte, l int, c int, r int, x int, y int"
     )
     return rows.repartition("h").sortWithinPartitions("h", "doc", "l").mapInArrow(
-        _stars, "h long, a long, b long, spans binary, bit int, c int, c2 int, own binary, lead binary"
+        _stars, "h long, a long, b long, bit int, c int, c2 int, own binary, lead binary"
     )
 
 
 def candidates(met: DataFrame) -> DataFrame:
     """Pairs a > b of texts whose linked windows agree, with the packed spans (k, l, r, l2, r2)."""
+    part = lambda name, k, n=1: F.substring(name, 4 * k + 1, 4 * n)
+    spans = F.concat(part("own", 0, 2), part("own", 3), part("lead", 1), part("lead", 3))
     return met.where("a <> b").groupBy("a", "b").agg(
-        F.collect_list("spans").alias("spans"), F.bit_or("bit").alias("bits")
+        F.collect_list(spans).alias("spans"), F.bit_or("bit").alias("bits")
     ).where(F.bit_count("bits") >= AGREE).drop("bits")
 
 
 def rest(docs: DataFrame, met: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs a > b of the least texts of classes whose windows agree, of values that three texts or more have."""
-    linked = met.where("own is not null")
+    linked = met.where("c is not null")
     values = linked.groupBy("h").agg(
         F.first(F.struct("b", "c2", "lead")).alias("first"),
         F.min(F.when(F.col("a") != F.col("b"), F.col("a"))).alias("low"), F.max("a").alias("high"),
