@@ -49,6 +49,9 @@ from palisade.llm.common import configure, stored
 from palisade.llm.flat import Flat, mix, slices, windows, within
 
 _ROW = ["k", "l", "c", "r", "x", "y"]
+#: The same as the windows are dealt, two in a number: l and the places from r to ``_LAST``, c and k, x and y.
+_PLACES = ["lr", "ck", "xy"]
+_LAST = (1 << 31) - 1
 
 WIDTH = 5
 WORDS = 50
@@ -66,6 +69,9 @@ BLOCK = 2048
 _PAIRS = 1 << 17
 #: Marks of pairs that are looked up at once.
 _MARKS = 1 << 20
+#: All numbers of 16 bits in no order, and the place of each.
+_SCATTER = mix(np.arange(1 << 16, dtype=np.uint64)).argsort().astype(np.uint64)
+_PLACE = _SCATTER.argsort()
 #: Members of one text's links that are verified in one run of rows.
 SPREAD = 1000
 
@@ -73,30 +79,45 @@ SPREAD = 1000
 def cartesian(hashes: np.ndarray, counts: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Compact windows (l, c, r) over rows of hashes, as places in the whole array, ends included.
 
-    The tree is cut level by level for all rows at once. Equal hashes are
-    ordered at random, which keeps the tree shallow on repetitive texts.
+    A place is the smallest of a long enough window if it is that of some run of ``least``, and
+    runs next to each other have mostly the same one. The tree is cut over these alone, level by
+    level for all rows at once. Equal hashes are ordered by scattered places, which
+    keeps the tree shallow on repetitive texts, and their last bits tell the place.
     """
-    places = np.arange(len(hashes), dtype=np.uint64)
-    keys = (hashes & ~np.uint64(0xFFFF)) | (mix(places) & np.uint64(0xFFFF))
-    ends = np.cumsum(counts)
-    left, right = (ends - counts)[counts >= least], ends[counts >= least]
-    out = []
+    if len(hashes) < least:
+        return (np.zeros(0, np.int64),) * 3
+    lowest = (hashes & ~np.uint64(0xFFFF)) | np.resize(_SCATTER, len(hashes))
+    width = 1
+    while width < least:
+        step = min(width, least - width)
+        lowest = np.minimum(lowest[:-step], lowest[step:])
+        width += step
+    kept = np.maximum(counts - least + 1, 0)
+    row, place = within(kept)
+    start = (np.cumsum(counts) - counts)[row] + place
+    lowest = lowest[start]
+    new = np.ones(len(start), bool)
+    new[1:] = (lowest[1:] != lowest[:-1]) | (row[1:] != row[:-1])
+    first = np.flatnonzero(new)
+    keys, low = lowest[first], start[first]
+    last = start[np.append(first[1:], len(start)) - 1] if len(first) else low
+    middle = low + ((_PLACE[keys & np.uint64(0xFFFF)] - low) & 0xFFFF)
+    # Runs of starts with one smallest place, row by row, are what the levels cut.
+    ends = np.cumsum(np.bincount(row[first], minlength=len(counts)))
+    left, right = np.append(0, ends[:-1]), ends
+    left, right = left[left < right], right[left < right]
+    l, r = np.empty(len(first), np.int64), np.empty(len(first), np.int64)
     while len(left):
-        size = right - left
-        segment, place = within(size)
+        segment, place = within(right - left)
         values = keys[left[segment] + place]
-        at = np.cumsum(size) - size
-        lowest = np.minimum.reduceat(values, at)
-        hit = np.flatnonzero(values == lowest[segment])
-        _, first = np.unique(segment[hit], return_index=True)
-        middle = left + place[hit[first]]
-        out.append((left, middle, right - 1))
-        left, right = np.concatenate([left, middle + 1]), np.concatenate([middle, right])
-        long = right - left >= least
-        left, right = left[long], right[long]
-    if not out:
-        return (np.zeros(0, np.int64),) * 3
-    return tuple(np.concatenate(x) for x in zip(*out))
+        at = np.cumsum(right - left) - (right - left)
+        hit = np.flatnonzero(values == np.minimum.reduceat(values, at)[segment])
+        hit = hit[np.append(True, segment[hit[1:]] != segment[hit[:-1]])]
+        node = left + place[hit]
+        l[node], r[node] = low[left], last[right - 1] + least - 1
+        left, right = np.concatenate([left, node + 1]), np.concatenate([node, right])
+        left, right = left[left < right], right[left < right]
+    return l, middle, r
 
 
 def _shingles(flat: Flat) -> tuple[np.ndarray, np.ndarray]:
@@ -118,25 +139,26 @@ def _sides(hashes: np.ndarray, counts: np.ndarray, row: np.ndarray, place: np.nd
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of each text."""
 
-    def of(k: int, values: np.ndarray, counts: np.ndarray, width: int) -> pa.RecordBatch:
-        """Windows over values that each stand for ``width`` shingles, as places of shingles in their text."""
+    def of(part: pa.RecordBatch, values: np.ndarray, counts: np.ndarray, width: int) -> pa.RecordBatch:
+        """Windows over values that each stand for ``width`` shingles, as places of shingles in their text; rows of one function after those of another."""
         ends = np.cumsum(counts)
         l, c, r = cartesian(values, counts, LEAST - width + 1)
         row = np.searchsorted(ends, c, side="right")
         base = (ends - counts)[row]
-        sides = _sides(hashes, each, row, c - base) if k == HASHES else [np.zeros(len(c), np.int32)] * 2
+        k, text = (np.full(len(row), HASHES), row) if width > 1 else np.divmod(row, part.num_rows)
+        sides = _sides(hashes, each, text, c - base) if width > 1 else [np.zeros(len(c), np.int64)] * 2
         return pa.RecordBatch.from_arrays([
-            pa.array(values[c].view(np.int64)), pa.array(ids[row]), pa.array(np.full(len(c), k, np.int8)),
-            *(pa.array((x - base).astype(np.int32)) for x in (l, c, r + width - 1)), *map(pa.array, sides),
-        ], ["h", "doc", *_ROW])
+            pa.array(values[c].view(np.int64)), part.column("doc_id").take(pa.array(text)),
+            *(pa.array(x.astype(np.int64) << 32 | y) for x, y in ((l - base, _LAST + 1 - width - r + base), (c - base, k), sides)),
+        ], ["h", "doc", *_PLACES])
 
     for part in slices(batches):
         hashes, each = _shingles(Flat(part.column("text")))
-        ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-        for k in range(HASHES):
-            yield of(k, mix(hashes ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF)), each, 1)
-        yield of(HASHES, *windows(hashes, each, RUN), RUN)
+        salts = (np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+        yield of(part, mix(hashes ^ salts).ravel(), np.tile(each, HASHES), 1)
+        yield of(part, *windows(hashes, each, RUN), RUN)
 
 
 def _packed(table: np.ndarray) -> pa.Array:
@@ -146,18 +168,60 @@ def _packed(table: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(table), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
+def _unpacked(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The integers of all binary values, and how many each has."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    _, offsets, data = column.cast(pa.large_binary()).buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] // 4
+    return np.frombuffer(data, "<u4")[at[0] : at[-1]] if len(column) else np.zeros(0, "<u4"), np.diff(at)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """Tables of rows in which all rows of the same values in ``names``, that come in a row, are together."""
+    held: list[pa.RecordBatch] = []  # rows whose run may go on
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(n).to_numpy().astype(np.int64) for n in names], axis=1)
+        cut = np.flatnonzero((keys != keys[-1]).any(axis=1))
+        cut = int(cut[-1]) + 1 if len(cut) else 0
+        if held and (cut or any(held[-1].column(n)[-1].as_py() != v for n, v in zip(names, keys[-1].tolist()))):
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        elif cut:
+            yield pa.Table.from_batches([batch.slice(0, cut)])
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in order of (h, doc), links of each window to those of earlier texts.
+    """From rows in order of (h, doc), of a text's the earliest and widest first, links of each window to those of earlier texts.
 
-    Links come with the windows ``own`` and ``lead``, those to the first text of a value also with their
-    places c and c2; further windows of that text itself come as rows with a = b.
+    Links come with the window ``own`` and the ends ``lead`` of the other, those to the first text of a value also with
+    their place c; further windows of that text itself come as rows with a = b. Of a value that two texts
+    or more have, the first window comes as a row without b, whose ``bit`` tells if three have it.
     """
-    names = ["h", "doc", *_ROW]
+    names = ["h", "doc", *_PLACES]
     first = last = None  # the first row of the running value, and the last row seen, carried to the next batch
+    texts = 0  # of the running value, so far
+
+    def heads(rows: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
+        return out(rows, pa.nulls(len(rows), pa.int64()), many.astype(np.int32), rows[:, 3] >> 32, None, np.zeros((len(rows), 2)))
+
+    def out(rows, b, bit, c, none, lead) -> pa.RecordBatch:
+        own = np.empty((len(rows), 6), "<i4")
+        own[:, 0], own[:, 1], own[:, 2] = rows[:, 3], rows[:, 2] >> 32, rows[:, 3] >> 32
+        own[:, 3], own[:, 4], own[:, 5] = _LAST - (rows[:, 2] & 0xFFFFFFFF), rows[:, 4] >> 32, rows[:, 4]
+        return pa.RecordBatch.from_arrays([
+            pa.array(rows[:, 0]), pa.array(rows[:, 1]), b, pa.array(bit), pa.array(c.astype(np.int32), mask=none), _packed(own), _packed(lead),
+        ], ["h", "a", "b", "bit", "c", "own", "lead"])
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = np.stack([batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in names], axis=1)
+        rows = np.stack([batch.column(n).to_numpy() for n in names], axis=1)
         head = [] if first is None else [first, last]
         rows = np.concatenate([np.array(head, np.int64).reshape(-1, len(names)), rows])
         new = np.ones(len(rows), bool)
@@ -165,44 +229,54 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = new.copy()
         step[1:] |= rows[1:, 1] != rows[:-1, 1]
         index = np.arange(len(rows))
+        starts = np.flatnonzero(new)
         begin = np.maximum.accumulate(np.where(new, index, 0))
         before = np.maximum.accumulate(np.where(step, index, 0)) - 1
         own = index >= len(head)
+        held = np.add.reduceat(step.astype(np.int64), starts)
+        if head:
+            # Of the carried rows, the last may be of the first's text, or of one that was counted.
+            held[0] += texts - 1 - (first[1] != last[1])
         apart = rows[begin, 1] != rows[:, 1]
+        l, r, c = rows[:, 2] >> 32, _LAST - (rows[:, 2] & 0xFFFFFFFF), rows[:, 3] >> 32
         near = own & apart & (before > begin) & (rows[before, 1] != rows[begin, 1]) & (
-            (rows[:, 4] - rows[:, 3] != rows[begin, 4] - rows[begin, 3])
-            | (rows[:, 5] - rows[:, 4] != rows[begin, 5] - rows[begin, 4])
+            (c - l != c[begin] - l[begin]) | (r - c != r[begin] - c[begin])
         )
-        far = own & (begin != index)
+        # What one text alone has is no link, as far as it is seen here.
+        alone = held == 1
+        alone[-1] = False
+        far = own & (begin != index) & ~alone[np.cumsum(new) - 1]
         a = np.concatenate([index[far], index[near]])
         b = np.concatenate([begin[far], before[near]])
         if len(a):
             # Windows of one value share place c; what surrounds it in both is what can be alike.
-            none = np.arange(len(a)) >= far.sum()
-            yield pa.RecordBatch.from_arrays([
-                pa.array(rows[a, 0]), pa.array(rows[a, 1]), pa.array(rows[b, 1]),
-                # Of runs, one function counts as enough.
-                pa.array(np.where(rows[a, 2] == HASHES, (1 << AGREE) - 1 << HASHES, 1 << rows[a, 2]).astype(np.int32)),
-                *(pa.array(rows[i, 4].astype(np.int32), mask=none) for i in (a, b)), _packed(rows[a, 2:]), _packed(rows[b, 2:]),
-            ], ["h", "a", "b", "bit", "c", "c2", "own", "lead"])
-        first, last = rows[begin[-1]], rows[-1]
+            k = rows[a, 3] & 0xFFFFFFFF
+            # Of runs, one function counts as enough.
+            bit = np.where(k == HASHES, (1 << AGREE) - 1 << HASHES, 1 << k).astype(np.int32)
+            yield out(rows[a], pa.array(rows[b, 1]), bit, c[a], np.arange(len(a)) >= far.sum(), np.stack([l[b], r[b]], axis=1))
+        first, last, texts = rows[starts[-1]], rows[-1], int(held[-1])
+        done = np.flatnonzero(held[:-1] > 1)
+        if len(done):
+            yield heads(rows[starts[done]], held[done] > 2)
+    if texts > 1:
+        yield heads(first[None], np.array([texts > 2]))
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From the windows of each text that meet others, the keys by which the rest meets.
+    """From rows in order of doc, the windows of a text that meet others, the keys by which the rest meets.
 
     Two windows of different functions have one key if some run has both their smallest shingles, as
     has a run of the last function with either side of it. What such runs hold at least comes as its ends.
     """
-    for batch in batches:
-        lists = batch.column("windows")
-        size = np.diff(lists.offsets.to_numpy())
-        flat = lists.flatten()
-        text = np.repeat(np.arange(len(size)), size)
-        h, of, busy = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("h", "class", "busy"))
-        rows = np.frombuffer(b"".join(flat.field("row").to_pylist()), "<i4").reshape(-1, len(_ROW)).astype(np.int64)
+    for part in _runs(batches, ["doc"]):
+        doc, h, of, busy = (part.column(n).to_numpy() for n in ("doc", "h", "class", "busy"))
+        rows = _unpacked(part.column("row"))[0].view("<i4").reshape(-1, len(_ROW)).astype(np.int64)
+        text = np.cumsum(np.append(True, doc[1:] != doc[:-1])) - 1
+        # Texts without a value that different classes have meet nothing.
+        kept = (np.bincount(text, weights=busy) > 0)[text]
+        doc, text, h, of, busy, rows = doc[kept], text[kept], h[kept], of[kept], busy[kept], rows[kept]
         order = np.lexsort((rows[:, 1], text))
-        text, h, of, busy, rows = text[order], h[order].view(np.uint64), of[order], busy[order], rows[order]
+        doc, text, h, of, busy, rows = doc[order], text[order], h[order].view(np.uint64), of[order], busy[order], rows[order]
         k, l, c, r = rows[:, :4].T
         wide = np.where(k == HASHES, RUN - 1, 0)
         lift = int(r.max(initial=0)) + 1
@@ -235,7 +309,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 key = mix(h[i] ^ mix(rows[i, side].astype(np.uint64) * np.uint64(8) + np.uint64(side)))
             if len(i):
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(key.view(np.int64)), batch.column("doc").take(pa.array(text[i])),
+                    pa.array(key.view(np.int64)), pa.array(doc[i]),
                     _packed(np.stack([k[i], k[j], low, high, begin, end], axis=1)), pa.array(of[i]), pa.array(of[j]),
                 ], ["key", "doc", "both", "class", "class2"])
 
@@ -248,7 +322,7 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.diff(asks.offsets.to_numpy())
         asked = pa.Table.from_batches([pa.RecordBatch.from_struct_array(asks.flatten())])
         text = np.repeat(np.arange(len(size)), size)
-        rows = np.frombuffer(b"".join(asked.column("both").to_pylist()), "<i4").reshape(-1, 6).astype(np.int64)
+        rows = _unpacked(asked.column("both"))[0].view("<i4").reshape(-1, 6).astype(np.int64)
         # Another text of the same id may be shorter.
         fine = rows[:, 3] < counts[text]
         asked, text, rows = asked.filter(pa.array(fine)).combine_chunks(), text[fine], rows[fine]
@@ -276,66 +350,45 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ], ["key", "blocks", "doc", "both", "class", "class2", "least", "marks"])
 
 
-def _places(marks: list[bytes], size: np.ndarray, begin: np.ndarray) -> tuple[tuple, tuple]:
-    """The distinct marks of all rows, row by row: their rows, their order by (group, mark, row), ranks in it, where equal ones begin.
+def _best(row: np.ndarray, size: np.ndarray, ends: np.ndarray, worth: np.ndarray, apart: np.ndarray, pair: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The most that ``LEAST`` or more marks of each pair's ``row`` around its ``ends`` can score.
 
-    Beside them all marks, which are the first of their value in their row, and the sorted (row, mark).
+    One that the other text has counts half of 100 - PERCENT, and another its ``worth``; a mark that
+    occurs again lies ``apart`` from its first place. ``pair`` and ``place`` tell the first places of those that both have.
     """
-    row = np.repeat(np.arange(len(marks)), size)
-    value = np.frombuffer(b"".join(marks), "<u4")
-    order = np.lexsort((row, value, begin[row]))
-    new = np.ones(len(order), bool)
-    new[1:] = (value[order[1:]] != value[order[:-1]]) | (begin[row[order[1:]]] != begin[row[order[:-1]]])
-    once = new.copy()
-    once[1:] |= row[order[1:]] != row[order[:-1]]
-    group, kept = np.cumsum(new)[once], order[once]
-    at = np.zeros(len(value), bool)
-    at[kept] = True
-    order = (np.cumsum(at) - 1)[kept]
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    first = np.ones(len(order), bool)
-    first[1:] = group[1:] != group[:-1]
-    has = np.sort(row[at].astype(np.uint64) << np.uint64(32) | value[at])
-    return (row[at], order, rank, np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))), (value, at, has)
-
-
-def _common(begin: np.ndarray, some: np.ndarray, table: tuple) -> np.ndarray:
-    """How many marks each row of ``some`` shares with each earlier row of its group, from ``begin`` on."""
-    row, order, rank, start = table
-    mine = np.arange(np.searchsorted(row, some[0]), np.searchsorted(row, some[-1], side="right"))
-    which, at = within(rank[mine] - start[rank[mine]])
-    one = row[mine[which]]
-    two = row[order[start[rank[mine[which]]] + at]]
-    ahead = some - begin[some]
-    return np.bincount((np.cumsum(ahead) - ahead)[one - some[0]] + two - begin[one], minlength=int(ahead.sum()))
-
-
-def _best(x: np.ndarray, y: np.ndarray, size: np.ndarray, ends: np.ndarray, marks: tuple) -> np.ndarray:
-    """The most that ``LEAST`` or more marks of x around its ``ends`` can score, if one that y has counts half of 100 - PERCENT and another -PERCENT."""
-    value, first, has = marks
     at = np.cumsum(size) - size
-    out = np.zeros(len(x), np.int64)
-    total = np.cumsum(size[x])
-    for some in np.split(np.arange(len(x)), np.unique(np.searchsorted(total, np.arange(_MARKS, int(total[-1]), _MARKS)))):
-        if not len(some):
-            continue
-        which, inner = within(size[x[some]])
-        place = at[x[some]][which] + inner
-        asked = y[some][which].astype(np.uint64) << np.uint64(32) | value[place]
-        shared = has[np.minimum(np.searchsorted(has, asked), len(has) - 1)] == asked
-        # One that occurs again counts once if it is missing in y, as often as it may be held otherwise.
-        worth = np.where(shared, 100 - PERCENT, np.where(first[place], -2 * PERCENT, 0))
-        score = np.cumsum(worth)
+    out = np.empty(len(row), np.int64)
+    total = np.cumsum(size[row])
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(total, np.arange(_MARKS, int(total[-1]), _MARKS)), [len(row)]]))
+    if len(cuts) > 2:
+        order = pair.argsort(kind="stable")
+        pair, place = pair[order], place[order]
+    for low, high in zip(cuts[:-1], cuts[1:]):
+        mine = slice(*np.searchsorted(pair, [low, high])) if len(cuts) > 2 else slice(None)
+        some = row[low:high]
+        start = np.cumsum(size[some]) - size[some]
+        which, inner = within(size[some])
+        where = inner + at[some][which]
+        score = worth[where]
+        score[(start - at[some])[pair[mine] - low] + place[mine]] = 100 - PERCENT
+        again = np.flatnonzero(apart[where])
+        # One that occurs again counts once if it is missing in the other, as often as it may be held otherwise.
+        score[again] = np.maximum(score[again - apart[where[again]]], 0)
+        score = np.cumsum(score)
         # The most from each place to the end of its row, rows kept apart by what is added to them.
-        apart = (len(some) - which) * (1 << 32)
-        most = np.maximum.accumulate((score + apart)[::-1])[::-1] - apart
-        start = np.cumsum(size[x[some]]) - size[x[some]]
-        least, last = np.maximum(ends[x[some], 1][which], inner + LEAST - 1), size[x[some]][which] - 1
-        runs = np.where(
-            (inner <= ends[x[some], 0][which]) & (least <= last), most[start[which] + np.minimum(least, last)] - score + worth, -(1 << 32)
-        )
-        out[some] = np.maximum.reduceat(runs, start)
+        lift = (len(some) - which) * (1 << 32)
+        most = np.maximum.accumulate((score + lift)[::-1])[::-1]
+        # Runs that hold the ends start at the first of them at most.
+        heads = np.minimum(ends[some, 0], size[some] - LEAST) + 1
+        fine = np.flatnonzero((heads > 0) & (ends[some, 1] < size[some]))
+        out[low:high] = -(1 << 32)
+        if len(fine):
+            which, inner = within(heads[fine])
+            which = fine[which]
+            best = most[start[which] + np.maximum(ends[some, 1][which], inner + LEAST - 1)] - (len(some) - which) * (1 << 32)
+            before = start[which] + inner - 1
+            best -= np.where(before >= 0, score[before], 0)
+            out[low + fine] = np.maximum.reduceat(best, np.cumsum(heads[fine]) - heads[fine])
     return out
 
 
@@ -346,22 +399,42 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     What two such runs have in common, counted half in each, outweighs what they have not.
     """
     names = ["key", "i", "j"]
-
-    def work(part: pa.Table) -> Iterator[pa.RecordBatch]:
+    for part in _runs(batches, names):
         columns = [part.column(n).to_numpy() for n in names]
         doc, mine = part.column("doc").to_numpy(), part.column("mine").to_numpy()
-        rows = np.frombuffer(b"".join(part.column("both").to_pylist()), "<i4").reshape(-1, 6)
-        one, two = part.column("class").to_numpy(), part.column("class2").to_numpy()
-        least, marks = part.column("least").to_numpy(), part.column("marks").to_pylist()
+        rows = _unpacked(part.column("both"))[0].view("<i4").reshape(-1, 6)
+        one, two, least = (part.column(n).to_numpy() for n in ("class", "class2", "least"))
+        marks, size = _unpacked(part.column("marks"))
         new = np.ones(len(doc), bool)
         new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
         at = np.arange(len(doc))
         begin = np.maximum.accumulate(np.where(new, at, 0))
         cross = columns[1] != columns[2]
         total = np.cumsum(at - begin)
-        size = np.fromiter(map(len, marks), np.int64, len(marks)) // 4
-        table, all_marks = _places(marks, size, begin)
         ends = rows[:, 4:] - rows[:, 2:3]
+        # The distinct marks of all rows in order of (group, mark, row), as one number each.
+        row = np.repeat(at, size)
+        bits = int((at - begin).max()).bit_length()
+        if int(new.sum()).bit_length() + bits > 32:
+            raise ValueError("more rows of one group than blocks hold")
+        key = (np.cumsum(new).astype(np.uint64) << np.uint64(32))[row] | marks
+        key = key << np.uint64(bits) | (at - begin).astype(np.uint64)[row]
+        order = np.argsort(key)
+        key = key[order]
+        edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))[: len(key)]
+        first = np.minimum.reduceat(order, edge) if len(edge) else edge
+        apart = np.zeros(len(row), np.int64)
+        apart[order] = np.repeat(first, np.diff(np.append(edge, len(key))))
+        apart = np.arange(len(row)) - apart
+        worth = np.where(apart == 0, -2 * PERCENT, 0)
+        # Each meets those of its group and mark before it; they are taken row by row.
+        key, owner = key[edge] >> np.uint64(bits), row[first]
+        index = np.arange(len(edge))
+        start = np.maximum.accumulate(np.where(np.append(True, key[1:] != key[:-1])[: len(key)], index, 0)) if len(edge) else index
+        later = np.flatnonzero(index > start)
+        later = later[np.argsort(owner[later], kind="stable")]
+        met = _sums(later - start[later])[np.searchsorted(owner[later], np.arange(len(doc) + 1))]
+        total = total + met[1:]
         for some in np.split(at, np.unique(np.searchsorted(total, np.arange(_PAIRS, int(total[-1]), _PAIRS)))):
             which, place = within(some - begin[some])
             if not len(which):
@@ -369,15 +442,22 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = some[which]
             y = begin[x] + place
             kept = (doc[x] != doc[y]) & ((one[x] != one[y]) | (two[x] != two[y])) & ~(cross[x] & (mine[x] == mine[y]))
-            kept &= 100 * _common(begin, some, table) >= PERCENT * np.maximum(least[x], least[y])
+            # All marks that a row has in common with one before it in its group: as those of one, those of the other, and the pair.
+            chosen = later[slice(*np.searchsorted(owner[later], [some[0], some[-1] + 1]))]
+            i, place = within(chosen - start[chosen])
+            i = chosen[i]
+            j = start[i] + place
+            ahead = some - begin[some]
+            pair = (np.cumsum(ahead) - ahead)[owner[i] - some[0]] + owner[j] - begin[owner[j]]
+            kept &= 100 * np.bincount(pair, minlength=len(x)) >= PERCENT * np.maximum(least[x], least[y])
+            best = np.zeros(len(x), np.int64)
+            for mark, this, other in ((i, x, y), (j, y, x)):
+                if not kept.any():
+                    break
+                now, again = np.flatnonzero(kept), kept[pair]
+                best[now] += _best(this[now], size, ends, worth, apart, (np.cumsum(kept) - 1)[pair[again]], first[mark[again]])
+                kept[now] = best[now] + ((100 - PERCENT) * size[other[now]] if this is x else 0) >= 0
             x, y = x[kept], y[kept]
-            if len(x):
-                best = _best(x, y, size, ends, all_marks)
-                hopeful = best + (100 - PERCENT) * size[y] >= 0
-                x, y, best = x[hopeful], y[hopeful], best[hopeful]
-            if len(x):
-                kept = best + _best(y, x, size, ends, all_marks) >= 0
-                x, y = x[kept], y[kept]
             a, b = np.where(doc[x] > doc[y], x, y), np.where(doc[x] > doc[y], y, x)
             if len(a):
                 spans = np.concatenate([rows[a, 2:4], rows[b, 2:4]], axis=1)
@@ -386,22 +466,6 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     _packed(np.concatenate([rows[a, :1], spans, rows[a, 1:2], spans], axis=1)),
                 ], ["a", "b", "spans"])
 
-    held: list[pa.RecordBatch] = []  # rows whose group may go on
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = np.stack([batch.column(n).to_numpy().astype(np.int64) for n in names], axis=1)
-        cut = np.flatnonzero((keys != keys[-1]).any(axis=1))
-        cut = int(cut[-1]) + 1 if len(cut) else 0
-        if held and (cut or any(held[-1].column(n)[-1].as_py() != v for n, v in zip(names, keys[-1].tolist()))):
-            yield from work(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-            held = []
-        elif cut:
-            yield from work(pa.Table.from_batches([batch.slice(0, cut)]))
-        held.append(batch.slice(cut))
-    if held:
-        yield from work(pa.Table.from_batches(held))
-
 
 def _before(values: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
     """The last place before each that has the same value, or -1."""
@@ -439,13 +503,20 @@ def _stretches(x: np.ndarray, y: np.ndarray, percent: int) -> list[tuple]:
     places = match.nonzero()[0]
     if n < LEAST or not len(places):
         return []
-    before, before2 = _before(x), _before(y, order)
+    first, last = int(places[0]), int(places[-1])
+    spots = where[places]
+    if LEAST <= len(places) == last - first + 1 and (spots[1:] - spots[:-1] == 1).all():
+        # One run that both hold side by side is the whole answer.
+        return [(first, last, int(spots[0]), int(spots[-1]), 1.0)]
+    before = _before(x)
+    if 100 * len(places) < percent * LEAST and before.max() < 0:
+        return []
+    before2 = _before(y, order)
     firsts, firsts2, shared = _sums(before < 0), _sums(before2 < 0), _sums(match)
     once = firsts2[-1] == len(y)
     score = np.where(match, 1 - share, np.where(before < 0, -share, 0.0)).cumsum()
     score = np.concatenate([[0.0], score])
     best = np.maximum.accumulate(score[::-1])
-    spots = where[places]
     tries = [(places, True)]
     if (spots[1:] <= spots[:-1]).any():
         # Shared shingles in another order than in y are tried by what lies around one diagonal.
@@ -518,8 +589,10 @@ def _groups(spans: np.ndarray, agree: int) -> list[np.ndarray]:
     """Spans (k, l, r, l2, r2) that overlap in l..r, where enough hash functions agree, or that of runs."""
     spans = spans[np.argsort(spans[:, 1], kind="stable")]
     reach = np.maximum.accumulate(spans[:, 2])
-    cut = np.flatnonzero(spans[1:, 1] > reach[:-1]) + 1
-    return [g for g in np.split(spans, cut) if len(np.unique(g[:, 0])) >= agree or (g[:, 0] == HASHES).any()]
+    cut = [0, *(np.flatnonzero(spans[1:, 1] > reach[:-1]) + 1).tolist(), len(spans)]
+    groups = [spans[i:j] for i, j in zip(cut[:-1], cut[1:])]
+    kinds = [set(g[:, 0].tolist()) for g in groups]
+    return [g for g, k in zip(groups, kinds) if len(k) >= agree or HASHES in k]
 
 
 def _trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -579,17 +652,17 @@ def links(docs: DataFrame) -> DataFrame:
     """Links of windows to the first text of their value and the one before; see ``_stars``."""
     configure(docs.sparkSession)
     rows = docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(
-        _windows, "h long, doc long, k byte, l int, c int, r int, x int, y int"
+        _windows, "h long, doc long, lr long, ck long, xy long"
     )
-    return rows.repartition("h").sortWithinPartitions("h", "doc", "l").mapInArrow(
-        _stars, "h long, a long, b long, bit int, c int, c2 int, own binary, lead binary"
+    return rows.repartition("h").sortWithinPartitions("h", "doc", "lr").mapInArrow(
+        _stars, "h long, a long, b long, bit int, c int, own binary, lead binary"
     )
 
 
 def candidates(met: DataFrame) -> DataFrame:
     """Pairs a > b of texts whose linked windows agree, with the packed spans (k, l, r, l2, r2)."""
     part = lambda name, k, n=1: F.substring(name, 4 * k + 1, 4 * n)
-    spans = F.concat(part("own", 0, 2), part("own", 3), part("lead", 1), part("lead", 3))
+    spans = F.concat(part("own", 0, 2), part("own", 3), "lead")
     return met.where("a <> b").groupBy("a", "b").agg(
         F.collect_list(spans).alias("spans"), F.bit_or("bit").alias("bits")
     ).where(F.bit_count("bits") >= AGREE).drop("bits")
@@ -597,33 +670,24 @@ def candidates(met: DataFrame) -> DataFrame:
 
 def rest(docs: DataFrame, met: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs a > b of the least texts of classes whose windows agree, of values that three texts or more have."""
-    linked = met.where("c is not null")
-    values = linked.groupBy("h").agg(
-        F.first(F.struct("b", "c2", "lead")).alias("first"),
-        F.min(F.when(F.col("a") != F.col("b"), F.col("a"))).alias("low"), F.max("a").alias("high"),
-    ).where("low is not null")
-    rows = linked.select("h", F.col("a").alias("doc"), "c", F.col("own").alias("row"), F.lit(False).alias("many")).unionByName(
-        values.select(
-            "h", F.col("first.b").alias("doc"), F.col("first.c2").alias("c"), F.col("first.lead").alias("row"),
-            (F.col("low") < F.col("high")).alias("many"),
-        )
+    rows = met.where("c is not null").select(
+        "h", F.col("a").alias("doc"), "c", F.col("own").alias("row"), (F.col("b").isNull() & (F.col("bit") > 0)).alias("many")
     )
     held = found.groupBy(F.col("doc_id").alias("doc")).agg(
         F.collect_set(F.struct("start_word", "end_word", "source_id")).alias("held")
     )
-    around = F.filter("held", lambda s: (s["start_word"] <= F.col("c")) & (s["end_word"] >= F.col("c") + WIDTH))
-    classed = stored(rows.join(held, "doc", "left").select(
-        "h", "doc", "row", "many", F.coalesce(F.array_min(F.transform(around, lambda s: s["source_id"])), F.col("doc")).alias("class")
-    ))
+    # A text is linked to those of smaller id alone.
+    least = F.aggregate("held", F.col("doc"), lambda m, s: F.when(
+        (s["start_word"] <= F.col("c")) & (s["end_word"] >= F.col("c") + WIDTH), F.least(m, s["source_id"])
+    ).otherwise(m))
+    classed = stored(rows.join(held, "doc", "left").select("h", "doc", "row", "many", F.coalesce(least, F.col("doc")).alias("class")), "zstd")
     mixed = classed.groupBy("h").agg(
         (F.bool_or("many") & (F.min("class") < F.max("class"))).alias("busy"), F.min("doc").alias("low"), F.max("doc").alias("high")
     ).where("low < high").select("h", "busy")
-    texts = classed.join(mixed, "h").groupBy("doc").agg(
-        F.collect_list(F.struct("h", "row", "class", "busy")).alias("windows"), F.bool_or("busy").alias("any")
-    ).where("any").drop("any")
+    texts = classed.join(mixed, "h").select("doc", "h", "row", "class", "busy").repartition("doc").sortWithinPartitions("doc")
     keyed = stored(
         texts.mapInArrow(_keys, "key long, doc long, both binary, class long, class2 long")
-        .groupBy("key", "class", "class2").agg(F.min(F.struct("doc", "both")).alias("least")).select("key", "class", "class2", "least.*")
+        .groupBy("key", "class", "class2").agg(F.min(F.struct("doc", "both")).alias("least")).select("key", "class", "class2", "least.*"), "zstd"
     )
     again = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     asks = keyed.join(again, "key").groupBy("doc").agg(F.collect_list(F.struct("key", "blocks", "both", "class", "class2")).alias("asks"))
@@ -674,8 +738,8 @@ def passages(docs: DataFrame) -> DataFrame:
     Texts that hold a passage of the same text around the same place are a class there: their rows
     with that text are their membership, and the class's least text stands for them towards others.
     """
-    met = stored(links(docs))
-    pairs = stored(candidates(met))
+    met = stored(links(docs), "zstd")
+    pairs = stored(candidates(met), "zstd")
     found = stored(verified(docs, pairs))
     more = stored(rest(docs, met, found))
     # A pair that comes again is verified with all its spans.

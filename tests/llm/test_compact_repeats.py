@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from palisade.llm import compact
 
 
@@ -132,3 +135,27 @@ def test_members_of_a_class_are_no_pairs_for_a_line_apart(spark):
     held = [(r.doc_id, r.source_id, r.end_word - r.start_word) for r in compact.passages(docs).collect()]
     assert {a for a, _, n in held if n >= 60} == {*range(1, 60), 200, 201}
     assert any(a == 201 and b == 200 and n >= 90 for a, b, n in held)
+
+
+def test_links_of_windows_do_not_depend_on_batches():
+    rng = np.random.default_rng(6)
+    h, doc = np.repeat(np.arange(40), 6), np.sort(rng.integers(0, 4, (40, 6)), axis=1).ravel()
+    h, doc = np.append(h, [40] * 5), np.append(doc, [7] * 5)
+    table = pa.table({n: pa.array(v) for n, v in zip(["h", "doc", *compact._PLACES], [h, doc, *rng.integers(0, 9, (3, len(h)))])})
+    expected = {}
+    for value, text in zip(h.tolist(), doc.tolist()):
+        expected.setdefault(value, []).append(text)
+    expected = {v: texts for v, texts in expected.items() if len(set(texts)) > 1}
+    for size in (1, 2, 7, 64, 500):
+        rows = [r for b in compact._stars(iter(table.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+        # Of each value that texts share one row tells its first text, and if three have it.
+        assert sorted((r["h"], r["a"], r["bit"]) for r in rows if r["b"] is None) == sorted(
+            (v, texts[0], int(len(set(texts)) > 2)) for v, texts in expected.items()
+        )
+        linked = {}
+        for r in rows:
+            if r["b"] is not None and r["c"] is not None and r["h"] in expected:
+                linked.setdefault(r["h"], []).append((r["a"], r["b"]))
+        assert {v: sorted(p) for v, p in linked.items()} == {v: [(t, texts[0]) for t in texts[1:]] for v, texts in expected.items()}
+    # What one text alone has is no link.
+    assert not {r["h"] for r in rows} - set(expected) - {40}
